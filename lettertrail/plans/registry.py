@@ -40,5 +40,8 @@ def query(name: str, check: str | None = None):
 def load_all() -> None:
     from . import (  # noqa: F401
         dedup_queries,
+        search_queries,
+        span_queries,
         text_queries,
+        thread_queries,
     )
