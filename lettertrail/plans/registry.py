@@ -40,7 +40,9 @@ def query(name: str, check: str | None = None):
 def load_all() -> None:
     from . import (  # noqa: F401
         dedup_queries,
+        maintain_queries,
         search_queries,
+        source_queries,
         span_queries,
         text_queries,
         thread_queries,
