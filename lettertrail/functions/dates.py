@@ -44,16 +44,20 @@ _ISO_SHAPES = (
         "$1|$2|$3|$4|$5|$6|$7|",
     ),
 )
-_INFORMAL_SHAPES = (
+_SPOKEN_SHAPES = (
     (rf"(?i)^(?:(?:{_DAY3}|{_DAYS}), )?({_MON}) (\d{{1,2}}), (\d{{4}}) at (\d{{1,2}}):(\d{{1,2}}) (AM|PM)$", "$3|$1|$2|$4|$5|||$6"),
     (rf"(?i)^(?:(?:{_DAYS}), )?(\d{{1,2}}) ({_LONG}) (\d{{4}}) at (\d{{1,2}}):(\d{{1,2}})(?::(\d{{1,2}}))? (AM|PM)$", "$3|$2|$1|$4|$5|$6||$7"),
     (rf"(?i)^(?:{_DAYS}), (\d{{1,2}}) ({_LONG}) (\d{{4}}) at (\d{{1,2}}):(\d{{1,2}})$", "$3|$2|$1|$4|$5|||"),
     (rf"(?i)^(?:{_DAYS}) (\d{{1,2}}) ({_LONG}) (\d{{4}}) (\d{{1,2}}):(\d{{1,2}})$", "$3|$2|$1|$4|$5|||"),
+)
+# day first, except a full year with AM/PM; the other reading is tried when that is no date
+_SLASH_SHAPES = (
     (r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}) (AM|PM)$", "$3|$1|$2|$4|$5|||$6"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2}) (\d{1,2}):(\d{1,2})$", "$3|$2|$1|$4|$5|||"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2}) (\d{1,2}):(\d{1,2})$", "$3|$1|$2|$4|$5|||"),
-    (r"(?i)^(\d{1,2})/(\d{1,2})/(\d{2}) (\d{1,2}):(\d{1,2}) (AM|PM)$", "$3|$2|$1|$4|$5|||$6"),
-    (r"(?i)^(\d{1,2})/(\d{1,2})/(\d{2}) (\d{1,2}):(\d{1,2}) (AM|PM)$", "$3|$1|$2|$4|$5|||$6"),
+    (r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2}) (\d{1,2}):(\d{1,2})(?: (AM|PM))?$", "$3|$2|$1|$4|$5|||$6"),
+)
+_SLASH_SWAPPED = (
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2})$", "$3|$1|$2|$4|$5|||"),
+    (r"(?i)^(\d{1,2})/(\d{1,2})/(\d{2}) (\d{1,2}):(\d{1,2})(?: (AM|PM))?$", "$3|$1|$2|$4|$5|||$6"),
 )
 _CJK_SHAPES = (
     (
@@ -125,15 +129,21 @@ def parse_date(raw: Column, tz: Column) -> Column:
     core = F.when(local != "", F.regexp_replace(text, r" [A-Z]{2,5}$", "")).otherwise(text)
     fixed_zone = F.create_map(*[F.lit(v) for k, h in LOCAL_ZONE_HOURS.items() for v in (k, f"{h:+03d}:00")])
     zone = F.when(local != "", fixed_zone[local]).otherwise(tz)
-    shapes = [*_CJK_SHAPES, *_MAIL_SHAPES, *_ISO_SHAPES, *_INFORMAL_SHAPES]
 
-    def first_real(given: Column) -> Column:
-        hits = F.array_compact(F.array(*[_shape(given["text"], *shape) for shape in shapes]))
-        parts = F.transform(hits, lambda hit: F.split(hit, r"\|"))
-        instants = F.transform(parts, lambda p: _instant(p, given["zone"]))
-        return F.get(F.array_compact(instants), 0)
+    def readings(given: Column) -> Column:
+        text = given["text"]
+
+        def when_like(hint: str, shapes: tuple) -> Column:
+            return F.when(text.rlike(hint), F.coalesce(*[_shape(text, *shape) for shape in shapes]))
+
+        hit = F.coalesce(
+            when_like("[年月]", _CJK_SHAPES), when_like(r"^\d{4}[-\d]", _ISO_SHAPES), when_like(r"^\d{1,2}/", _SLASH_SHAPES),
+            when_like(r"[A-Za-z]{3}.*\d[:.]\d\d", _MAIL_SHAPES), when_like(r"[A-Za-z]{3}.*\d:\d", _SPOKEN_SHAPES),
+        )
+        parts = F.transform(F.array_compact(F.array(hit, when_like(r"^\d{1,2}/", _SLASH_SWAPPED))), lambda h: F.split(h, r"\|"))
+        return F.get(F.array_compact(F.transform(parts, lambda p: _instant(p, given["zone"]))), 0)
 
-    return bind(F.struct(core.alias("text"), zone.alias("zone")), first_real)
+    return bind(F.struct(core.alias("text"), zone.alias("zone")), readings)
 
 
 def with_utc(df: DataFrame, raw: str = "date_raw", tz: str = "default_tz", out: str = "date_utc") -> DataFrame:

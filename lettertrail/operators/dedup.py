@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,7 +118,7 @@ def candidate_pairs(keys: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     blocks = keys.groupBy("case_id", "key").agg(
         F.count("*").alias("n"), F.min("id").alias("hub"), F.first("family").alias("family")
     ).filter("n > 1 AND (n <= {0} OR family IN ({1}))".format(max_block, ", ".join(f"'{f}'" for f in EXACT_FAMILIES + BODY_FAMILIES)))
-    met = keys.drop("family").join(blocks, ["case_id", "key"])
+    met = materialise(keys.drop("family").join(blocks, ["case_id", "key"]))
     small = _pairs_within(met.filter(F.col("n") <= max_block))
     big = met.filter(F.col("n") > max_block)
     star = big.filter(F.col("family").isin(*EXACT_FAMILIES))
@@ -192,13 +194,15 @@ def containment_between(left: DataFrame, right: DataFrame, key_left: str, key_ri
 
 
 def _ratio(left: pd.Series, right: pd.Series, floor: pd.Series) -> pd.Series:
+    letters = lru_cache(maxsize=512)(Counter)
+
     def one(a, b, low):
         if a is None or b is None:
             return None
-        matcher = SequenceMatcher(None, a, b)
-        if matcher.real_quick_ratio() < low or matcher.quick_ratio() < low:
+        # letters in common bound the ratio from above
+        if 2 * sum((letters(a) & letters(b)).values()) < low * (len(a) + len(b)):
             return 0.0
-        return matcher.ratio()
+        return SequenceMatcher(None, a, b).ratio()
 
     return pd.Series([one(*row) for row in zip(left, right, floor)], dtype="float64")
 
@@ -256,7 +260,7 @@ def score_pairs(pairs: DataFrame, emails: DataFrame, fingerprints: DataFrame) ->
     Body comparisons run once per distinct pair of bodies, not per pair of rows, and a dearer comparison only
     sees what a cheaper one left undecided.
     """
-    facts = pair_features(pairs, emails, fingerprints)
+    facts = materialise(pair_features(pairs, emails, fingerprints))
     bodies = fingerprints.groupBy("body_hash").agg(
         F.first("body_norm").alias("body_norm"), F.first("hashes").alias("hashes"), F.first("signature").alias("signature")
     )

@@ -23,7 +23,7 @@ PARSED_FIELDS = ("from_addr", "to", "cc", "date_utc", "date_raw", "subject", "bo
 
 def _next_ids(rows: DataFrame, order: list[str], existing: DataFrame, id_: str = "id") -> DataFrame:
     top = existing.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    return ranked(rows, order, out="_n").join(F.broadcast(top), F.lit(True)).withColumn(id_, F.col("_n") + F.col("_top")).drop("_n", "_top")
+    return ranked(rows, order, out="_n").withColumn(id_, F.col("_n") + top.scalar()).drop("_n")
 
 
 # ---- tags
@@ -81,8 +81,8 @@ def sync_undated(emails: DataFrame, tags: DataFrame, links: DataFrame) -> tuple[
     needed = undated.select("case_id").distinct().select("case_id", F.lit(UNDATED).alias("name"), F.lit(None).cast("string").alias("color"))
     all_tags = upsert_tags(tags, needed)
     marks = all_tags.filter(F.lower("name") == UNDATED.lower()).select(F.col("id").alias("tag_id"), "case_id")
-    desired = undated.join(F.broadcast(marks), "case_id").select("email_id", "tag_id")
-    others = links.select("email_id", "tag_id").join(F.broadcast(marks.select("tag_id")), "tag_id", "left_anti")
+    desired = undated.join(marks, "case_id").select("email_id", "tag_id")
+    others = links.select("email_id", "tag_id").join(marks.select("tag_id"), "tag_id", "left_anti")
     return all_tags, others.select("email_id", "tag_id").unionByName(desired)
 
 

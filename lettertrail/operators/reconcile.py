@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import hash28
-from ..functions.text import bind
+from ..functions.text import bind, pin
 from .dedup import similarity, with_body_norm
 
 SIMILAR = 0.70
 # the shorter of two texts with ratio r is at least r / (2 - r) of the longer
 REACH = (2 - SIMILAR) / SIMILAR
+# part of the quoted body's word triples a standalone body must share to be compared in indexed mode
+SHARED = 0.05
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
@@ -24,27 +26,34 @@ def repeated_exactly(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """(case_id, body_hash, norm_len, h): hashed word triples, the whole body when shorter."""
+    """(case_id, body_hash, norm_len, n, h): hashed word triples, the whole body when shorter, and how many."""
     def triples(words):
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
         return F.array_distinct(F.transform(starts, lambda i: hash28(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))))
 
-    return rows.select("case_id", "body_hash", "norm_len", F.explode(bind(F.split("body_norm", " "), triples)).alias("h"))
+    sets = rows.select("case_id", "body_hash", "norm_len", pin(bind(F.split("body_norm", " "), triples)).alias("hs"))
+    return sets.select("case_id", "body_hash", "norm_len", F.size("hs").alias("n"), F.explode("hs").alias("h"))
 
 
 def _met(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
-    """Body pairs sharing one of the quoted body's rarest word triples and of compatible length."""
+    """Body pairs of compatible length sharing enough of the quoted body's rarer word triples."""
     q, s = _tokens(quoted), _tokens(standalone)
     weight = s.groupBy("case_id", "h").agg(F.count("*").alias("df"))
-    ranked = q.join(weight, ["case_id", "h"]).groupBy("case_id", "body_hash", "norm_len").agg(
-        F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"), F.count("*").alias("n")
+    ranked = q.join(weight, ["case_id", "h"]).groupBy("case_id", "body_hash", "norm_len", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r")
     )
-    # all but the commonest tenth: a shared triple outside it is needed to meet
-    probe = ranked.select("case_id", F.col("body_hash").alias("q_hash"), F.col("norm_len").alias("q_len"), F.explode(F.slice("r", 1, F.ceil(F.col("n") * 0.9).cast("int"))).alias("t"))
-    probe = probe.select("case_id", "q_hash", "q_len", F.col("t.h").alias("h"))
+    # the commonest tenth of a body's triples is no join key unless there is little else
+    probe = ranked.select(
+        "case_id", F.col("body_hash").alias("q_hash"), F.col("norm_len").alias("q_len"), (F.col("n") * SHARED).alias("least"),
+        F.explode(F.slice("r", 1, F.ceil(F.size("r") * 0.9).cast("int"))).alias("t"),
+    )
+    probe = probe.select("case_id", "q_hash", "q_len", "least", F.col("t.h").alias("h"))
     index = s.select("case_id", F.col("body_hash").alias("s_hash"), F.col("norm_len").alias("s_len"), "h")
     near = (F.col("s_len") <= F.col("q_len") * REACH) & (F.col("q_len") <= F.col("s_len") * REACH)
-    return probe.join(index, ["case_id", "h"]).filter(near).select("case_id", "q_hash", "s_hash").distinct()
+    shared = probe.join(index, ["case_id", "h"]).filter(near).groupBy("case_id", "q_hash", "s_hash").agg(
+        F.count("*").alias("shared"), F.first("least").alias("least")
+    )
+    return shared.filter("shared >= least").select("case_id", "q_hash", "s_hash")
 
 
 def _banded(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
@@ -60,8 +69,9 @@ def reconcile_quoted(emails: DataFrame, mode: str = "indexed") -> DataFrame:
     """The emails without quoted rows that equal, or are at least 0.70 similar to, a standalone body of their case.
 
     Trashed rows take part. Equal bodies go by an equi-join; the rest is compared per pair of distinct bodies.
-    `mode="indexed"` compares bodies that share a word triple; `mode="exhaustive"` every pair of compatible
-    length, which is quadratic per case and meant for small ones.
+    `mode="indexed"` compares bodies that share a twentieth of the quoted body's word triples, which texts this
+    alike do unless nearly every word was altered; `mode="exhaustive"` compares every pair of compatible length,
+    which is quadratic per case and meant for small ones.
     """
     quoted = _bodies(emails.filter("source_kind = 'quoted'"))
     standalone = _bodies(emails.filter("source_kind = 'standalone'"))
@@ -73,6 +83,8 @@ def reconcile_quoted(emails: DataFrame, mode: str = "indexed") -> DataFrame:
     texts = pairs.join(q_bodies.select("case_id", F.col("body_hash").alias("q_hash"), F.col("body_norm").alias("q_text")), ["case_id", "q_hash"]).join(
         s_bodies.select("case_id", F.col("body_hash").alias("s_hash"), F.col("body_norm").alias("s_text")), ["case_id", "s_hash"]
     )
+    # few rows, much work each: a fixed number of partitions keeps them from being merged into a few tasks
+    texts = texts.repartition(int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q_hash", "s_hash")
     alike = similarity(texts, "q_text", "s_text", SIMILAR).filter(F.col("similarity") >= SIMILAR).select("case_id", F.col("q_hash").alias("body_hash")).distinct()
     near = left.join(alike, ["case_id", "body_hash"], "left_semi").select("id")
     return emails.join(same.union(near), "id", "left_anti")

@@ -65,9 +65,10 @@ def _focus(emails: DataFrame) -> DataFrame:
 
 
 def relations_to(emails: DataFrame, focus_id: int) -> DataFrame:
-    """(id, focus_id, label, confidence) of every email to one focus email; the focus side is a single row."""
-    focus = _focus(emails.filter(F.col("id") == focus_id)).limit(1)
-    return label_relations(emails.select(*FACTS).join(F.broadcast(focus), F.lit(True)))
+    """(id, focus_id, label, confidence) of every email to one focus email; the focus row is a scalar subquery."""
+    focus = emails.filter(F.col("id") == focus_id).limit(1).select(F.struct(*FACTS).alias("f"))
+    beside = emails.select(*FACTS).withColumn("_f", focus.scalar()).filter("_f IS NOT NULL")
+    return label_relations(beside.select(*FACTS, *[F.col(f"_f.{c}").alias(f"f_{c}") for c in FACTS]))
 
 
 def relations_in_threads(emails: DataFrame, date: str = "date_utc") -> DataFrame:

@@ -115,7 +115,7 @@ def page(ordered: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     size, skip = max(1, min(int(limit), PAGE_MAX)), max(0, int(offset))
     total = ordered.agg(F.count("*").alias("total"))
     rows = ordered.offset(skip).limit(size)
-    return rows.join(F.broadcast(total), F.lit(True)).withColumn("has_more", F.lit(skip + size) < F.col("total"))
+    return rows.withColumn("total", total.scalar()).withColumn("has_more", F.lit(skip + size) < F.col("total"))
 
 
 def flags_agg(flags: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def flags_agg(flags: DataFrame) -> DataFrame:
 
 
 def tags_by_email(tags: DataFrame, email_tags: DataFrame) -> DataFrame:
-    named = email_tags.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), "name")), "tag_id")
+    named = email_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
     listed = named.groupBy("email_id").agg(F.array_sort(F.collect_set(F.struct(F.lower("name").alias("key"), F.col("name"), F.col("tag_id")))).alias("t"))
     return listed.select("email_id", F.transform("t", lambda x: F.struct(x["tag_id"].alias("id"), x["name"].alias("name"))).alias("tags"))
 
@@ -194,7 +194,7 @@ def match_tags(tags: DataFrame, q: str, selected: list[int]) -> DataFrame:
     hit = F.contains(F.lower("name"), F.lit(q.strip().lower()))
     marked = tags.withColumn("_hit", hit)
     some = marked.agg(F.max("_hit").alias("_some"))
-    kept = marked.join(F.broadcast(some), F.lit(True)).filter(F.col("_hit") | ~F.col("_some"))
+    kept = marked.withColumn("_some", some.scalar()).filter(F.col("_hit") | ~F.col("_some"))
     chosen = F.col("id").isin(*selected) if selected else F.lit(False)
     return kept.drop("_hit", "_some").orderBy(F.desc(chosen), F.lower("name"))
 

@@ -161,8 +161,8 @@ def order_chain(emails: DataFrame) -> DataFrame:
 def chain_of(emails: DataFrame, email_id: int) -> DataFrame:
     """The emails of one email's thread in chain order."""
     key = thread_key(F.col("thread_id"), F.col("id"))
-    wanted = emails.filter(F.col("id") == email_id).select(key.alias("_key"))
-    return order_chain(emails.withColumn("_key", key).join(F.broadcast(wanted), "_key", "left_semi").drop("_key"))
+    wanted = emails.filter(F.col("id") == email_id).limit(1).select(key.alias("_key"))
+    return order_chain(emails.filter(key == wanted.scalar()))
 
 
 def thread_groups(emails: DataFrame) -> DataFrame:

@@ -38,3 +38,10 @@ def materialise(df: DataFrame) -> DataFrame:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores when its scan gives fewer tasks than there are cores (a table of one row group);
+    a large scan already has enough splits and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,7 +24,7 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
     `content` is only read when a later step asks for it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else f"{root}/*")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), r"^[a-z]+:/+", "/")
     shown = F.replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), base, F.lit(""))
     listed = files.withColumn("display", clean_path(shown)).withColumn("suffix", suffix(F.col("path")))
