@@ -14,6 +14,7 @@ SIMILAR = 0.70
 REACH = (2 - SIMILAR) / SIMILAR
 # part of the quoted body's word triples a standalone body must share to be compared in indexed mode
 SHARED = 0.05
+COMMON = 0.2
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
@@ -42,10 +43,10 @@ def _met(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
     ranked = q.join(weight, ["case_id", "h"]).groupBy("case_id", "body_hash", "norm_len", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r")
     )
-    # the commonest tenth of a body's triples is no join key unless there is little else
+    # the commonest fifth of a body's triples (a shared footer, say) is no join key unless there is little else
     probe = ranked.select(
         "case_id", F.col("body_hash").alias("q_hash"), F.col("norm_len").alias("q_len"), (F.col("n") * SHARED).alias("least"),
-        F.explode(F.slice("r", 1, F.ceil(F.size("r") * 0.9).cast("int"))).alias("t"),
+        F.explode(F.slice("r", 1, F.ceil(F.size("r") * (1 - COMMON)).cast("int"))).alias("t"),
     )
     probe = probe.select("case_id", "q_hash", "q_len", "least", F.col("t.h").alias("h"))
     index = s.select("case_id", F.col("body_hash").alias("s_hash"), F.col("norm_len").alias("s_len"), "h")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lettertrail.operators import audit as A
 from lettertrail.operators import quotes as K
 from lettertrail.operators import search as Q
+from lettertrail.plans import ingest_job
 from lettertrail.sources import eml, export, files, pages
 from lettertrail.streaming import feed
 
@@ -41,7 +42,7 @@ def parsed(spark):
     both.add_alternative("<p>html</p>", subtype="html")
     both.add_attachment(b"data", maintype="application", subtype="pdf", filename="f.pdf")
     rows = [
-        ("plain.eml", message(Message_ID="<p>", Date="junk").as_bytes()), ("nodate.eml", message().as_bytes()), ("both.eml", both.as_bytes()),
+        ("plain.eml", b"Subject: x\nMessage-ID: <p>\nDate: junk\n\ntext"), ("nodate.eml", message().as_bytes()), ("both.eml", both.as_bytes()),
         ("deep.eml", nested(6).as_bytes()), ("many.eml", many.as_bytes()), ("cut.eml", both.as_bytes()[:120]), ("none.eml", b""),
     ]
     return eml.parse_eml(spark.createDataFrame(rows, "path string, content binary"), "Asia/Singapore").cache()
@@ -187,3 +188,30 @@ def test_doc_codes_are_unique_and_shared(spark):
     out = files.assign_doc_ids(df)
     assert out.groupBy("case_id", "root_id").agg(F.count_distinct("doc_id").alias("n")).filter("n <> 1").count() == 0
     assert out.select("case_id", "root_id").distinct().count() == out.select("case_id", "doc_id").distinct().count()
+
+
+def test_ingest_job(spark):
+    old = "The plan is to meet at noon in the usual place, and everybody should bring the files we talked about last week."
+    first = message("Plan", old, Message_ID="<1>", Date="Fri, 19 Mar 2021 10:00:00 +0800", To="a@x")
+    quote = "\n".join(f"> {line}" for line in [old])
+    reply = message("Re: Plan", f"Agreed, see you there.\n\nOn Fri, Mar 19, 2021 at 10:00 AM Ann <a@x> wrote:\n{quote}\n", Message_ID="<2>", In_Reply_To="<1>", Date="Fri, 19 Mar 2021 11:00:00 +0800")
+    other = message("FW: x", "See below please, this is for your information only and nothing else.\n\n-----Original Message-----\nFrom: z@x\nSent: 18 Mar 2021 10:00\nSubject: x\n\nA quite different text that nobody else has sent.\n", Message_ID="<3>", Date="Fri, 19 Mar 2021 12:00:00 +0800")
+    other.add_attachment(message("Inner", "inner body", Message_ID="<4>", Date="Fri, 19 Mar 2021 09:00:00 +0800"))
+    rows = [("a.eml", first), ("b.eml", reply), ("c.eml", other), ("copy.eml", first), ("d.txt", first)]
+    df = spark.createDataFrame([(p, len(m.as_bytes()), m.as_bytes()) for p, m in rows], "path string, length long, content binary")
+    out = ingest_job.ingest(df, None, 1, "Asia/Singapore", first_id=100)
+    emails = {(r["path"], r["source_kind"]): r for r in out["emails"].collect()}
+    # the reply's quote repeats a standalone message and goes; the other file keeps its quote and attached message
+    assert set(emails) == {("a.eml", "standalone"), ("b.eml", "standalone"), ("c.eml", "standalone"), ("c.eml", "quoted"), ("c.eml", "attached"), ("copy.eml", "standalone")}
+    assert emails[("b.eml", "standalone")]["thread_id"] == emails[("a.eml", "standalone")]["thread_id"] == "msg:1"
+    top = emails[("c.eml", "standalone")]
+    assert (emails[("c.eml", "quoted")]["chain_position"], emails[("c.eml", "attached")]["chain_position"]) == (1, 2)
+    assert emails[("c.eml", "quoted")]["parent_email_id"] == top["id"] == emails[("c.eml", "attached")]["parent_email_id"]
+    assert {r["doc_id"] for k, r in emails.items() if k[0] == "c.eml"} == {top["doc_id"]}
+    pairs = out["pairs"].collect()
+    assert any({r["email_a_id"], r["email_b_id"]} == {emails[("a.eml", "standalone")]["id"], emails[("copy.eml", "standalone")]["id"]} and r["score"] == 1.0 for r in pairs)
+    assert {r["path"]: r["status"] for r in out["files"].collect()} == {"a.eml": "parsed", "b.eml": "parsed", "c.eml": "parsed", "copy.eml": "parsed", "d.txt": "failed"}
+    assert out["jobs"].first()["status"] == "completed" and out["attachments"].count() == 1
+    known = spark.createDataFrame([(1, emails[("a.eml", "standalone")]["source_sha"], None)], "case_id long, source_sha string, deleted_at timestamp")
+    again = ingest_job.ingest(df.filter("path IN ('a.eml', 'b.eml')"), known, 1)
+    assert {r["path"]: r["status"] for r in again["files"].collect()} == {"a.eml": "skipped", "b.eml": "parsed"}
