@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import spread, use_utc
+from .session import spread, prepare
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -114,7 +114,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame."""
-    use_utc(spark)
+    prepare(spark)
     text = VIEWS[name]
     for given, ours in SPARK_ONLY.items():
         text = text.replace(given, ours)

@@ -22,7 +22,7 @@ class Inputs:
         if name in fixtures.VIEWS:
             return fixtures.view(self.spark, self.sf_dir, name)
         if name in fixtures.TABLES:
-            fixtures.use_utc(self.spark)
+            fixtures.prepare(self.spark)
             return fixtures.table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
 

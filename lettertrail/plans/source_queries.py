@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cards as C
 from ..operators import quotes as K
 from ..operators import reconcile as R
+from ..sources import eml as M
 from ..sources import export as E
 from ..sources import files as S
 from ..sources import pages as P
@@ -324,3 +325,37 @@ def _(t):
     cases = t.fx_cases
     tables = {"cases": cases, "emails": t.fx_emails, "email_tags": t.fx_email_tags}
     return E.case_tables(tables, 1)["emails"].groupBy("case_id").agg(F.count("*").alias("emails"))
+
+
+# ---- mail files: every document written out as a message with its page attached
+
+
+def _mail(t):
+    head = F.concat(
+        F.lit("Message-ID: <"), F.col("doc_id").cast("string"), F.lit("@x>\r\nFrom: Ann "), F.lit("<"), "source", F.lit("@x>\r\nTo: b@x, Bob <c@x>\r\nSubject: Re: "), "source",
+        F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("\r\nDate: Mon, 1 Jan 2024 10:0"), (F.col("doc_id") % 10).cast("string"), F.lit(":00 +0800"))),
+        F.lit("\r\nReferences: <a@x> <b@x>\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=cut\r\n\r\n"),
+    )
+    text = F.concat(F.lit("--cut\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.col("text").cast("binary")))
+    inner = F.concat(F.lit("\r\n--cut\r\nContent-Type: message/rfc822\r\n\r\nMessage-ID: <in"), F.col("doc_id").cast("string"), F.lit("@x>\r\nSubject: Inner\r\n\r\ninner "), "lang", F.lit("\r\n--cut--\r\n"))
+    return t.documents.select(F.concat(F.lit("/mail/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("path"), F.concat(head, text, inner).cast("binary").alias("content"))
+
+
+@query(
+    "messages_parsed",
+    f"""SELECT concat('/mail/', doc_id, '.eml') AS path, concat('<', doc_id, '@x>') AS message_id, concat('Ann <', source, '@x>') AS from_addr, 'b@x|Bob <c@x>' AS recipients, concat('Re: ', source) AS subject,
+        CASE WHEN doc_id % 3 <> 0 THEN concat('2024-01-01 02:0', doc_id % 10, ':00') END AS utc, CASE WHEN doc_id % 3 = 0 THEN 'low' ELSE 'high' END AS parse_confidence,
+        md5({Q.strip("replace(text, chr(13) || chr(10), chr(10))")}) AS body_md5, CAST(1 AS BIGINT) AS n_attachments FROM documents""",
+)
+def _(t):
+    rows = M.parse_eml(_mail(t)).filter("depth = 0")
+    return rows.select("path", "message_id", "from_addr", F.array_join("to", "|").alias("recipients"), "subject", stamp("date_utc").alias("utc"), "parse_confidence",
+                       F.md5(F.col("body_text").cast("binary")).alias("body_md5"), F.size("attachments").cast("long").alias("n_attachments"))
+
+
+@query(
+    "attached_messages",
+    "SELECT concat('/mail/', doc_id, '.eml') AS path, 1 AS chain_position, 0 AS parent_node, concat('<in', doc_id, '@x>') AS message_id, concat('inner ', lang) AS body_text FROM documents",
+)
+def _(t):
+    return M.explode_attached(M.parse_eml(_mail(t))).select("path", "chain_position", "parent_node", "message_id", "body_text")

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Rows per Arrow batch: a body may run to megabytes, so batches are kept well under Spark's 10,000 rows.
+ARROW_ROWS = "1000"
+
+
 def build_session(app: str = "lettertrail", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -15,6 +19,7 @@ def build_session(app: str = "lettertrail", master: str | None = None, shuffle_p
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     )
     if master:
         builder = builder.master(master)
@@ -23,8 +28,10 @@ def build_session(app: str = "lettertrail", master: str | None = None, shuffle_p
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings every job here relies on, for sessions made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def materialise(df: DataFrame) -> DataFrame:
