@@ -64,7 +64,7 @@ def unix_lines(col: Column) -> Column:
 
 
 def norm_msgid(col: Column) -> Column:
-    bare = F.regexp_replace(strip(col), "^<+|>+$|^[<>]+|[<>]+$", "")
+    bare = F.regexp_replace(strip(col), "^[<>]+|[<>]+$", "")
     return F.nullif(F.lower(strip(bare)), F.lit(""))
 
 
