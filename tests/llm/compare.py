@@ -1,0 +1,56 @@
+"""Run the queries of the llm folder against their checking SQL: `python tests/llm/compare.py [sf] [name ...]`."""
+
+from __future__ import annotations
+
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import duckdb
+
+import __spark_entry__
+from lettertrail.session import build_session
+
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def _rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(names), sorted(tuple(repr(row[i]) for i in order) for row in rows)
+
+
+def compare(spark, con, sf_dir: str, name: str) -> str | None:
+    """None when both sides agree, else what differs."""
+    df = __spark_entry__.queries()[name](spark, sf_dir)
+    got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    check = __spark_entry__.oracle_sql().get(name)
+    if check is None:
+        return None
+    cur = con.execute(check)
+    want = _rows([d[0] for d in cur.description], cur.fetchall())
+    if got[0] != want[0]:
+        return f"columns {got[0]} vs {want[0]}"
+    if got[1] != want[1]:
+        a, b = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])
+        return f"rows {len(got[1])} vs {len(want[1])}; ours only {len(a)} {sorted(a)[:3]}; theirs only {len(b)} {sorted(b)[:3]}"
+    return None
+
+
+if __name__ == "__main__":
+    sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
+    spark = build_session("compare", "local[8]", 8)
+    spark.sparkContext.setLogLevel("ERROR")
+    sf_dir = f"/root/testdata/sf{sf}"
+    con = connect(sf_dir)
+    for name in sys.argv[2:]:
+        start = time.time()
+        print(name, compare(spark, con, sf_dir, name) or "ok", f"{time.time() - start:.1f}s", flush=True)
