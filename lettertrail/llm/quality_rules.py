@@ -48,7 +48,7 @@ _LEAD = np.ones(256, bool)  # bytes that begin a character
 _LEAD[0x80:0xC0] = False
 
 
-def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     words = Words(data, offsets)
     rows = len(offsets) - 1
     inside = np.zeros(len(data) + 1, np.int32)
@@ -93,7 +93,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, text = batch.column(0), batch.column(1)
         for low, high, data, offsets in pieces(text):
-            found = _measure(data, offsets)
+            found = measure(data, offsets)
             columns = [pa.array(found[name].astype(np.int64)) for name in MEASURES]
             yield pa.RecordBatch.from_arrays([kept.slice(low, high - low), *columns], ["kept_row", *MEASURES])
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import pu_quality, quality_rules, toxicity
+from .sampling import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -68,3 +69,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"),
     )
+
+
+def _scored(rows: DataFrame, folds: int, out: int, threshold: float) -> DataFrame:
+    rows = rows.select("row.doc_id", "score")
+    held_out = F.coalesce(fold("doc_id", folds) == out, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@_query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(fold("doc_id", 4) != 2))
+    return _scored(toxicity.score(docs, model), 4, 2, 0.3)
+
+
+@_query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = pu_quality.fit(docs, labels.filter(fold("doc_id", 3) != 1))
+    return _scored(pu_quality.score(docs, model), 3, 1, 0.5)
