@@ -1,6 +1,6 @@
 """Toxicity by a classifier that is regularised with counterfactual sentences.
 
-A linear model over the words of a text and the five-byte beginnings of its words. For every labelled text that names
+A linear model over the words of a text and the beginnings of its words (four and five bytes). For every labelled text that names
 a group, the same text with another group in its place is formed, and the squared change of the score between the two
 is part of the loss. Which group a text names therefore moves its score as little as the labels allow.
 
@@ -25,7 +25,7 @@ from .words import NOT_ALNUM, Words, limit_batches, pieces
 BUCKETS = 1 << 18
 PER_CLASS = 4000
 FEATURES = 512
-PREFIX = 5
+PREFIXES = (4, 5)
 RIDGE = 1.0
 FAIRNESS = 10.0
 
@@ -50,10 +50,12 @@ class ToxicityModel:
 def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of each word and of each word beginning."""
     mask = np.uint64(BUCKETS - 1)
-    long = np.flatnonzero(words.ends - words.starts >= PREFIX)
-    begins = words.hash_spans(words.starts[long], words.starts[long] + PREFIX) ^ np.uint64(0x5851F42D4C957F2D)
-    rows = np.concatenate([words.doc, words.doc[long]])
-    return rows, np.concatenate([words.hashes & mask, begins & mask]).astype(np.int64)
+    rows, found = [words.doc], [words.hashes]
+    for size in PREFIXES:
+        long = np.flatnonzero(words.ends - words.starts >= size)
+        rows.append(words.doc[long])
+        found.append(words.hash_spans(words.starts[long], words.starts[long] + size) * np.uint64(2 * size + 1))
+    return np.concatenate(rows), (np.concatenate(found) & mask).astype(np.int64)
 
 
 def _distinct(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
