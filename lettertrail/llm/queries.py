@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pu_quality, quality_rules, toxicity, word_bpe
+from . import near_dedup, pu_quality, quality_rules, toxicity, word_bpe
 from .sampling import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query()
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=4)

@@ -134,12 +134,12 @@ class Words:
         """(row, hash) of every window of `width` words; a text with fewer words gives them all as one window."""
         at, h = self.windows(width)
         rows = self.doc[at]
-        for row in np.flatnonzero((self.counts > 0) & (self.counts < width)):
-            one = np.uint64(self.counts[row])
-            for i in range(self.first[row], self.first[row + 1]):
-                one = one * np.uint64(0xD6E8FEB86659FD93) + self.hashes[i]
-            rows = np.append(rows, row)
-            h = np.append(h, mix(np.array([one], np.uint64)))
+        short = np.flatnonzero((self.counts > 0) & (self.counts < width))
+        one = self.counts[short].astype(np.uint64)
+        for i in range(width - 1):
+            word = np.minimum(self.first[short] + i, len(self.hashes) - 1)
+            one = np.where(i < self.counts[short], one * np.uint64(0xD6E8FEB86659FD93) + self.hashes[word], one)
+        rows, h = np.concatenate([rows, short]), np.concatenate([h, mix(one)])
         return rows, h
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
