@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, near_dedup, passages, pu_quality, quality_rules, toxicity, word_bpe
+from . import chat_rotation, decontaminate, html_layout, license_scan, near_dedup, passages, pu_quality, quality_rules, toxicity, word_bpe
 from .sampling import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,33 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+@_query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(_read(spark, sf_dir, "pages"))
+
+
+_CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+sides AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+seen AS (
+  SELECT t.*, perspective, speaker = perspective AS trained,
+    CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+    CASE WHEN speaker <> perspective AND speaker <> 'system' THEN replace(speaker, '<|', '< |') END AS name
+  FROM t JOIN sides ON t.conv_id IS NOT DISTINCT FROM sides.conv_id),
+drawn AS (
+  SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head,
+    '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered FROM seen),
+placed AS (
+  SELECT *, row_number() OVER o - 1 AS position, CAST(sum(length(rendered)) OVER o AS BIGINT) AS end_char
+  FROM drawn WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, perspective, position, role, name, rendered, end_char - length(rendered) AS first_char, end_char, trained,
+  CASE WHEN trained THEN end_char - length(rendered) + length(head) END AS train_from, CASE WHEN trained THEN end_char - 1 END AS train_till
+FROM placed
+"""
+
+
+@_query(_CHAT_SQL)
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(_read(spark, sf_dir, "conversations"))
