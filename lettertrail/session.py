@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows per Arrow batch: a body may run to megabytes, so batches are kept well under Spark's 10,000 rows.
 ARROW_ROWS = "1000"
 
+_scratch: str | None = None
+
 
 def build_session(app: str = "lettertrail", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = (
@@ -34,16 +36,26 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The directory is the cluster's ``spark.checkpoint.dir``; only when neither that nor a context-level
-    directory exists (local tests) is a scratch one made.
+    Only a local master may do without the setting; it gets a scratch folder that all of its threads see.
     """
+    global _scratch
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _scratch = _scratch or tempfile.mkdtemp(prefix="spark-")
+    return _scratch
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
