@@ -189,17 +189,11 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "
     """
     limit_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    known = items.select(items["item_id"].alias("item_id"), items["text"].cast("string").alias("text")).filter("text IS NOT NULL")
-    passes = max(1, -(-known.count() // ITEMS))
-    kinds = rows.schema["doc_id"].dataType.simpleString(), known.schema["item_id"].dataType.simpleString()
+    kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance bigint, item_words bigint, first_word bigint, end_word bigint"
     names = ["doc_id", "item_id", "distance", "item_words", "first_word", "end_word"]
 
-    def one_pass(number: int) -> DataFrame:
-        part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).orderBy("item_id", "text").toArrow()
-        index = _Index(part["item_id"].to_pylist(), part["text"].to_pylist(), edits)
-        item_kind = part.schema.field("item_id").type
-
+    def one_pass(index: _Index, item_kind: pa.DataType) -> DataFrame:
         def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
                 for low, _, data, offsets in pieces(batch.column(1)):
@@ -211,12 +205,35 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "
 
         return rows.mapInArrow(batches, schema)
 
-    return reduce(DataFrame.union, [one_pass(i) for i in range(passes)])
+    return reduce(DataFrame.union, [one_pass(*found) for found in _indexes(items, edits)])
+
+
+def _indexes(items: DataFrame, edits: float) -> Iterator[tuple[_Index, pa.DataType]]:
+    """The items in blocks of about `ITEMS`, each as an index for one pass."""
+    known = items.select(items["item_id"].alias("item_id"), items["text"].cast("string").alias("text")).filter("text IS NOT NULL")
+    passes = max(1, -(-known.count() // ITEMS))
+    for number in range(passes):
+        part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).orderBy("item_id", "text").toArrow()
+        yield _Index(part["item_id"].to_pylist(), part["text"].to_pylist(), edits), part.schema.field("item_id").type
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> DataFrame:
-    """`docs` without those that hold an item, columns unchanged; rows with a null id are judged by their own text."""
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    numbered = docs.select(row, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))).alias("key"), docs["text"].alias("text"))
-    found = leaks(numbered, items, edits, "key").select(F.col("doc_id").alias("key")).distinct()
-    return numbered.join(found, "key", "left_anti").select("row.*")
+    """`docs` without the rows whose text holds an item, columns unchanged."""
+    limit_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
+
+    def one_pass(rows: DataFrame, index: _Index) -> DataFrame:
+        def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                clean = np.ones(batch.num_rows, bool)
+                for low, _, data, offsets in pieces(batch.column(1)):
+                    for hit in index.hits(Words(data, offsets, lower=True)) if index.names else []:
+                        clean[low + hit[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(batches, schema)
+
+    for index, _ in _indexes(items, edits):
+        rows = one_pass(rows, index)
+    return rows.select("row.*")
