@@ -1,4 +1,4 @@
-"""Run the queries of the llm folder against their checking SQL: `python tests/llm/compare.py [sf] [name ...]`."""
+"""Run the queries of the llm folder against their checking SQL: `python tests/llm/llm_compare.py [sf] [name ...]`."""
 
 from __future__ import annotations
 
