@@ -143,48 +143,62 @@ def _(t):
     return P.clean_pages(t.fx_page_text).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-# ---- quotes: every document gets a reply chain around it
+# ---- quotes: every document gets a reply around it, with a top message longer than the quote
 
 
+_TOP = "concat('Please see below.', chr(10), chr(10), reverse(translate(text, concat(chr(10), '>:'), '   ')), ' zz yy xx ww vv uu tt ss', chr(10), chr(10))"
+_QUOTE = """CASE doc_id % 4 WHEN 0 THEN concat('-----Original Message-----', chr(10), 'From: q@x', chr(10), 'Sent: 1 Jan 2024 10:0', doc_id % 10, chr(10), 'Subject: old', chr(10), chr(10))
+    WHEN 1 THEN concat('> From: q@x', chr(10), '> Date: 1 Jan 2024 10:0', doc_id % 10, chr(10), '> To: b@x; c@x', chr(10), '> Subject: old', chr(10), chr(10))
+    WHEN 2 THEN concat('On 1 Jan 2024 10:0', doc_id % 10, ', q@x wrote:', chr(10))
+    ELSE concat('发件人: q@x', chr(10), '发送时间: 1 Jan 2024 10:0', doc_id % 10, chr(10), '主题: old', chr(10), chr(10)) END"""
+
 
 def _chained(t):
-    """Documents dressed as replies: one of the four kinds of quote after a short top message."""
-    minute = F.concat(F.lit("1 Jan 2024 10:0"), (F.col("doc_id") % 10).cast("string"))
-    quote = (
-        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("-----Original Message-----\nFrom: q@x\nSent: "), minute, F.lit("\nSubject: old\n\n"), "text"))
-        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("> From: q@x\n> Date: "), minute, F.lit("\n> To: b@x; c@x\n> Subject: old\n\n"), "text"))
-        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("On "), minute, F.lit(", q@x wrote:\n"), "text"))
-        .otherwise(F.concat(F.lit("发件人: q@x\n发送时间: "), minute, F.lit("\n主题: old\n\n"), "text"))
-    )
-    top = F.concat(F.lit("Please see what was said below, this is a new message.\n\n"), F.repeat(F.lit("zz yy xx ww vv uu tt ss rr qq. "), 3), F.lit("\n\n"))
-    return t.fx_emails.join(t.documents.select(F.col("doc_id").alias("id"), "doc_id", "text"), "id").withColumn("body_text", F.concat(top, quote)).withColumn(
-        "default_tz", F.lit("UTC")
-    ).drop("doc_id", "text")
+    """Documents dressed as replies: one of the four kinds of quote after a longer top message."""
+    dressed = t.documents.selectExpr("doc_id AS id", f"concat({_TOP}, {_QUOTE}, text) AS dressed")
+    return t.fx_emails.join(dressed, "id").withColumn("body_text", F.col("dressed")).withColumn("default_tz", F.lit("UTC")).drop("dressed")
+
 
+_DRESSED = f"""q AS (SELECT doc_id AS id, text, length({_TOP}) AS start, length({_QUOTE}) + length(text) AS size FROM documents WHERE regexp_matches(text, '[^{Q.WS}]'))"""
+_UNQUOTED = Q.strip("regexp_replace(text, '[ \t]+$', '', 'gm')")
 
-@query("quotes_extracted")
+
+@query(
+    "quotes_extracted",
+    f"""WITH {_DRESSED} SELECT id, 1 AS position, CAST(start AS INTEGER) AS start, CAST(start + size AS INTEGER) AS "end", CASE id % 4 WHEN 0 THEN 'original_message' WHEN 1 THEN 'outlook_header' WHEN 2 THEN 'on_wrote' ELSE 'localized_header' END AS method,
+        'q@x' AS from_addr, CASE WHEN id % 4 = 1 THEN 'b@x;c@x' ELSE '' END AS "to", concat('1 Jan 2024 10:0', id % 10) AS date_raw, concat('2024-01-01 10:0', id % 10, ':00') AS utc,
+        CASE WHEN id % 4 <> 2 THEN 'old' END AS subject, md5({_UNQUOTED}) AS body_md5, CASE WHEN id % 4 = 3 THEN 'low' ELSE 'med' END AS confidence FROM q""",
+)
 def _(t):
     rows = K.extract_quotes(_chained(t))
     return rows.select("id", "position", "start", "end", "method", "from_addr", F.array_join("to", ";").alias("to"), "date_raw", stamp("date_utc").alias("utc"), "subject", F.md5(F.col("body_text").cast("binary")).alias("body_md5"), "confidence")
 
 
-@query("quoted_rows")
+@query(
+    "quoted_rows",
+    f"""WITH {_DRESSED} SELECT e.case_id, q.id AS parent_email_id, 1 AS chain_position, message_id AS in_reply_to, coalesce(message_id, '') AS refs, CASE WHEN q.id % 4 <> 2 THEN 'old' ELSE e.subject END AS subject,
+        CASE WHEN q.id % 4 = 3 THEN 'low' ELSE 'med' END AS parse_confidence, concat('quoted_parse_uncertain,boundary:', CASE q.id % 4 WHEN 0 THEN 'original_message' WHEN 1 THEN 'outlook_header' WHEN 2 THEN 'on_wrote' ELSE 'localized_header' END) AS flags FROM q JOIN fx_emails e ON e.id = q.id""",
+)
 def _(t):
     emails = _chained(t)
     rows = K.quoted_rows(emails, K.extract_quotes(emails))
     return rows.select("case_id", "parent_email_id", "chain_position", "in_reply_to", F.array_join("references", " ").alias("refs"), "subject", "parse_confidence", F.array_join("flags", ",").alias("flags"))
 
 
-@query("printed_emails_detected", "SELECT id FROM fx_emails JOIN documents ON doc_id = id WHERE id % 4 IN (0, 1) AND regexp_matches(text, '[^ \t\n\r]')")
+@query(
+    "printed_emails_detected",
+    f"""WITH {_DRESSED} SELECT id, 'q@x' AS from_addr, CASE WHEN id % 4 = 1 THEN 'b@x;c@x' ELSE '' END AS "to", concat('1 Jan 2024 10:0', id % 10) AS date_raw, 'old' AS subject, md5({_UNQUOTED}) AS body_md5 FROM q WHERE id % 4 <> 2""",
+)
 def _(t):
-    # the quoted part alone is what a printed message looks like
-    texts = _chained(t).withColumn("text", F.regexp_extract("body_text", r"(?s)qq\. \n\n(.*)$", 1)).filter("id % 4 IN (0, 1)").select("id", "text")
-    return K.detect_printed_email(texts)[0].select("id")
+    # the quoted part alone is what a printed message looks like; a reply line alone is no printed header
+    printed = t.documents.selectExpr("doc_id AS id", f"concat({_QUOTE}, text) AS text")
+    rows = K.detect_printed_email(printed)[0]
+    return rows.select("id", "from_addr", F.array_join("to", ";").alias("to"), "date_raw", "subject", F.md5(F.col("body_text").cast("binary")).alias("body_md5"))
 
 
 @query(
     "quote_blocks_deduplicated",
-    f"""SELECT source, n FROM (SELECT source, count(DISTINCT concat(lower(lang), chr(0), lower({Q.strip('substr(text, 1, 500)')}))) AS n FROM documents GROUP BY 1) x""",
+    f"""SELECT source, count(DISTINCT concat(lower(lang), chr(0), lower({Q.strip('text')}))) AS n FROM documents GROUP BY 1""",
 )
 def _(t):
     blocks = t.documents.select(F.col("source").alias("id"), F.col("doc_id").alias("position"), F.col("lang").alias("from_addr"), F.lit(None).cast("string").alias("subject"), F.col("text").alias("body_text"))
