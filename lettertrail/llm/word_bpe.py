@@ -13,19 +13,20 @@ Word tables of a task shrink as `spark.sql.shuffle.partitions` grows.
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import Words, limit_batches, pieces
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
+_CLASSES = 16  # words of a block are numbered by how often they occur, in classes of powers of two
 _PACKED = "target bigint, block bigint, slot int, payload binary"
 _NAMES = ["target", "block", "slot", "payload"]
 
@@ -45,19 +46,37 @@ def _pack(*arrays: np.ndarray) -> bytes:
     batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], [str(i) for i in range(len(arrays))])
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zlib.compress(sink.getvalue(), 1)
+    return zstandard.compress(sink.getvalue(), 3)
 
 
 def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(zlib.decompress(payload)).read_next_batch()
+    batch = pa.ipc.open_stream(zstandard.decompress(payload)).read_next_batch()
     return [np.frombuffer(column[0].as_py(), kind) for column, kind in zip(batch.columns, kinds, strict=True)]
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """The numbers' bytes with those of like weight together, which compress well."""
+    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
 
+def _beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each word as a number that sorts alike."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(8):
+        at = starts + i
+        out = out << np.uint64(8) | np.where(at < ends, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint64)
+    return out
+
+
 class _Block:
     """Texts of one task until they fill a block."""
 
@@ -72,27 +91,33 @@ class _Block:
         self.ids.append(ids)
         self.counts.append(found.counts)
         self.hashes.append(found.hashes)
-        self.words.append((h, np.array(spelled, object)))
+        words = np.empty(len(spelled), object)
+        words[:] = spelled
+        self.words.append((h, words, _beginnings(data, found.starts[first], found.ends[first])))
         self.size += len(data)
 
     def rows(self, block: int, slots: int) -> Iterator[tuple]:
-        distinct, first = np.unique(np.concatenate([h for h, _ in self.words]), return_index=True)
-        spelled = np.concatenate([w for _, w in self.words])[first]
+        hashes = np.concatenate(self.hashes)
+        distinct, times = np.unique(hashes, return_counts=True)
+        first = np.unique(np.concatenate([h for h, _, _ in self.words]), return_index=True)[1]
+        spelled = np.concatenate([w for _, w, _ in self.words])[first]
+        begins = np.concatenate([b for _, _, b in self.words])[first]
         slot = (distinct % np.uint64(slots)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+        rarity = _CLASSES - 1 - np.minimum(np.log2(np.maximum(times, 1)).astype(np.int64), _CLASSES - 1)
+        sent = np.lexsort((begins, rarity, slot))  # as slots get them: frequent words first, then like beginnings together
+        rank = np.empty(len(sent), np.uint32)
+        rank[np.lexsort((begins, slot, rarity))] = np.arange(len(sent), dtype=np.uint32)
+        cuts = np.searchsorted(slot[sent], np.arange(slots + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
-            yield s, block, s, zlib.compress(b"\n".join(spelled[order[cuts[s] : cuts[s + 1]]].tolist()), 1)
-        numbers = rank[np.searchsorted(distinct, np.concatenate(self.hashes))]
-        planes = np.frombuffer(numbers.tobytes(), np.uint8).reshape(-1, 4).T  # bytes of like weight together: these compress
+            yield s, block, s, zstandard.compress(b"\n".join(spelled[sent[cuts[s] : cuts[s + 1]]].tolist()), 3)
+        numbers = rank[np.searchsorted(distinct, hashes)]
         sink = pa.BufferOutputStream()
         ids = pa.concat_arrays(self.ids)
         with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as out:
             out.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
         docs = np.frombuffer(sink.getvalue(), np.uint8)
-        yield block, block, slots, _pack(docs, np.concatenate(self.counts).astype(np.int64), np.ascontiguousarray(planes))
+        sizes = np.bincount(slot * _CLASSES + rarity, minlength=slots * _CLASSES).astype(np.int64)
+        yield block, block, slots, _pack(docs, np.concatenate(self.counts).astype(np.int64), sizes, _planes(numbers))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -129,7 +154,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                 if row["slot"] == slots:
                     yield _rows([(row["block"], row["block"], slots, row["payload"])])
                     continue
-                words = zlib.decompress(row["payload"]).split(b"\n")
+                words = zstandard.decompress(row["payload"]).split(b"\n")
                 new = [w for w in words if w not in known]
                 for i in range(0, len(new), 4096):
                     part = new[i : i + 4096]
@@ -137,23 +162,27 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                         known[w] = np.array(found.ids, np.uint32)
                 ids = [known[w] for w in words]
                 lengths = np.array([len(x) for x in ids], np.uint32)
-                yield _rows([(row["block"], row["block"], row["slot"], _pack(lengths, np.concatenate(ids)))])
+                yield _rows([(row["block"], row["block"], row["slot"], _pack(_planes(lengths), _planes(np.concatenate(ids))))])
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ids = [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["slot"] < slots:
-                    one = _unpack(row["payload"], np.uint32, np.uint32)
+                    one = [_from_planes(x) for x in _unpack(row["payload"], np.uint8, np.uint8)]
                     lengths.append(one[0])
                     ids.append(one[1])
                     continue
-                head, counts, planes = _unpack(row["payload"], np.uint8, np.int64, np.uint8)
+                head, counts, sizes, planes = _unpack(row["payload"], np.uint8, np.int64, np.int64, np.uint8)
                 names = pa.ipc.open_stream(head.tobytes()).read_next_batch().column(0)
-                numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+                numbers = _from_planes(planes)
+                # words came slot by slot, frequent ones first; their numbers go by frequency over all slots
+                rarity = np.repeat(np.arange(len(sizes)) % _CLASSES, sizes)
+                by_number = np.argsort(rarity, kind="stable")
                 size = np.concatenate([np.empty(0, np.uint32), *lengths]).astype(np.int64)
                 flat = np.concatenate([np.empty(0, np.uint32), *ids])
-                starts = np.cumsum(size) - size
+                starts = (np.cumsum(size) - size)[by_number]
+                size = size[by_number]
                 ends = np.cumsum(counts)
                 low = 0
                 while low < len(counts):  # a few texts at a time
