@@ -13,11 +13,11 @@ from pyspark.sql.types import ArrayType, LongType
 
 from .text import bind, pin
 
-# Shingle width, signature size, bands, and the shortest body that gets a signature.
+# Shingle width, signature size, and bands. Two signatures that agree in 47 of the 64 places differ in 17,
+# so of 18 bands at least one is equal: a join on bands misses no pair of Jaccard estimate 0.72 or more.
 SHINGLE_WORDS = 5
 PERMUTATIONS = 64
-BANDS = 16
-MIN_SIGNATURE_CHARS = 120
+BANDS = 18
 PRIME = 2147483647
 
 
@@ -68,7 +68,7 @@ minhash_signature = pandas_udf(_signature, ArrayType(LongType())).asNondetermini
 
 
 def minhash(body_norm: Column, hashes: Column) -> Column:
-    return minhash_signature(F.when(F.length(body_norm) >= MIN_SIGNATURE_CHARS, hashes))
+    return minhash_signature(F.when(F.length(body_norm) > 0, hashes))
 
 
 def minhash_jaccard(a: Column, b: Column) -> Column:
@@ -76,14 +76,15 @@ def minhash_jaccard(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(same / F.lit(float(PERMUTATIONS)))
 
 
+def band_places(bands: int = BANDS) -> list[range]:
+    """The signature places of each band."""
+    return [range(PERMUTATIONS * i // bands, PERMUTATIONS * (i + 1) // bands) for i in range(bands)]
+
+
 def lsh_keys(signature: Column, bands: int = BANDS) -> Column:
-    rows = PERMUTATIONS // bands
     keys = [
-        F.concat(
-            F.lit(f"lsh:{i}:"),
-            F.md5(F.concat_ws(",", *[F.get(signature, i * rows + r).cast("string") for r in range(rows)]).cast("binary")),
-        )
-        for i in range(bands)
+        F.concat(F.lit(f"lsh:{i}:"), F.md5(F.concat_ws(",", *[F.get(signature, place).cast("string") for place in places]).cast("binary")))
+        for i, places in enumerate(band_places(bands))
     ]
     return F.when(signature.isNotNull(), F.array(*keys))
 

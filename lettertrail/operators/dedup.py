@@ -2,39 +2,26 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from difflib import SequenceMatcher
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from ..functions import fingerprint as P
 from ..functions import text as T
 from ..session import materialise
 from .components import connected_components
 
-# Scoring thresholds, scores and the block-size limit.
-EXACT_MIN = 40
-SIMILAR_MIN = 80
-PREFIX_MIN, PREFIX_CHARS = 160, 240
+# Scoring thresholds and scores.
 KEEP_SCORE = 0.92
-SIMILAR_STRONG = 0.94
 JACCARD_WEAK, JACCARD_STRONG = 0.72, 0.85
 CONTAINED, CONTAINED_SCORE = 0.90, 0.93
 MIN_CONTAINED_SHINGLES = 5
 CLOSE_SECONDS = 600
-MAX_BLOCK = 400
 EXACT_REASONS = ("same_source_sha256", "same_message_id", "same_body_hash")
 KIND_RANK = {"standalone": 0, "attached": 1, "snipped": 2, "quoted": 3}
 REVIEWED_KINDS = tuple(KIND_RANK)
 
-# Families whose members are the same thing whatever the block size.
+# Families whose members are the same thing; the others are evidence that two bodies are alike.
 EXACT_FAMILIES = ("sha", "msg", "body")
-BODY_FAMILIES = ("body_prefix", "lsh")
 
 
 def reviewable(emails: DataFrame) -> DataFrame:
@@ -68,29 +55,15 @@ def refresh_fingerprints(emails: DataFrame, old: DataFrame) -> DataFrame:
 # ---- blocking
 
 
-def date_bucket(ts: Column) -> Column:
-    return F.floor(F.unix_timestamp(ts) / CLOSE_SECONDS)
-
-
 def block_keys(emails: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """(case_id, id, body_hash, family, key): every key under which two rows may meet."""
-    rows = emails.select("id", "case_id", "source_sha", "message_id", "subject", "from_addr", "date_utc").join(
-        fingerprints.select("id", "body_norm", "body_hash", "norm_len", "signature"), "id"
-    )
-    subject, sender = T.norm_subject(F.col("subject")), T.norm_contact(F.col("from_addr"))
-    sha, ref, bucket = F.trim(F.coalesce("source_sha", F.lit(""))), T.norm_msgid(F.col("message_id")), date_bucket(F.col("date_utc"))
+    """(case_id, id, body_hash, family, key): every key under which two rows may meet: file, message id, body, bands."""
+    rows = emails.select("id", "case_id", "source_sha", "message_id").join(fingerprints.select("id", "body_hash", "norm_len", "signature"), "id")
+    sha, ref = F.trim(F.coalesce("source_sha", F.lit(""))), T.norm_msgid(F.col("message_id"))
 
     def key(family: str, value: Column, present: Column) -> Column:
         return F.when(present, F.struct(F.lit(family).alias("family"), F.concat(F.lit(f"{family}:"), value).alias("key")))
 
-    single = [
-        key("sha", sha, sha != ""),
-        key("msg", ref, ref.isNotNull()),
-        key("body", F.col("body_hash"), F.col("norm_len") >= EXACT_MIN),
-        key("body_prefix", T.body_hash(F.substring("body_norm", 1, PREFIX_CHARS)), F.col("norm_len") >= PREFIX_MIN),
-        key("subject_sender", F.concat_ws("|", subject, sender), sender != ""),
-        *[key("subject_date", F.concat_ws("|", subject, (bucket + d).cast("string")), bucket.isNotNull()) for d in (-1, 0, 1)],
-    ]
+    single = [key("sha", sha, sha != ""), key("msg", ref, ref.isNotNull()), key("body", F.col("body_hash"), F.col("norm_len") > 0)]
     bands = F.transform(
         F.coalesce(P.lsh_keys(F.col("signature")), F.array().cast("array<string>")),
         lambda band: F.struct(F.lit("lsh").alias("family"), band.alias("key")),
@@ -99,36 +72,39 @@ def block_keys(emails: DataFrame, fingerprints: DataFrame) -> DataFrame:
     return rows.select("case_id", "id", "body_hash", F.explode(every).alias("k")).select("case_id", "id", "body_hash", "k.*")
 
 
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """All pairs inside blocks already known to be small."""
-    left = rows.select("case_id", "key", F.col("id").alias("a"))
-    right = rows.select("case_id", "key", F.col("id").alias("b"))
-    return left.join(right, ["case_id", "key"]).filter("a < b").select("case_id", "a", "b")
+def contained_bodies(fingerprints: DataFrame) -> DataFrame:
+    """(case_id, left_body, right_body, left_id, right_id, contained) both ways: bodies of a case of which one holds the other.
 
+    The ids are the first rows of the bodies in their case.
+    """
+    bodies = fingerprints.groupBy("case_id", "body_hash").agg(F.first("hashes").alias("hashes"), F.min("id").alias("id"))
+    # a hash of the case with the shingle meets no other case's
+    own = bodies.select(
+        F.struct("case_id", "body_hash", "id").alias("key"), F.transform("hashes", lambda h: F.xxhash64("case_id", h)).alias("hashes")
+    )
+    held = containment_within(own, "key", CONTAINED, 1)
+    sides = lambda a, b: held.select(
+        F.col(f"{a}.case_id").alias("case_id"), F.col(f"{a}.body_hash").alias("left_body"), F.col(f"{b}.body_hash").alias("right_body"),
+        F.col(f"{a}.id").alias("left_id"), F.col(f"{b}.id").alias("right_id"), "contained",
+    )
+    return sides("small_key", "large_key").union(sides("large_key", "small_key"))
 
-def candidate_pairs(keys: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """Distinct (case_id, a, b), a < b, of rows sharing a block.
 
-    A block of up to `max_block` rows gives all its pairs. Above that the work stays linear in the rows:
-    same-file, same-id and same-body blocks link every row to their first one; prefix and band blocks keep one
-    row per distinct body (the copies already hang together through their body block), paired in full when few
-    enough and linked to the first otherwise; subject blocks that large say nothing and are skipped.
+def candidate_pairs(keys: DataFrame, contained: DataFrame) -> DataFrame:
+    """Distinct (case_id, a, b), a < b: pairs with evidence, by one rule whatever the number of rows that share a key.
+
+    Rows of one file, message id or body are each paired with the first of them, which keeps copies together without
+    all their pairs. Different bodies are paired, by their first rows in the case, where they share a band of their
+    signatures or one contains the other.
     """
-    keys = keys.select("case_id", "id", "body_hash", "family", "key")
-    blocks = keys.groupBy("case_id", "key").agg(
-        F.count("*").alias("n"), F.min("id").alias("hub"), F.first("family").alias("family")
-    ).filter("n > 1 AND (n <= {0} OR family IN ({1}))".format(max_block, ", ".join(f"'{f}'" for f in EXACT_FAMILIES + BODY_FAMILIES)))
-    met = materialise(keys.drop("family").join(blocks, ["case_id", "key"]))
-    small = _pairs_within(met.filter(F.col("n") <= max_block))
-    big = met.filter(F.col("n") > max_block)
-    star = big.filter(F.col("family").isin(*EXACT_FAMILIES))
-    firsts = big.filter(F.col("family").isin(*BODY_FAMILIES)).groupBy("case_id", "key", "hub", "body_hash").agg(F.min("id").alias("id"))
-    spread = firsts.groupBy("case_id", "key").agg(F.count("*").alias("bodies"))
-    firsts = firsts.join(spread, ["case_id", "key"])
-    several = _pairs_within(firsts.filter(F.col("bodies") <= max_block))
-    star = star.select("case_id", "hub", "id").union(firsts.filter(F.col("bodies") > max_block).select("case_id", "hub", "id"))
-    linked = star.filter("hub <> id").select("case_id", F.col("hub").alias("a"), F.col("id").alias("b"))
-    return small.union(several).union(linked).distinct()
+    exact = keys.filter(F.col("family").isin(*EXACT_FAMILIES)).select("case_id", "id", "key")
+    hubs = exact.groupBy("case_id", "key").agg(F.min("id").alias("a"))
+    star = exact.join(hubs, ["case_id", "key"]).filter("a <> id").select("case_id", "a", F.col("id").alias("b"))
+    firsts = keys.filter("family = 'lsh'").groupBy("case_id", "key", "body_hash").agg(F.min("id").alias("id"))
+    left, right = (firsts.select("case_id", "key", F.col("id").alias(side)) for side in ("a", "b"))
+    alike = left.join(right, ["case_id", "key"]).filter("a < b").select("case_id", "a", "b")
+    held = contained.select("case_id", F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"))
+    return star.union(alike).union(held).distinct()
 
 
 # ---- containment
@@ -175,13 +151,17 @@ def containment_within(sets: DataFrame, key: str, share: float = CONTAINED, min_
     return _contained(weighed, weighed, F.expr("small_n < large_n OR (small_n = large_n AND small_key < large_key)"), share)
 
 
+def _shared_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    in_a = a.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("da"))
+    in_b = b.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("db"))
+    return in_a.join(in_b, "h").select("h", (F.col("da") + F.col("db")).alias("df"))
+
+
 def containment_between(left: DataFrame, right: DataFrame, key_left: str, key_right: str, share: float = CONTAINED,
                         min_shingles: int = MIN_CONTAINED_SHINGLES) -> DataFrame:
     """(left_key, right_key, contained) over two tables; the smaller set of each pair is measured."""
     a, b = _sized(left, key_left, min_shingles), _sized(right, key_right, min_shingles)
-    in_a = a.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("da"))
-    in_b = b.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("db"))
-    counts = in_a.join(in_b, "h").select("h", (F.col("da") + F.col("db")).alias("df"))
+    counts = _shared_counts(a, b)
     wa, wb = _weighed(a, counts, share), _weighed(b, counts, share)
     a_in_b = _contained(wa, wb, F.expr("small_n <= large_n"), share)
     b_in_a = _contained(wb, wa, F.expr("small_n < large_n"), share)
@@ -190,29 +170,14 @@ def containment_between(left: DataFrame, right: DataFrame, key_left: str, key_ri
     )
 
 
-# ---- scoring
-
-
-def _ratio(left: pd.Series, right: pd.Series, floor: pd.Series) -> pd.Series:
-    letters = lru_cache(maxsize=512)(Counter)
-
-    def one(a, b, low):
-        if a is None or b is None:
-            return None
-        # letters in common bound the ratio from above
-        if 2 * sum((letters(a) & letters(b)).values()) < low * (len(a) + len(b)):
-            return 0.0
-        return SequenceMatcher(None, a, b).ratio()
-
-    return pd.Series([one(*row) for row in zip(left, right, floor)], dtype="float64")
-
+def held_in(parts: DataFrame, wholes: DataFrame, key: str, share: float) -> DataFrame:
+    """(small_key, large_key, contained): sets of `parts` that lie to at least `share` inside a set of `wholes` of any size."""
+    a, b = _sized(parts, key, 1), _sized(wholes, key, 1)
+    counts = _shared_counts(a, b)
+    return _contained(_weighed(a, counts, share), _weighed(b, counts, share), F.lit(True), share)
 
-similarity_ratio = pandas_udf(_ratio, DoubleType()).asNondeterministic()
 
-
-def similarity(pairs: DataFrame, left: str, right: str, floor: float, out: str = "similarity") -> DataFrame:
-    """Character ratio of two text columns, 0 when a cheap bound already falls below `floor`."""
-    return pairs.withColumn(out, similarity_ratio(F.col(left), F.col(right), F.lit(floor)))
+# ---- scoring
 
 
 def _reason(code: str, label: Column | str, value: Column | None = None) -> Column:
@@ -227,9 +192,9 @@ def _percent_label(lead: str, value: Column, tail: str) -> Column:
 
 def pair_features(pairs: DataFrame, emails: DataFrame, fingerprints: DataFrame) -> DataFrame:
     facts = emails.select("id", "source_sha", "message_id", "subject", "from_addr", "date_utc").join(
-        fingerprints.select("id", "body_hash", "norm_len", F.col("signature").isNotNull().alias("signed")), "id"
+        fingerprints.select("id", "body_hash", "norm_len"), "id"
     ).select(
-        "id", "body_hash", "norm_len", "signed", "date_utc",
+        "id", "body_hash", "norm_len", "date_utc",
         F.nullif(F.trim("source_sha"), F.lit("")).alias("sha"),
         T.norm_msgid(F.col("message_id")).alias("ref"),
         T.norm_subject(F.col("subject")).alias("subject"),
@@ -239,12 +204,10 @@ def pair_features(pairs: DataFrame, emails: DataFrame, fingerprints: DataFrame)
     right = facts.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts.columns if c != "id"])
     both = pairs.join(left, "a").join(right, "b")
     has_bodies = (F.col("norm_len_a") > 0) & (F.col("norm_len_b") > 0)
-    same_body = has_bodies & (F.col("body_hash_a") == F.col("body_hash_b")) & (F.least("norm_len_a", "norm_len_b") >= EXACT_MIN)
+    same_body = has_bodies & (F.col("body_hash_a") == F.col("body_hash_b"))
     return both.select(
         *[c for c in pairs.columns],
         F.col("body_hash_a").alias("left_body"), F.col("body_hash_b").alias("right_body"),
-        F.least("norm_len_a", "norm_len_b").alias("min_len"), F.greatest("norm_len_a", "norm_len_b").alias("max_len"),
-        (F.col("signed_a") & F.col("signed_b")).alias("signed"),
         F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False)).alias("same_sha"),
         F.coalesce(F.col("ref_a") == F.col("ref_b"), F.lit(False)).alias("same_ref"),
         same_body.alias("same_body"), (has_bodies & ~same_body).alias("open"),
@@ -254,68 +217,44 @@ def pair_features(pairs: DataFrame, emails: DataFrame, fingerprints: DataFrame)
     )
 
 
-def score_pairs(pairs: DataFrame, emails: DataFrame, fingerprints: DataFrame) -> DataFrame:
+def score_pairs(pairs: DataFrame, emails: DataFrame, fingerprints: DataFrame, contained: DataFrame) -> DataFrame:
     """Pairs scoring at least 0.92, with the reasons in order of strength.
 
-    Body comparisons run once per distinct pair of bodies, not per pair of rows, and a dearer comparison only
-    sees what a cheaper one left undecided.
+    Signatures are compared once per distinct pair of bodies, not per pair of rows; `contained` is what
+    `contained_bodies` found.
     """
     facts = materialise(pair_features(pairs, emails, fingerprints))
-    bodies = fingerprints.groupBy("body_hash").agg(
-        F.first("body_norm").alias("body_norm"), F.first("hashes").alias("hashes"), F.first("signature").alias("signature")
-    )
+    signed = fingerprints.groupBy("body_hash").agg(F.first("signature").alias("signature"))
     context = F.col("same_subject") | F.col("same_sender") | F.col("close_date")
 
-    asked = facts.filter("open AND signed").select("left_body", "right_body").distinct()
-    sig_l = bodies.select(F.col("body_hash").alias("left_body"), F.col("signature").alias("sl"))
-    sig_r = bodies.select(F.col("body_hash").alias("right_body"), F.col("signature").alias("sr"))
+    asked = facts.filter("open").select("left_body", "right_body").distinct()
+    sig_l = signed.select(F.col("body_hash").alias("left_body"), F.col("signature").alias("sl"))
+    sig_r = signed.select(F.col("body_hash").alias("right_body"), F.col("signature").alias("sr"))
     jaccards = asked.join(sig_l, "left_body").join(sig_r, "right_body").select(
         "left_body", "right_body", P.minhash_jaccard(F.col("sl"), F.col("sr")).alias("jaccard")
     ).filter(F.col("jaccard") >= JACCARD_WEAK)
 
-    reach = (2 - KEEP_SCORE) / KEEP_SCORE
-    short = facts.filter("open AND NOT signed").filter(
-        (F.col("min_len") >= SIMILAR_MIN) & (F.col("max_len") <= F.col("min_len") * reach)
-    ).select("left_body", "right_body").distinct()
-    text_l = bodies.select(F.col("body_hash").alias("left_body"), F.col("body_norm").alias("tl"))
-    text_r = bodies.select(F.col("body_hash").alias("right_body"), F.col("body_norm").alias("tr"))
-    ratios = similarity(short.join(text_l, "left_body").join(text_r, "right_body"), "tl", "tr", KEEP_SCORE).select(
-        "left_body", "right_body", "similarity"
-    ).filter(F.col("similarity") >= KEEP_SCORE)
-
-    held = containment_within(bodies, "body_hash")
-    contained = held.select(F.col("small_key").alias("left_body"), F.col("large_key").alias("right_body"), "contained").union(
-        held.select("large_key", "small_key", "contained")
-    )
-
     on = ["left_body", "right_body"]
-    joined = facts.join(jaccards, on, "left").join(ratios, on, "left").join(contained, on, "left")
-    j, r = F.col("jaccard"), F.col("similarity")
+    held = contained.select("case_id", *on, "contained")
+    joined = facts.join(jaccards, on, "left").join(held, ["case_id", *on], "left")
+    j = F.col("jaccard")
     by_jaccard = F.coalesce(F.col("open") & ((j >= JACCARD_STRONG) | ((j >= JACCARD_WEAK) & context)), F.lit(False))
-    by_ratio = F.coalesce(
-        F.col("open") & ~F.col("signed") & (F.col("min_len") >= SIMILAR_MIN) & ((r >= SIMILAR_STRONG) | ((r >= KEEP_SCORE) & context)),
-        F.lit(False),
-    )
-    work = joined.withColumn("by_jaccard", by_jaccard).withColumn("by_ratio", by_ratio)
-    by_contained = F.col("open") & ~F.col("by_jaccard") & ~F.col("by_ratio") & (F.col("min_len") >= SIMILAR_MIN) & F.col("contained").isNotNull()
-    work = work.withColumn("by_contained", F.coalesce(by_contained, F.lit(False)))
-    hints = sum((F.col(c).cast("int") for c in ("same_sender", "close_date")), F.col("same_subject").cast("int"))
+    work = joined.withColumn("by_jaccard", by_jaccard)
+    work = work.withColumn("by_contained", F.col("open") & ~F.col("by_jaccard") & F.col("contained").isNotNull())
     score = F.greatest(
         F.when(F.col("same_sha"), F.lit(1.0)),
         F.when(F.col("same_ref"), F.lit(0.99)),
         F.when(F.col("same_body"), F.lit(0.97)),
         F.when(F.col("by_jaccard"), F.when(j >= JACCARD_STRONG, F.least(F.lit(0.96), 0.94 + (j - JACCARD_STRONG) * 0.13)).otherwise(KEEP_SCORE)),
-        F.when(F.col("by_ratio"), F.least(F.lit(0.96), r + F.least(F.lit(0.03), hints * 0.01))),
         F.when(F.col("by_contained"), F.lit(CONTAINED_SCORE)),
     )
-    fuzzy = F.col("by_jaccard") | F.col("by_ratio") | F.col("by_contained")
+    fuzzy = F.col("by_jaccard") | F.col("by_contained")
     reasons = F.array_compact(
         F.array(
             F.when(F.col("same_sha"), _reason("same_source_sha256", "Same source file hash")),
             F.when(F.col("same_ref"), _reason("same_message_id", "Same Message-ID")),
             F.when(F.col("same_body"), _reason("same_body_hash", "Same normalized body")),
             F.when(F.col("by_jaccard"), _reason("body_shingle_jaccard", _percent_label("Body ", j, "% overlap"), F.bround(j, 4))),
-            F.when(F.col("by_ratio"), _reason("body_similarity", _percent_label("Body ", r, "% similar"), F.bround(r, 4))),
             F.when(
                 F.col("by_contained"),
                 _reason("body_containment", _percent_label("Body ", F.col("contained"), "% contained (likely quote/forward)"), F.bround("contained", 4)),
@@ -335,8 +274,9 @@ def duplicate_pairs(emails: DataFrame, fingerprints: DataFrame | None = None) ->
     """Scored duplicate pairs of a whole email table."""
     live = reviewable(emails)
     prints = materialise(fingerprint_table(live)) if fingerprints is None else fingerprints
-    pairs = candidate_pairs(block_keys(live, prints))
-    return score_pairs(pairs, live, prints)
+    contained = materialise(contained_bodies(prints))
+    pairs = candidate_pairs(block_keys(live, prints), contained)
+    return score_pairs(pairs, live, prints, contained)
 
 
 # ---- review state

@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import hash28
-from ..functions.text import bind, pin
-from .dedup import similarity, with_body_norm
+from ..functions.fingerprint import shingle_hashes
+from ..functions.text import pin
+from .dedup import held_in, with_body_norm
 
-SIMILAR = 0.70
-# the shorter of two texts with ratio r is at least r / (2 - r) of the longer
-REACH = (2 - SIMILAR) / SIMILAR
-# part of the quoted body's word triples a standalone body must share to be compared in indexed mode
-SHARED = 0.05
-COMMON = 0.2
+# Fixed value: the share of a quoted body's five-word windows that a standalone body must hold.
+HELD = 0.70
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
-    return with_body_norm(rows).filter("norm_len > 0").select("id", "case_id", "body_norm", "body_hash", "norm_len")
+    return with_body_norm(rows).filter("norm_len > 0").select("id", "case_id", "body_norm", "body_hash")
 
 
 def repeated_exactly(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
@@ -26,66 +22,23 @@ def repeated_exactly(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
     return quoted.join(standalone.select("case_id", "body_hash").distinct(), ["case_id", "body_hash"], "left_semi").select("id")
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """(case_id, body_hash, norm_len, n, h): hashed word triples, the whole body when shorter, and how many."""
-    def triples(words):
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
-        return F.array_distinct(F.transform(starts, lambda i: hash28(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))))
+def _sets(rows: DataFrame) -> DataFrame:
+    """(key, hashes) of the distinct bodies of each case; hashes of different cases never meet."""
+    bodies = rows.groupBy("case_id", "body_hash").agg(F.first("body_norm").alias("body_norm"))
+    hashed = bodies.withColumn("hashes", pin(shingle_hashes(F.col("body_norm"))))
+    return hashed.select(F.struct("case_id", "body_hash").alias("key"), F.transform("hashes", lambda h: F.xxhash64("case_id", h)).alias("hashes"))
 
-    sets = rows.select("case_id", "body_hash", "norm_len", pin(bind(F.split("body_norm", " "), triples)).alias("hs"))
-    return sets.select("case_id", "body_hash", "norm_len", F.size("hs").alias("n"), F.explode("hs").alias("h"))
 
+def reconcile_quoted(emails: DataFrame) -> DataFrame:
+    """The emails without quoted rows that equal a standalone body of their case or lie to 0.70 inside one.
 
-def _met(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
-    """Body pairs of compatible length sharing enough of the quoted body's rarer word triples."""
-    q, s = _tokens(quoted), _tokens(standalone)
-    weight = s.groupBy("case_id", "h").agg(F.count("*").alias("df"))
-    ranked = q.join(weight, ["case_id", "h"]).groupBy("case_id", "body_hash", "norm_len", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r")
-    )
-    # the commonest fifth of a body's triples (a shared footer, say) is no join key unless there is little else
-    probe = ranked.select(
-        "case_id", F.col("body_hash").alias("q_hash"), F.col("norm_len").alias("q_len"), (F.col("n") * SHARED).alias("least"),
-        F.explode(F.slice("r", 1, F.ceil(F.size("r") * (1 - COMMON)).cast("int"))).alias("t"),
-    )
-    probe = probe.select("case_id", "q_hash", "q_len", "least", F.col("t.h").alias("h"))
-    index = s.select("case_id", F.col("body_hash").alias("s_hash"), F.col("norm_len").alias("s_len"), "h")
-    near = (F.col("s_len") <= F.col("q_len") * REACH) & (F.col("q_len") <= F.col("s_len") * REACH)
-    shared = probe.join(index, ["case_id", "h"]).filter(near).groupBy("case_id", "q_hash", "s_hash").agg(
-        F.count("*").alias("shared"), F.first("least").alias("least")
-    )
-    return shared.filter("shared >= least").select("case_id", "q_hash", "s_hash")
-
-
-def _banded(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
-    """Every body pair of compatible length within a case."""
-    band = lambda c: F.floor(F.log(c) / F.log(F.lit(REACH)))
-    q = quoted.select("case_id", F.col("body_hash").alias("q_hash"), F.col("norm_len").alias("q_len"), F.explode(F.sequence(band("norm_len") - 1, band("norm_len") + 1)).alias("band"))
-    s = standalone.select("case_id", F.col("body_hash").alias("s_hash"), F.col("norm_len").alias("s_len"), band("norm_len").alias("band"))
-    near = (F.col("s_len") <= F.col("q_len") * REACH) & (F.col("q_len") <= F.col("s_len") * REACH)
-    return q.join(s, ["case_id", "band"]).filter(near).select("case_id", "q_hash", "s_hash")
-
-
-def reconcile_quoted(emails: DataFrame, mode: str = "indexed") -> DataFrame:
-    """The emails without quoted rows that equal, or are at least 0.70 similar to, a standalone body of their case.
-
-    Trashed rows take part. Equal bodies go by an equi-join; the rest is compared per pair of distinct bodies.
-    `mode="indexed"` compares bodies that share a twentieth of the quoted body's word triples, which texts this
-    alike do unless nearly every word was altered; `mode="exhaustive"` compares every pair of compatible length,
-    which is quadratic per case and meant for small ones.
+    Trashed rows take part. A body of fewer than five words is one window, so it goes only where it is equal. Equal
+    bodies go by an equi-join, the rest by exact containment of five-word windows between distinct bodies.
     """
     quoted = _bodies(emails.filter("source_kind = 'quoted'"))
     standalone = _bodies(emails.filter("source_kind = 'standalone'"))
     same = repeated_exactly(quoted, standalone)
     left = quoted.join(same, "id", "left_anti")
-    q_bodies = left.groupBy("case_id", "body_hash").agg(F.first("body_norm").alias("body_norm"), F.first("norm_len").alias("norm_len"))
-    s_bodies = standalone.groupBy("case_id", "body_hash").agg(F.first("body_norm").alias("body_norm"), F.first("norm_len").alias("norm_len"))
-    pairs = _met(q_bodies, s_bodies) if mode == "indexed" else _banded(q_bodies, s_bodies)
-    texts = pairs.join(q_bodies.select("case_id", F.col("body_hash").alias("q_hash"), F.col("body_norm").alias("q_text")), ["case_id", "q_hash"]).join(
-        s_bodies.select("case_id", F.col("body_hash").alias("s_hash"), F.col("body_norm").alias("s_text")), ["case_id", "s_hash"]
-    )
-    # few rows, much work each: a fixed number of partitions keeps them from being merged into a few tasks
-    texts = texts.repartition(int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q_hash", "s_hash")
-    alike = similarity(texts, "q_text", "s_text", SIMILAR).filter(F.col("similarity") >= SIMILAR).select("case_id", F.col("q_hash").alias("body_hash")).distinct()
-    near = left.join(alike, ["case_id", "body_hash"], "left_semi").select("id")
+    held = held_in(_sets(left), _sets(standalone), "key", HELD).select("small_key.case_id", "small_key.body_hash").distinct()
+    near = left.join(held, ["case_id", "body_hash"], "left_semi").select("id")
     return emails.join(same.union(near), "id", "left_anti")

@@ -1,6 +1,6 @@
 """Fragments shared by the checking SQL."""
 
-from ..functions.fingerprint import PERMUTATIONS, PRIME, coefficients
+from ..functions.fingerprint import PERMUTATIONS, PRIME, band_places, coefficients
 
 # Python whitespace as an RE2 class body.
 WS = r"\t-\r\x1c-\x20\x{85}\p{Z}"
@@ -66,3 +66,7 @@ def signature_columns(h: str = "h") -> str:
 
 
 SIG_NAMES = [f"s{i}" for i in range(PERMUTATIONS)]
+
+
+def band_keys() -> list[str]:
+    return [f"concat('lsh:{i}:', md5(concat_ws(',', {', '.join(f's{place}' for place in places)})))" for i, places in enumerate(band_places())]

@@ -17,34 +17,32 @@ _LIVE = "deleted_at IS NULL AND superseded_at IS NULL"
 _BASE = f"""norm AS MATERIALIZED (SELECT id, case_id, source_kind, date_utc, source_sha, {Q.body_norm('body_text')} AS body_norm, {Q.msgid_norm('message_id')} AS ref,
     {Q.subject_norm('subject')} AS subject_key, {Q.fold('lower(from_addr)')} AS sender FROM fx_emails WHERE {_LIVE}),
   sh AS ({Q.shingle_rows('norm')}), h AS MATERIALIZED (SELECT DISTINCT id, {Q.hash28('shingle')} AS h FROM sh),
-  sig AS MATERIALIZED (SELECT id, {Q.signature_columns()} FROM h WHERE id IN (SELECT id FROM norm WHERE length(body_norm) >= {P.MIN_SIGNATURE_CHARS}) GROUP BY id)"""
+  sig AS MATERIALIZED (SELECT id, {Q.signature_columns()} FROM h GROUP BY id)"""
 
-_BANDS = " UNION ALL ".join(
-    f"SELECT id, concat('lsh:{b}:', md5(concat_ws(',', s{4 * b}, s{4 * b + 1}, s{4 * b + 2}, s{4 * b + 3}))) AS key FROM sig" for b in range(P.BANDS)
-)
+_BANDS = " UNION ALL ".join(f"SELECT id, {key} AS key FROM sig" for key in Q.band_keys())
 _KEYS = f"""keys AS MATERIALIZED (SELECT n.case_id, k.id, k.key FROM (
     SELECT id, concat('sha:', source_sha) AS key FROM norm WHERE source_sha <> ''
     UNION ALL SELECT id, concat('msg:', ref) FROM norm WHERE ref IS NOT NULL
-    UNION ALL SELECT id, concat('body:', sha256(body_norm)) FROM norm WHERE length(body_norm) >= 40
-    UNION ALL SELECT id, concat('body_prefix:', sha256(substr(body_norm, 1, 240))) FROM norm WHERE length(body_norm) >= 160
-    UNION ALL SELECT id, concat('subject_sender:', subject_key, '|', sender) FROM norm WHERE sender <> ''
-    UNION ALL SELECT id, concat('subject_date:', subject_key, '|', CAST(unnest([b - 1, b, b + 1]) AS VARCHAR)) FROM (SELECT id, subject_key, CAST(epoch(date_utc) AS BIGINT) // 600 AS b FROM norm WHERE date_utc IS NOT NULL) AS d
+    UNION ALL SELECT id, concat('body:', sha256(body_norm)) FROM norm WHERE body_norm <> ''
     UNION ALL {_BANDS}) AS k JOIN norm n ON n.id = k.id)"""
-_PAIRS = """blocks AS (SELECT case_id, key FROM keys GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 400),
-  ok AS (SELECT k.* FROM keys k JOIN blocks b ON b.case_id = k.case_id AND b.key = k.key),
-  pairs AS MATERIALIZED (SELECT DISTINCT a.case_id, a.id AS a, b.id AS b FROM ok a JOIN ok b ON a.case_id = b.case_id AND a.key = b.key AND a.id < b.id)"""
+_PAIRS = """hubs AS (SELECT case_id, key, min(id) AS a FROM keys WHERE NOT starts_with(key, 'lsh:') GROUP BY 1, 2),
+  firsts AS MATERIALIZED (SELECT case_id, min(id) AS id FROM norm WHERE body_norm <> '' GROUP BY case_id, body_norm),
+  bands AS (SELECT k.* FROM keys k JOIN firsts f ON f.id = k.id WHERE starts_with(key, 'lsh:')),
+  fh AS MATERIALIZED (SELECT f.case_id, h.id, h.h, count(*) OVER (PARTITION BY h.id) AS n FROM firsts f JOIN h ON h.id = f.id),
+  pairs AS MATERIALIZED (SELECT k.case_id, a, id AS b FROM keys k JOIN hubs u ON u.case_id = k.case_id AND u.key = k.key WHERE a <> id
+    UNION SELECT x.case_id, x.id, y.id FROM bands x JOIN bands y ON x.case_id = y.case_id AND x.key = y.key AND x.id < y.id
+    UNION SELECT x.case_id, x.id, y.id FROM fh x JOIN fh y ON x.case_id = y.case_id AND x.h = y.h AND x.id < y.id GROUP BY x.case_id, x.id, y.id HAVING count(*) / min(least(x.n, y.n)) >= 0.9)"""
 _SCORED = f"""sizes AS (SELECT id, count(*) AS n FROM h GROUP BY id),
   meet AS (SELECT p.a, p.b, count(*) AS c FROM pairs p JOIN h x ON x.id = p.a JOIN h y ON y.id = p.b AND y.h = x.h GROUP BY 1, 2),
   facts AS (SELECT p.*, x.source_sha = y.source_sha AS same_sha, coalesce(x.ref = y.ref, false) AS same_ref,
-      x.body_norm = y.body_norm AND length(x.body_norm) >= 40 AS same_body,
+      x.body_norm = y.body_norm AND x.body_norm <> '' AS same_body,
       x.subject_key = y.subject_key AS same_subject, x.sender = y.sender AS same_sender, coalesce(abs(epoch(x.date_utc) - epoch(y.date_utc)) <= 600, false) AS close_date,
-      least(length(x.body_norm), length(y.body_norm)) AS min_len,
       CASE WHEN s.id IS NOT NULL AND t.id IS NOT NULL THEN ({' + '.join(f'CAST(s.s{i} = t.s{i} AS INTEGER)' for i in range(64))}) / 64.0 ELSE 0 END AS j,
-      CASE WHEN least(nx.n, ny.n) >= 5 THEN coalesce(meet.c, 0) / least(nx.n, ny.n) ELSE 0 END AS c
+      CASE WHEN least(nx.n, ny.n) >= 1 THEN coalesce(meet.c, 0) / least(nx.n, ny.n) ELSE 0 END AS c
     FROM pairs p JOIN norm x ON x.id = p.a JOIN norm y ON y.id = p.b LEFT JOIN sig s ON s.id = p.a LEFT JOIN sig t ON t.id = p.b
     LEFT JOIN sizes nx ON nx.id = p.a LEFT JOIN sizes ny ON ny.id = p.b LEFT JOIN meet ON meet.a = p.a AND meet.b = p.b),
   judged AS (SELECT *, NOT same_body AND (j >= 0.85 OR (j >= 0.72 AND (same_subject OR same_sender OR close_date))) AS by_j FROM facts),
-  judged2 AS (SELECT *, NOT same_body AND NOT by_j AND min_len >= 80 AND c >= 0.9 AS by_c FROM judged),
+  judged2 AS (SELECT *, NOT same_body AND NOT by_j AND c >= 0.9 AS by_c FROM judged),
   scored AS MATERIALIZED (SELECT case_id, a AS email_a_id, b AS email_b_id,
       round_even(greatest(CASE WHEN same_sha THEN 1.0::DOUBLE ELSE 0 END, CASE WHEN same_ref THEN 0.99::DOUBLE ELSE 0 END, CASE WHEN same_body THEN 0.97::DOUBLE ELSE 0 END,
         CASE WHEN by_j AND j >= 0.85 THEN least(0.96::DOUBLE, 0.94::DOUBLE + (j - 0.85::DOUBLE) * 0.13::DOUBLE) WHEN by_j THEN 0.92::DOUBLE ELSE 0 END, CASE WHEN by_c THEN 0.93::DOUBLE ELSE 0 END), 4) AS score,
@@ -84,7 +82,8 @@ def _(t):
 @query("candidate_pairs", f"WITH {_BASE}, {_KEYS}, {_PAIRS} SELECT case_id, a, b FROM pairs")
 def _(t):
     live = D.reviewable(t.fx_emails)
-    return D.candidate_pairs(D.block_keys(live, materialise(D.fingerprint_table(live))))
+    prints = materialise(D.fingerprint_table(live))
+    return D.candidate_pairs(D.block_keys(live, prints), D.contained_bodies(prints))
 
 
 @query("duplicate_scores", f"WITH {_BASE}, {_KEYS}, {_PAIRS}, {_SCORED} SELECT * FROM scored")

@@ -205,18 +205,33 @@ def _(t):
     return K.dedupe_blocks(blocks).groupBy(F.col("id").alias("source")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "quoted_repeats_exact",
-    f"""WITH n AS (SELECT id, case_id, source_kind, {Q.body_norm('body_text')} AS b FROM fx_emails) SELECT q.id FROM n q WHERE source_kind = 'quoted' AND b <> '' AND EXISTS (SELECT 1 FROM n s WHERE s.source_kind = 'standalone' AND s.case_id = q.case_id AND s.b = q.b)""",
-)
+def _quoting(t):
+    """The emails, and standalone ones quoted once more: some whole, some with words added."""
+    again = t.fx_emails.filter("source_kind = 'standalone' AND id % 8 = 0").withColumn("id", F.col("id") + 100_000_000).withColumn("source_kind", F.lit("quoted"))
+    longer = F.when(F.col("id") % 16 == 0, F.concat(F.col("body_text"), F.lit(" and a few words more"))).otherwise(F.concat(F.lit("  "), F.col("body_text")))
+    return t.fx_emails.unionByName(again.withColumn("body_text", longer))
+
+
+_QUOTING = f"""n AS MATERIALIZED (SELECT id, case_id, source_kind, {Q.body_norm('body_text')} AS body_norm FROM (SELECT id, case_id, source_kind, body_text FROM fx_emails
+    UNION ALL SELECT id + 100000000, case_id, 'quoted', CASE WHEN id % 16 = 0 THEN concat(body_text, ' and a few words more') ELSE concat('  ', body_text) END FROM fx_emails WHERE source_kind = 'standalone' AND id % 8 = 0) AS every)"""
+_EQUAL = "SELECT q.id FROM n q WHERE source_kind = 'quoted' AND body_norm <> '' AND EXISTS (SELECT 1 FROM n s WHERE s.source_kind = 'standalone' AND s.case_id = q.case_id AND s.body_norm = q.body_norm)"
+
+
+@query("quoted_repeats_exact", f"WITH {_QUOTING} {_EQUAL}")
 def _(t):
-    emails = t.fx_emails
+    emails = _quoting(t)
     return R.repeated_exactly(R._bodies(emails.filter("source_kind = 'quoted'")), R._bodies(emails.filter("source_kind = 'standalone'")))
 
 
-@query("quoted_reconciled")
+@query(
+    "quoted_reconciled",
+    f"""WITH {_QUOTING}, sh AS ({Q.shingle_rows('n')}), h AS MATERIALIZED (SELECT DISTINCT sh.id, case_id, source_kind, {Q.hash28('shingle')} AS h FROM sh JOIN n ON n.id = sh.id),
+        c AS (SELECT id, count(*) AS n FROM h GROUP BY 1), held AS (SELECT q.id FROM h q JOIN h s ON s.h = q.h AND s.case_id = q.case_id JOIN c ON c.id = q.id
+          WHERE q.source_kind = 'quoted' AND s.source_kind = 'standalone' GROUP BY q.id, s.id, c.n HAVING count(*) / c.n >= 0.7)
+        SELECT id FROM n WHERE id NOT IN (SELECT id FROM held) AND id NOT IN ({_EQUAL})""",
+)
 def _(t):
-    return R.reconcile_quoted(t.fx_emails).select("id")
+    return R.reconcile_quoted(_quoting(t)).select("id")
 
 
 # ---- cards

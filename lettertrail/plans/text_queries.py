@@ -192,7 +192,7 @@ def _(t):
 
 
 _SIGS = f"""sh AS ({Q.shingle_rows('norm')}), h AS (SELECT DISTINCT id, {Q.hash28('shingle')} AS h FROM sh),
-       sig AS MATERIALIZED (SELECT id, {Q.signature_columns()} FROM h WHERE id IN (SELECT id FROM norm WHERE length(body_norm) >= {P.MIN_SIGNATURE_CHARS}) GROUP BY id)"""
+       sig AS MATERIALIZED (SELECT id, {Q.signature_columns()} FROM h GROUP BY id)"""
 
 
 def _fingerprints(t):
@@ -211,7 +211,7 @@ def _(t):
 
 @query(
     "lsh_band_keys",
-    f"""WITH {_NORM}, {_SIGS} SELECT id, unnest([{', '.join(f"'lsh:{b}:' || md5(concat_ws(',', s{4*b}, s{4*b+1}, s{4*b+2}, s{4*b+3}))" for b in range(16))}]) AS band_key FROM sig""",
+    f"""WITH {_NORM}, {_SIGS} SELECT id, unnest([{', '.join(Q.band_keys())}]) AS band_key FROM sig""",
 )
 def _(t):
     return _fingerprints(t).select("id", F.explode(P.lsh_keys(F.col("signature"))).alias("band_key"))
