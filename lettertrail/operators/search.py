@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import bind
 from .scan import ranked
 
-# Days a trashed email can be restored, page-size limits, audit listing limit, Han ranges.
+# Days a trashed email can be restored, audit listing limit, length of index grams.
 RESTORE_DAYS = 30
-PAGE_MAX = 500
 AUDIT_LIMIT = 200
-HAN = re.compile("[㐀-䶿一-鿿豈-﫿]")
 GRAM = 3
 
 
@@ -29,12 +26,12 @@ def _bound(value: str) -> datetime:
 
 
 def date_between(emails: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows dated between two ISO bounds. Bounds compare as ISO text does: a date-only end stops before that day."""
+    """Rows dated between two ISO bounds, both included; a bound that is only a date means its whole day."""
     if start:
         emails = emails.filter(F.col("date_utc") >= F.lit(_bound(start)))
     if end:
-        last = F.lit(_bound(end))
-        emails = emails.filter(F.col("date_utc") < last if len(end) <= 10 else F.col("date_utc") <= last)
+        last = _bound(end)
+        emails = emails.filter(F.col("date_utc") < F.lit(last + timedelta(days=1)) if len(end) <= 10 else F.col("date_utc") <= F.lit(last))
     return emails
 
 
@@ -43,12 +40,6 @@ def with_tag(emails: DataFrame, email_tags: DataFrame, tag_id: int) -> DataFrame
     return emails.join(tagged, "id", "left_semi")
 
 
-def _phrase(q: str) -> str | None:
-    """The text to look for, or None when the query is too short to match anything."""
-    text = q.strip()
-    return text.lower() if len(text) >= GRAM or HAN.search(text) else None
-
-
 def _holds(phrase: str) -> Column:
     parts = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(phrase)) for c in ("subject", "body_text")]
     return parts[0] | parts[1]
@@ -58,8 +49,7 @@ def search(emails: DataFrame, q: str | None) -> DataFrame:
     """Case-insensitive phrase search over subject or body; operators in the query are plain text."""
     if not q or not q.strip():
         return emails
-    phrase = _phrase(q)
-    return emails.filter(F.lit(False)) if phrase is None else emails.filter(_holds(phrase))
+    return emails.filter(_holds(q.strip().lower()))
 
 
 def _windows(chars: Column) -> Column:
@@ -81,8 +71,8 @@ def build_trigrams(emails: DataFrame) -> DataFrame:
 
 def search_indexed(index: DataFrame, emails: DataFrame, q: str) -> DataFrame:
     """`search` through the trigram index: rows holding every gram of the phrase, then the phrase itself."""
-    phrase = _phrase(q)
-    if phrase is None or len(phrase) < GRAM:
+    phrase = q.strip().lower()
+    if len(phrase) < GRAM:
         return search(emails, q)
     wanted = sorted({phrase[i : i + GRAM] for i in range(len(phrase) - GRAM + 1)})
     hits = index.filter(F.col("gram").isin(*wanted)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted))
@@ -112,7 +102,7 @@ def order_nocase(df: DataFrame, name: str = "name") -> DataFrame:
 
 def page(ordered: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """One page of an ordered frame, with `total` and `has_more` on every row."""
-    size, skip = max(1, min(int(limit), PAGE_MAX)), max(0, int(offset))
+    size, skip = max(1, int(limit)), max(0, int(offset))
     total = ordered.agg(F.count("*").alias("total"))
     rows = ordered.offset(skip).limit(size)
     return rows.withColumn("total", total.scalar()).withColumn("has_more", F.lit(skip + size) < F.col("total"))

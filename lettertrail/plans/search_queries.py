@@ -20,7 +20,7 @@ def _(t):
     return S.visible(t.fx_emails).select("id", "case_id")
 
 
-@query("emails_between_dates", "SELECT id FROM fx_emails WHERE strftime(date_utc, '%Y-%m-%dT%H:%M:%S') >= '2024-01-02' AND strftime(date_utc, '%Y-%m-%dT%H:%M:%S') <= '2024-01-03'")
+@query("emails_between_dates", "SELECT id FROM fx_emails WHERE date_utc >= TIMESTAMP '2024-01-02' AND date_utc < TIMESTAMP '2024-01-04'")
 def _(t):
     return S.date_between(t.fx_emails, "2024-01-02", "2024-01-03").select("id")
 
