@@ -1,7 +1,8 @@
 """Date text to UTC instants, as native columns.
 
 Each accepted shape is one anchored pattern whose groups are rewritten to `y|mon|d|h|m|s|zone|ampm`; the
-first shape that yields a real calendar date wins. Dates without a zone are read in the row's own zone.
+first shape that yields a real calendar date wins. Dates without a zone are read in the row's own zone. AM and PM after a
+clock time are read as such in every shape.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ _MON = "|".join(MONTHS) + "|" + "|".join(m[:3] for m in MONTHS)
 _DAY3 = "|".join(d[:3] for d in WEEKDAYS)
 _DAYS = "|".join(WEEKDAYS)
 _CLOCK = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2}))?"
+_HALF = r"(?: ?(AM|PM)\b)?"
 _ZONE = r"(?: ?([+-]\d{4})| ([A-Za-z]\S*))?(?: .*)?"
 _RFC_LEAD = rf"(?i)^(?:[^ ,]*, ?|(?:{_DAY3}) )?"
 _CJK_HALF = "上午|下午"
 
 # pattern, rewrite to y|mon|d|h|m|s|zone|ampm
 _MAIL_SHAPES = (
-    (rf"{_RFC_LEAD}(\d{{1,2}}),? ({_MON}),? (\d{{4}}|\d{{2}}),? {_CLOCK}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7$8|"),
-    (rf"{_RFC_LEAD}({_MON}) (\d{{1,2}}),? (\d{{4}}|\d{{2}}),? {_CLOCK}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7$8|"),
+    (rf"{_RFC_LEAD}(\d{{1,2}}),? ({_MON}),? (\d{{4}}|\d{{2}}),? {_CLOCK}{_HALF}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$8$9|$7"),
+    (rf"{_RFC_LEAD}({_MON}) (\d{{1,2}}),? (\d{{4}}|\d{{2}}),? {_CLOCK}{_HALF}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$8$9|$7"),
     (rf"{_RFC_LEAD}({_MON}) (\d{{1,2}}) {_CLOCK}(?: [A-Z]+)? (\d{{4}})$", "$6|$1|$2|$3|$4|$5||"),
 )
 _ISO_SHAPES = (

@@ -32,15 +32,16 @@ def ingest(files: DataFrame, known: DataFrame | None, case_id: int, default_tz:
     `known` is the email table so far (case_id, source_sha, deleted_at). Returns `files` (a status per file),
     `emails`, `attachments`, `pairs` (scored duplicates among the new rows) and `jobs`.
     """
-    checked = source_files.classify_files(source_files.with_sha256(files)).withColumn("job_id", F.lit(1))
+    checked = source_files.classify_files(source_files.with_sha256(files), max_bytes=None).withColumn("job_id", F.lit(1))
     if known is not None:
         seen = known.filter((F.col("case_id") == case_id) & F.col("deleted_at").isNull()).select(F.col("source_sha").alias("sha"), F.lit(True).alias("_seen")).distinct()
         checked = checked.join(seen, "sha", "left").withColumn("status", F.when((F.col("status") == "ready") & F.col("_seen"), "skipped").otherwise(F.col("status"))).drop("_seen")
     ready = checked.filter((F.col("status") == "ready") & (source_files.suffix(F.col("path")) == "eml"))
     parsed = materialise(eml.parse_eml(ready, default_tz))
-    shas = ready.select("path", F.col("sha").alias("source_sha"))
-    messages = parsed.filter("error IS NULL").join(shas, "path").withColumn("key", _message_key())
-    messages = messages.withColumn("parent_key", F.when(F.col("depth") > 0, _message_key(node="parent_node"))).withColumn("root_id", F.col("source_sha"))
+    shas = ready.select("path", F.col("sha").alias("root_id"))
+    # an attached mail is hashed by its own bytes; only the document code follows the file
+    messages = parsed.filter("error IS NULL").join(shas, "path").withColumn("key", _message_key()).withColumn("source_sha", F.col("content_sha"))
+    messages = messages.withColumn("parent_key", F.when(F.col("depth") > 0, _message_key(node="parent_node")))
 
     tops = messages.filter("depth = 0").withColumn("id", F.col("key")).withColumn("case_id", F.lit(case_id)).withColumn("default_tz", F.lit(default_tz))
     found = quotes.quoted_rows(tops, quotes.extract_quotes(tops)).withColumnRenamed("parent_email_id", "parent_key")
@@ -71,7 +72,10 @@ def ingest(files: DataFrame, known: DataFrame | None, case_id: int, default_tz:
     attachments = eml.message_attachments(parsed).withColumn("key", _message_key()).join(emails.select("key", F.col("id").alias("email_id")), "key").drop("key", "path", "node", "item")
     outcome = parsed.filter("depth = 0").select("path", F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("_status"), F.col("error").alias("_error"))
     done = checked.drop("content").join(outcome, "path", "left").withColumn("status", F.coalesce("_status", "status")).withColumn("error", F.coalesce("_error", "error")).drop("_status", "_error")
+    unread = F.col("status") == "ready"
+    done = done.withColumn("error", F.when(unread, F.concat(F.lit("No reader for files of type ."), source_files.suffix(F.col("path")))).otherwise(F.col("error")))
+    done = done.withColumn("status", F.when(unread, "failed").otherwise(F.col("status")))
     return {
-        "files": done, "emails": emails.drop("key"), "attachments": source_files.guard_attachments(attachments)[0],
+        "files": done, "emails": emails.drop("key"), "attachments": attachments,
         "pairs": dedup.duplicate_pairs(emails), "jobs": source_files.job_status(done),
     }

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_path
 
-# Suffixes read, size limits in bytes, and the code alphabet of documents.
+# Suffixes read, and the code alphabet of documents.
 SUFFIXES = ("eml", "msg", "pdf", "docx")
-MAX_FILE = 100 * 1024 * 1024
-MAX_ATTACHMENT = 50 * 1024 * 1024
 CODE_ALPHABET = "23456789ABCDEFGHJKMNPQRSTUVWXYZ"
 CODE_LENGTH = 5
 
@@ -35,17 +33,18 @@ def with_sha256(files: DataFrame, content: str = "content", out: str = "sha") ->
     return files.withColumn(out, F.sha2(F.col(content).cast("binary"), 256))
 
 
-def classify_files(files: DataFrame, path: str = "path", length: str = "length", max_bytes: int = MAX_FILE) -> DataFrame:
-    """Add `status` (ready, skipped, failed) and `error`: too large is skipped, an unread suffix fails."""
+def classify_files(files: DataFrame, path: str = "path", length: str = "length", max_bytes: int | None = None) -> DataFrame:
+    """Add `status` (ready, skipped, failed) and `error`: an unread suffix fails; a caller's limit skips what is larger."""
     kind = suffix(F.col(path))
-    large, unread = F.col(length) > max_bytes, ~kind.isin(*SUFFIXES)
-    limit = f"File exceeds the {max_bytes // (1024 * 1024)} MB limit" if max_bytes >= 1024 * 1024 else f"File exceeds the {max_bytes} byte limit"
+    large, unread = F.lit(False) if max_bytes is None else F.col(length) > max_bytes, ~kind.isin(*SUFFIXES)
+    limit = F.lit(f"File exceeds the {max_bytes} byte limit")
     return files.withColumn("status", F.when(large, "skipped").when(unread, "failed").otherwise("ready")).withColumn(
         "error", F.when(large, limit).when(unread, F.concat(F.lit("Unsupported file type: ."), kind))
     )
 
 
-def partition_by_size(files: DataFrame, max_bytes: int = MAX_FILE, length: str = "length") -> tuple[DataFrame, DataFrame]:
+def partition_by_size(files: DataFrame, max_bytes: int, length: str = "length") -> tuple[DataFrame, DataFrame]:
+    """(files within a caller's limit, larger ones)."""
     return files.filter(F.col(length) <= max_bytes), files.filter(F.col(length) > max_bytes)
 
 
@@ -102,8 +101,8 @@ def jobs_with_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
     return joined.orderBy(F.desc("id"), "file_path")
 
 
-def guard_attachments(attachments: DataFrame, max_bytes: int = MAX_ATTACHMENT) -> tuple[DataFrame, DataFrame]:
-    """(attachments kept, warnings) — an oversized attachment is dropped, its email stays."""
+def guard_attachments(attachments: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(attachments kept, warnings) — what exceeds the caller's limit is dropped, its email stays."""
     kept = attachments.filter(F.col("size") <= max_bytes)
     over = attachments.filter(F.col("size") > max_bytes)
     return kept, over.select("email_id", F.concat(F.lit("attachment_too_large:"), F.col("filename")).alias("warning"))

@@ -76,6 +76,10 @@ DATES = [
     ("19 March 2021 at 2:47:05 PM", "2021-03-19 06:47:05"),
     ("Friday 19 March 2021 14:47", "2021-03-19 06:47:00"),
     ("3/19/2021 2:47 PM", "2021-03-19 06:47:00"),
+    ("Mar 19, 2021 2:47 PM", "2021-03-19 06:47:00"),
+    ("19 Mar 2021 12:10 AM", "2021-03-18 16:10:00"),
+    ("19 Mar 2021 2:47 PM +0000", "2021-03-19 14:47:00"),
+    ("Fri, 19 Mar 2021 12:05:10 PM EST", "2021-03-19 17:05:10"),
     ("19/03/2021 14:47", "2021-03-19 06:47:00"),
     ("03/19/2021 14:47", "2021-03-19 06:47:00"),
     ("19/03/68 14:47", "2068-03-19 06:47:00"),

@@ -59,15 +59,26 @@ def test_parse_messages(parsed):
     assert ("cut.eml", 0) in rows and ("none.eml", 0) in rows
 
 
-def test_attached_messages_are_bounded(parsed):
+def test_attached_messages_to_any_depth(parsed):
     deep = eml.explode_attached(parsed.filter("path = 'deep.eml'")).orderBy("depth").collect()
-    assert [r["subject"] for r in deep] == [f"level {i}" for i in range(1, 6)] and [r["parent_node"] for r in deep] == [0, 1, 2, 3, 4]
-    assert parsed.filter("path = 'many.eml' AND depth = 1").count() == 50
-    top = parsed.filter("depth = 0 AND path IN ('deep.eml', 'many.eml')").collect()
-    assert {w for r in top for w in r["warnings"]} == {"attached_depth_limit:5", "attached_record_limit:50"}
+    assert [r["subject"] for r in deep] == [f"level {i}" for i in range(1, 7)] and [r["parent_node"] for r in deep] == [0, 1, 2, 3, 4, 5]
+    assert parsed.filter("path = 'many.eml' AND depth = 1").count() == 60
+    assert [r["body_text"] for r in deep] == [f"body {i}" for i in range(1, 7)]
     assert eml.message_attachments(parsed.filter("path = 'both.eml'")).count() == 1
 
 
+def test_transfer_codings_and_charsets(spark):
+    mails = [
+        b"Subject: =?iso-8859-1?Q?caf=E9_a?= =?utf-8?B?w6k=?=\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: quoted-printable\n\ncaf=E9 =\nau lait",
+        "Subject: x\nContent-Type: text/plain; charset=gb2312\n\n中文".encode("gb2312"),
+        b"From: \"Smith, Ann\" <a@x>\nTo: b@x,\n Bob <c@x>\n\nfolded",
+    ]
+    rows = {r["path"]: r for r in eml.parse_eml(spark.createDataFrame([(str(i), m) for i, m in enumerate(mails)], "path string, content binary")).collect()}
+    assert (rows["0"]["subject"], rows["0"]["body_text"]) == ("café aé", "café au lait")
+    assert rows["1"]["body_text"] == "中文"
+    assert rows["2"]["from_addr"] == "Smith, Ann <a@x>" and rows["2"]["to"] == ["b@x", "Bob <c@x>"]
+
+
 ORIGINAL = "Thanks, noted and agreed with all of it.\n\n-----Original Message-----\nFrom: Bob <b@x>\nSent: 19/03/2021 14:47\nTo: a@x; c@x\nSubject: Plan\n\n> The plan is to meet at noon.\n> Bring the files."
 ON_WROTE = "Sure thing, see you there at the usual place.\n\nOn Fri, Mar 19, 2021 at 2:47 PM Bob B. Smith <b@x>\nwrote:\n> Shall we meet?\n> Bob"
 HEADER = "New text on top of the other one, long enough.\n\nFrom: Bob\nDate: 19 Mar 2021 14:47\nTo: a@x\nSubject: Old\n\nBody of the old mail, nothing more."
@@ -177,7 +188,7 @@ def test_search_rules(spark):
     emails = spark.createDataFrame(rows, "id long, subject string, body_text string")
     index = Q.build_trigrams(emails)
     hits = lambda q: sorted(r["id"] for r in Q.search(emails, q).collect())
-    for q, want in {"合同": [1], "0% o": [1], '"HELLO" near': [2], "ab": [], "收": [], "b c": [4], "": [1, 2, 3, 4]}.items():
+    for q, want in {"合同": [1], "0% o": [1], '"HELLO" near': [2], "ab": [3, 4], "收": [], "b c": [4], "": [1, 2, 3, 4]}.items():
         assert hits(q) == want
         if q:
             assert sorted(r["id"] for r in Q.search_indexed(index, emails, q).collect()) == want
