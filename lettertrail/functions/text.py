@@ -181,9 +181,9 @@ def header_value(col: Column) -> Column:
     return strip(F.regexp_extract(F.replace(col, F.lit("　"), F.lit(" ")), r"^[^:：]*[:：][\s*]*(.*)$", 1))
 
 
-def leading_date(col: Column, lines: int = 12) -> Column:
-    """Value of the first date header within the first lines of a body."""
-    head = F.transform(F.slice(F.split(unix_lines(col), "\n"), 1, lines), strip)
+def leading_date(col: Column) -> Column:
+    """Value of the first date header of a body."""
+    head = F.transform(F.split(unix_lines(col), "\n"), strip)
     dated = F.filter(head, lambda line: header_kind(line) == "sent")
     return F.when(F.size(dated) > 0, header_value(F.get(dated, 0)))
 

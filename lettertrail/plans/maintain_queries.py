@@ -259,12 +259,13 @@ def _(t):
     return A.append_audit(None, _events(t), 1, lane_rows=500)
 
 
-@query("audit_log_faults", "SELECT 'none' AS fault, CAST(0 AS BIGINT) AS n FROM events WHERE false")
+@query("audit_log_faults", "SELECT 'hash' AS fault, 2 * count(*) AS n FROM events WHERE event_id % 50 = 7")
 def _(t):
+    """A log of two batches in which some payloads were changed afterwards."""
     from ..session import materialise
 
     log = materialise(A.append_audit(None, _events(t), 1, lane_rows=500))
     more = A.append_audit(log, _events(t).withColumn("id", F.col("id") + 1_000_000), 2, lane_rows=500)
-    both = log.unionByName(more)
+    both = log.unionByName(more).withColumn("payload", F.when(F.col("id") % 50 == 7, F.lit("{}")).otherwise(F.col("payload")))
     bad = A.broken_hashes(both).select(F.lit("hash").alias("fault")).union(A.broken_lanes(both).select(F.lit("lane").alias("fault")))
     return bad.groupBy("fault").agg(F.count("*").alias("n"))

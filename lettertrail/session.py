@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Rows per Arrow batch: a body may run to megabytes, so batches are kept well under Spark's 10,000 rows.
-ARROW_ROWS = "1000"
+# Rows and bytes per Arrow batch: a body may run to megabytes, so batches are kept well under Spark's 10,000 rows.
+ARROW_ROWS, ARROW_BYTES = "1000", "8m"
 
 _scratch: str | None = None
 
@@ -22,6 +22,7 @@ def build_session(app: str = "lettertrail", master: str | None = None, shuffle_p
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     )
     if master:
         builder = builder.master(master)
@@ -34,6 +35,7 @@ def prepare(spark: SparkSession) -> None:
     """Runtime settings every job here relies on, for sessions made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,10 +59,3 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores when its scan gives fewer tasks than there are cores (a table of one row group);
-    a large scan already has enough splits and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
