@@ -57,8 +57,8 @@ def gap_ranges(merged: DataFrame, fields: DataFrame, keys: list[str] | None = No
     keys = keys or KEYS
     ends = fields.select(*keys, F.col("field_length").alias("start_offset"), F.col("field_length").alias("end_offset"))
     rows = merged.select(*keys, "start_offset", "end_offset").unionByName(ends)
-    before = Window.partitionBy(*keys).orderBy("start_offset", "end_offset").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = rows.withColumn("gap_start", F.coalesce(F.max("end_offset").over(before), F.lit(0))).filter("start_offset > gap_start")
+    reached = prefix_max(rows, keys, _bucket(F.col("start_offset")), ["start_offset", "end_offset"], F.col("end_offset"), "gap_start")
+    gaps = reached.withColumn("gap_start", F.coalesce("gap_start", F.lit(0))).filter("start_offset > gap_start")
     gaps = gaps.select(*keys, F.col("gap_start").alias("start_offset"), F.col("start_offset").alias("end_offset"))
     if "text" not in fields.columns:
         return gaps
