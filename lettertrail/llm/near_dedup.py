@@ -13,13 +13,15 @@ so an element's process stops there, and the work per document hardly depends on
    jointly from how many registers are greater, equal and smaller (maximum likelihood, given both set sizes).
 4. Pairs whose estimate is not clearly too low are verified on the full sets of both texts.
 
-A bucket never gives out all its pairs. Each class first offers its few best partners only, twice, the second time
-among classes of other components. What is then still unconnected inside a bucket is compared with the rest of it
-without any cap, so no link between different components is lost; links inside a component change nothing.
+A bucket never gives out all its pairs. Each class first offers its few best partners only. What is still unconnected
+inside a bucket when components have formed is compared with the rest of it without any cap, but for what a count rules
+out: of a set's elements, those that no other candidate holds can't be shared, and a set with too few others has no
+partner at the threshold. So no link between different components is lost; links inside a component change nothing.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,10 +121,10 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
     return rows.mapInArrow(_sketch(width), "doc_id bigint, n bigint, set_a bigint, set_b bigint, regs binary")
 
 
-def _offers(best: int | None, least: float):
+def _offers(best: int | None, least: float, percent: int):
     """Pairs of a bucket's chunk: each class's `best` likeliest partners of other components, or all pairs with a query."""
 
-    def pairs(names, n, comp, query, regs, group) -> tuple[np.ndarray, ...]:
+    def pairs(names, n, held, comp, query, regs, group) -> tuple[np.ndarray, ...]:
         left, right, estimate = [], [], []
         step = 1
         while step < len(names):
@@ -132,6 +134,8 @@ def _offers(best: int | None, least: float):
             i = i[comp[i] != comp[i + step]]
             if best is None:
                 i = i[query[i] | query[i + step]]
+                shared = np.minimum(held[i], held[i + step])
+                i = i[100 * shared >= percent * (n[i] + n[i + step] - shared)]
             for part in np.array_split(i, len(i) // 4096 + 1):
                 a, b = regs[part], regs[part + step]
                 equal = (a == b).sum(axis=1)
@@ -162,7 +166,7 @@ def _offers(best: int | None, least: float):
             column = lambda name: table[name].to_numpy()
             regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
             group = keyed(column("chunk"), column("bucket").view(np.uint64))
-            found = pairs(column("rep"), column("n"), column("comp"), column("query"), regs, group)
+            found = pairs(column("rep"), column("n"), column("held"), column("comp"), column("query"), regs, group)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["left", "right", "estimate"])
 
         held = None
@@ -181,6 +185,19 @@ def _offers(best: int | None, least: float):
     return batches
 
 
+def _elements(width: int):
+    """(id, h) of every element of every text's set."""
+    prepare = _shingle_set(width)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = prepare(zlib.decompress(packed))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), name)), pa.array(h.view(np.int64))], ["id", "h"])
+
+    return batches
+
+
 def _shingle_set(width: int):
     def prepare(raw: bytes) -> np.ndarray:
         data = np.frombuffer(raw, np.uint8)
@@ -226,9 +243,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     texts = packed_texts(docs, buckets.select("rep"), doc_id, text)
 
     def offered(rows: DataFrame, best: int | None) -> DataFrame:
-        rows = rows.join(classes.select("rep", "n", "regs"), "rep").select("bucket", "chunk", "rep", "n", "comp", "query", "regs")
+        rows = rows.join(classes.select("rep", "n", "regs"), "rep").select("bucket", "chunk", "rep", "n", F.coalesce("held", "n").alias("held"), "comp", "query", "regs")
         spread = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
-        found = spread.mapInArrow(_offers(best, least), "left bigint, right bigint, estimate double")
+        found = spread.mapInArrow(_offers(best, least, percent), "left bigint, right bigint, estimate double")
         if best is not None:
             top = found.groupBy("left").agg(F.slice(F.sort_array(F.collect_set(F.struct("estimate", "right")), asc=False), 1, best).alias("top"))
             found = top.select("left", F.explode("top").alias("t")).select("left", "t.right")
@@ -238,10 +255,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         pairs = pairs.withColumn("extra", F.lit(0))
         return compare_pairs(pairs, texts, _shingle_set(width), _agree(percent), "left bigint, right bigint")
 
+    def able(rows: DataFrame) -> DataFrame:
+        """(rep, held): the queries among `rows` of whose elements enough are held by another class in `rows`, and how many."""
+        asked = rows.groupBy(F.col("rep").alias("id")).agg(F.max("query").alias("query"))
+        elements = lambda ids: texts.join(ids, "id").select("id", "packed").mapInArrow(_elements(width), "id bigint, h bigint")
+        several = elements(asked).groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+        own = elements(asked.filter("query")).join(several, "h", "left").groupBy(F.col("id").alias("rep"))
+        counted = own.agg(F.count("*").alias("all"), F.count("low").alias("held"))
+        return counted.filter(100 * F.col("held") >= percent * F.col("all")).select("rep", "held")
+
     tried = links = None
     components = None
     home = F.pmod(F.xxhash64("rep", "bucket"), chunks).cast("int")
-    for best in (BEST, BEST, None):
+    for best in (BEST, None):
         if components is None:
             rows = buckets.withColumn("comp", F.col("rep"))
         else:
@@ -249,11 +275,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
             parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "comp")).alias("largest"))
             rows = placed.join(parts.filter("parts > 1"), "bucket")
         if best is None:
-            query = F.col("comp") != F.col("largest.comp")
-            spread = F.explode(F.when(query, F.sequence(F.lit(0), (chunks - 1).cast("int"))).otherwise(F.array(home)))
-            rows = rows.withColumn("query", query).withColumn("chunk", spread)
+            rows = rows.withColumn("query", F.col("comp") != F.col("largest.comp"))
+            rows = rows.join(materialise(able(rows)), "rep", "left").filter("held IS NOT NULL OR NOT query")
+            rows = rows.join(rows.filter("query").select("bucket").distinct(), "bucket", "left_semi")
+            rows = rows.withColumn("chunk", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), (chunks - 1).cast("int"))).otherwise(F.array(home))))
         else:
-            rows = rows.withColumn("query", F.lit(False)).withColumn("chunk", home)
+            rows = rows.withColumn("query", F.lit(False)).withColumn("held", F.lit(None).cast("bigint")).withColumn("chunk", home)
         pairs = offered(rows, best)
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["left", "right"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .words import limit_batches
 
-PARTNERS_PER_TASK_GROUP = 256
+PARTNERS = 256  # of one document in one group
+_BITS = 1 << 25  # of the filter of wanted ids
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -21,25 +22,39 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`rows` without most of those whose id isn't wanted: a bit for each hash of a wanted id.
+
+    The bits are a table of at most `_BITS` / 8 bytes (4 MB) whatever the number of ids, so it may be broadcast; with very
+    many ids it lets all rows pass, and the join that follows decides alone.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(_BITS))
+    bits = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "part")
+    return held.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(rows.columns)
+
+
 def packed_texts(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, packed): the texts of `docs` whose id is in `ids` (one column), compressed before any shuffle and stored."""
     limit_batches(docs.sparkSession)
-    rows = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("text")).filter("id IS NOT NULL")
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("string").alias("text")).filter("id IS NOT NULL")
     wanted = ids.toDF("id").distinct()
-    return materialise(rows.mapInArrow(_squeeze, f"id {kind}, packed binary").join(wanted, "id", "left_semi"))
+    packed = _maybe(rows, wanted).mapInArrow(_squeeze, "id bigint, packed binary")
+    return materialise(packed.join(wanted, "id", "left_semi"))
 
 
 def compare_pairs(pairs: DataFrame, texts: DataFrame, prepare: Callable, compare: Callable, schema: str) -> DataFrame:
     """Rows that `compare` yields for each pair (left, right, extra) of distinct ids.
 
     `prepare(raw text)` is computed once for each left document of a task group and once for each pair on the right;
-    `compare(left id, left prepared, right id, right prepared, extra)` yields result tuples. A left document with many
-    partners is split over groups of about `PARTNERS_PER_TASK_GROUP`, so no task holds all partners of a hot document;
-    rows stream by in order, and only one left document is held at a time.
+    `compare(left id, left prepared, right id, right prepared, extra)` yields result tuples. A left document's
+    partners are dealt by their hash to groups of about `PARTNERS`, so no task holds all partners of a hot document; rows
+    stream by in order, and only one left document is held at a time.
     """
     degree = pairs.groupBy("left").agg(F.count("*").alias("n"))
-    salted = pairs.join(degree, "left").withColumn("salt", F.pmod(F.xxhash64("right"), F.ceil(F.col("n") / PARTNERS_PER_TASK_GROUP)).cast("int")).drop("n")
+    salted = pairs.join(degree, "left").withColumn("salt", F.pmod(F.xxhash64("right"), F.ceil(F.col("n") / PARTNERS)).cast("int")).drop("n")
     lefts = salted.select("left", "salt").distinct().join(texts.select(F.col("id").alias("left"), "packed"), "left")
     rights = salted.join(texts.select(F.col("id").alias("right"), "packed"), "right")
     kind = pairs.schema["extra"].dataType
