@@ -62,10 +62,11 @@ def test_small_columns(spark):
 
 def test_minhash_of_a_text_with_itself(spark):
     body = " ".join(f"word{i}" for i in range(60))
-    rows = P.with_fingerprints(spark.createDataFrame([(1, body), (2, "too short")], "id int, body_norm string"))
+    rows = P.with_fingerprints(spark.createDataFrame([(1, body), (2, ""), (3, "short")], "id int, body_norm string"))
     got = {r["id"]: r for r in rows.select("id", "signature", P.minhash_jaccard(F.col("signature"), F.col("signature")).alias("j")).collect()}
     assert got[1]["j"] == 1.0 and len(got[1]["signature"]) == P.PERMUTATIONS
     assert got[2]["signature"] is None and got[2]["j"] == 0.0
+    assert got[3]["j"] == 1.0
 
 
 DATES = [
