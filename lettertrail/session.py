@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
+    """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss).
+
+    Spark removes the shuffle files and checkpoints of tables that nothing refers to any more once the driver has
+    collected its garbage; jobs of many rounds would fill the disks before that happens by chance, so it is asked for.
+    """
     context = df.sparkSession.sparkContext
+    gc.collect()
+    context._jvm.System.gc()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
