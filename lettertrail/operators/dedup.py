@@ -171,10 +171,11 @@ def containment_between(left: DataFrame, right: DataFrame, key_left: str, key_ri
 
 
 def held_in(parts: DataFrame, wholes: DataFrame, key: str, share: float) -> DataFrame:
-    """(small_key, large_key, contained): sets of `parts` that lie to at least `share` inside a set of `wholes` of any size."""
+    """(small_key, large_key, contained): sets of `parts` that lie to at least `share` inside a set of `wholes` that is
+    at most 1 / `share` times as large."""
     a, b = _sized(parts, key, 1), _sized(wholes, key, 1)
     counts = _shared_counts(a, b)
-    return _contained(_weighed(a, counts, share), _weighed(b, counts, share), F.lit(True), share)
+    return _contained(_weighed(a, counts, share), _weighed(b, counts, share), share * F.col("large_n") <= F.col("small_n"), share)
 
 
 # ---- scoring

@@ -30,7 +30,9 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def reconcile_quoted(emails: DataFrame) -> DataFrame:
-    """The emails without quoted rows that equal a standalone body of their case or lie to 0.70 inside one.
+    """The emails without quoted rows that equal a standalone body of their case or lie to 0.70 inside one of like size.
+
+    A standalone body more than 1 / 0.70 times as large only quotes them in turn, as the mail they were taken from does.
 
     Trashed rows take part. A body of fewer than five words is one window, so it goes only where it is equal. Equal
     bodies go by an equi-join, the rest by exact containment of five-word windows between distinct bodies.

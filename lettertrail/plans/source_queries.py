@@ -226,7 +226,7 @@ def _(t):
 @query(
     "quoted_reconciled",
     f"""WITH {_QUOTING}, sh AS ({Q.shingle_rows('n')}), h AS MATERIALIZED (SELECT DISTINCT sh.id, case_id, source_kind, {Q.hash28('shingle')} AS h FROM sh JOIN n ON n.id = sh.id),
-        c AS (SELECT id, count(*) AS n FROM h GROUP BY 1), held AS (SELECT q.id FROM h q JOIN h s ON s.h = q.h AND s.case_id = q.case_id JOIN c ON c.id = q.id
+        c AS (SELECT id, count(*) AS n FROM h GROUP BY 1), held AS (SELECT q.id FROM h q JOIN h s ON s.h = q.h AND s.case_id = q.case_id JOIN c ON c.id = q.id JOIN c AS d ON d.id = s.id AND 0.7 * d.n <= c.n
           WHERE q.source_kind = 'quoted' AND s.source_kind = 'standalone' GROUP BY q.id, s.id, c.n HAVING count(*) / c.n >= 0.7)
         SELECT id FROM n WHERE id NOT IN (SELECT id FROM held) AND id NOT IN ({_EQUAL})""",
 )
