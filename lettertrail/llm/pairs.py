@@ -22,7 +22,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
 
-def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """`rows` without most of those whose id isn't wanted: a bit for each hash of a wanted id.
 
     The bits are a table of at most `_BITS` / 8 bytes (4 MB) whatever the number of ids, so it may be broadcast; with very
@@ -41,7 +41,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text:
     limit_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("string").alias("text")).filter("id IS NOT NULL")
     wanted = ids.toDF("id").distinct()
-    packed = _maybe(rows, wanted).mapInArrow(_squeeze, "id bigint, packed binary")
+    packed = maybe(rows, wanted).mapInArrow(_squeeze, "id bigint, packed binary")
     return materialise(packed.join(wanted, "id", "left_semi"))
 
 

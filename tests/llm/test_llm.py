@@ -175,6 +175,24 @@ def test_passages_near_and_odd(spark):
     assert passages.repeated_passages(table(spark, [])).count() == 0
 
 
+def test_equal_passages_of_common_lines(spark):
+    # earlier documents hold the passage's parts, so they are the first ones of all its keys
+    draw = random.Random(13)
+    fresh = lambda: draw.choices(WORDS, k=60)
+    rows, want = [], {}
+    for n in range(10):
+        passage = draw.choices(WORDS, k=60)
+        for k in range(0, 53, 4):
+            rows.append((1000 * n + k, " ".join(fresh() + passage[k : k + 8] + fresh())))
+        rows += [(1000 * n + 900 + k, " ".join(fresh() + passage + fresh())) for k in range(2)]
+        want[1000 * n + 901] = set(range(60, 120))
+    got = {}
+    for r in passages.repeated_passages(table(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["end_word"]))
+        assert r["earlier_id"] == r["doc_id"] - 1
+    assert got == want
+
+
 def test_compact_windows_are_the_tree_nodes():
     import numpy as np
 
