@@ -193,6 +193,19 @@ def test_equal_passages_of_common_lines(spark):
     assert got == want
 
 
+def test_recall_of_similar_passages(spark):
+    for size, edits in ((50, 1), (100, 2)):  # similarity 0.80 and 0.81
+        draw, rows = random.Random(size + edits), []
+        for n in range(2000):
+            passage = draw.choices(WORDS, k=size)
+            changed = list(passage)
+            for e in range(edits):
+                changed[(2 * e + 1) * size // (2 * edits) + draw.randrange(-2, 3)] = f"changed{e}"
+            rows += [(2 * n + k, " ".join(draw.choices(WORDS, k=80) + words + draw.choices(WORDS, k=80))) for k, words in enumerate((passage, changed))]
+        out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+        assert len({r["doc_id"] for r in out if r["first_word"] <= 85 and r["end_word"] >= 75 + size}) == 2000
+
+
 def test_compact_windows_are_the_tree_nodes():
     import numpy as np
 
