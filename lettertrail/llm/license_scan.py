@@ -19,12 +19,14 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 
 # Label, keyword, and the licence's names as an expression over lower-cased words.
 LICENCES = (
-    ("mit", "mit", "(?:mit|expat)"),
+    ("mit", "mit", "mit"),
+    ("mit", "expat", "expat"),
     ("x11", "x11", "x11"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
     ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? 2 0"),
     ("apache", "apache", "apache(?: software)?"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", "freebsd"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", "bsd"),

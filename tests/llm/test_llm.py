@@ -1,6 +1,8 @@
 """Operators for training data on small inputs: odd rows, brute force and checking SQL."""
 
+import itertools
 import random
+from re import _parser
 
 import public_tokenizers
 import pytest
@@ -257,6 +259,41 @@ def test_licence_labels(spark):
     assert out == [("apache,apache-2.0", 0.95), ("cc-by-nc", 0.95), ("bsd-3-clause", 1.0), ("gpl,lgpl-2.1", 0.7), ("", 0.0), ("all-rights-reserved,copyright", 0.6)]
 
 
+def test_licence_gate_loses_no_rule(spark):
+    names = {"expat": "mit", "mit": "mit", "freebsd": "bsd-2-clause", "simplified bsd": "bsd-2-clause", "bsd 2 clause": "bsd-2-clause", "2 clause bsd": "bsd-2-clause"}
+    forms = [("SPDX-License-Identifier: {}", 1.0), ("released under the {} license", 0.95), ("subject to the {} license", 0.85), ("the {} license", 0.7)]
+    rows = [(i, form.format(name), label, sure) for i, ((name, label), (form, sure)) in enumerate(itertools.product(names.items(), forms))]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(table(spark, [r[:2] for r in rows])).collect()}
+    assert out == {i: (label, sure) for i, _, label, sure in rows}
+
+
+def _texts(tree):
+    """Every text that a parsed expression matches, one repeat for many and every choice taken."""
+    found = [""]
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "IN":
+            more = [chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+        elif kind == "BRANCH":
+            more = [x for part in value[1] for x in _texts(part)]
+        elif kind == "SUBPATTERN":
+            more = _texts(value[3])
+        else:
+            low, high, inner = value
+            more = _texts(inner) if low else ["", *_texts(inner)]
+            more = [x * max(low, 1) for x in more]
+        found = [a + b for a, b in itertools.product(found, more)]
+    return found
+
+
+def test_licence_keywords_stand_in_every_text_of_their_rule():
+    for _, _, keyword, _, expression in license_scan.rules():
+        for text in _texts(_parser.parse(expression)):
+            assert keyword in text.split(), (keyword, text)
+
+
 def test_licence_rules_are_hundreds():
     assert len(license_scan.rules()) > 200
 
