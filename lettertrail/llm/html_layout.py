@@ -145,18 +145,58 @@ def _within(node: list, kept: bool) -> list[str]:
     return page.done()
 
 
-def _table(node: list) -> list[str]:
-    rows, out, todo = [], [], [node]
+def _holders(table: list) -> set[int]:
+    """Which elements of a table, nested tables aside, have cells below them, by id()."""
+    above, held, todo = {id(table): None}, set(), [table]
     while todo:
-        for child in todo.pop(0)[2]:
-            if isinstance(child, str) or not child[1]:
+        node = todo.pop()
+        for child in node[2]:
+            if isinstance(child, str) or not child[1] or child[0] in ("table", "caption"):
                 continue
-            if child[0] == "tr":
-                rows.append([_within(cell, False) or [""] for cell in child[2] if not isinstance(cell, str) and cell[1] and cell[0] in ("td", "th")])
-            elif child[0] in ("thead", "tbody", "tfoot"):
-                todo.append(child)
+            if child[0] in ("td", "th"):
+                up = node
+                while up is not None and id(up) not in held:
+                    held.add(id(up))
+                    up = above[id(up)]
             else:
-                out += _within(["div", True, [child]], False)  # captions and what strayed into the table
+                above[id(child)] = node
+                todo.append(child)
+    return held
+
+
+def _table(node: list) -> list[str]:
+    """What isn't in a cell or caption stands before the table; cells without a row make one of those next to each other."""
+    held, rows, strays, captions = _holders(node), [], [], []
+    row, todo = None, [iter(node[2])]
+    depth = 0  # of the open row in todo
+    while todo:
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+            if len(todo) < depth:
+                row, depth = None, 0
+            continue
+        if isinstance(child, str):
+            strays.append(child)
+        elif not child[1]:
+            continue
+        elif child[0] in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+            row.append(_within(child, False) or [""])
+        elif child[0] in ("tr", "thead", "tbody", "tfoot") or id(child) in held:
+            todo.append(iter(child[2]))
+            if child[0] == "tr":
+                row, depth = [], len(todo)
+                rows.append(row)
+            elif not depth and child[0] in ("thead", "tbody", "tfoot"):
+                row = None
+        elif child[0] == "caption":
+            captions.append(child)
+        else:
+            strays.append(child)
+    out = _within(["div", True, strays], False) + _within(["div", True, captions], False)
     width = [max(len(line) for row in rows if i < len(row) for line in row[i]) for i in range(max(map(len, rows), default=0))]
     for row in rows:
         for k in range(max(map(len, row), default=0)):

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from re import _parser
 
 import public_tokenizers
@@ -322,6 +323,15 @@ def test_html_layout():
     assert html_layout.visible_text(page) == want
 
 
+def test_html_tables_keep_all_text():
+    page = """<table>t0<caption>t1</caption><tbody>t2<tr>t3<form><td>t4</td><td>t5</td></form><div>t6</div></tr></tbody>
+    <tr><div>t7</div></tr><td>t8<td>t9<form><tr><td>t10<table>t11<tr>t12<td>t13</table></td><b>t14</b></form><tfoot>t15<td>t16</tfoot><td>t17</table>t18"""
+    text = html_layout.visible_text(page)
+    for k in range(19):
+        assert re.findall(rf"t{k}(?!\d)", text) == [f"t{k}"]
+    assert [x for x in map(str.split, text.split("\n")) if len(x) > 1] == [["t4", "t5"], ["t8", "t9"], ["t16", "t17"]]
+
+
 def test_html_odd_rows(spark):
     deep = "<ul><li>" * 3000 + "x"
     rows = [(1, None), (2, ""), (3, "<"), (4, "<p"), (5, "a<b>c</d></b>"), (None, "<td>x"), (1, "<table><td>x"), (6, "<!-- never closed"), (7, "<div>" * 5000 + "x"), (8, "<script>x")]
