@@ -2,7 +2,8 @@
 
 A page is read once into a tree of elements: void elements have no content, and an opening tag closes what it can't
 stand in (a block closes an open paragraph, a list item the item before it, cells and rows their predecessors); an end
-tag closes what is still open inside its element. The tree is then rendered: elements that aren't shown are left out,
+tag closes what is still open inside its element. The tree is then rendered: elements that aren't shown are left out
+(formulas, labels of drawings, options and text fields are shown, embedded pages and media with their fallbacks aren't),
 white space is folded except in preformatted text, blocks stand on lines of their own, paragraphs and headings between
 empty lines, list items get markers and indentation, and the cells of a table column are padded to one width.
 """
@@ -22,18 +23,22 @@ from .words import limit_batches
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object svg math canvas audio video datalist select textarea".split())
+HIDDEN = frozenset("head script style template noscript title iframe object canvas audio video datalist".split())
+UNDRAWN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset(["annotation", "annotation-xml"])}
 RAW = frozenset("script style textarea title noscript iframe".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside center dd details dialog div dt fieldset figcaption footer form header hgroup hr legend li main nav section summary tr caption".split()
 )
+# No blocks, but they stand on lines of their own.
+LINES = BLOCK | frozenset("option optgroup text textarea".split())
 # What an opening tag closes, and where looking for it stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 SCOPE = frozenset("table td th caption button".split())
 
@@ -84,6 +89,8 @@ def tree(page: str) -> list:
                     del stack[depth:]
                     break
         node = [name, not _hides(name, mark[3]), []]
+        if any(name in names and any(x[0] == within for x in stack) for within, names in UNDRAWN.items()):
+            node[1] = False
         stack[-1][2].append(node)
         if name in RAW:
             lowered = lowered or page.lower()
@@ -92,6 +99,8 @@ def tree(page: str) -> list:
             if end >= 0 and len(lowered) != len(page):  # lower case changed the length somewhere: look again
                 again = re.compile(f"</{name}", re.I).search(page, mark.end())
                 at = again.start() if again else len(page)
+            if name == "textarea":
+                node[2].append(re.sub("^\\r?\\n", "", unescape(page[mark.end() : at])))
             stack.append(node)
         elif name not in VOID and not mark[3].endswith("/"):
             stack.append(node)
@@ -223,7 +232,7 @@ def _draw(children: list, page: _Page, kept: bool) -> None:
         name, shown, inner = child
         if not shown:
             continue
-        gap = 2 if name in SPACED else 1 if name in BLOCK else 0
+        gap = 2 if name in SPACED else 1 if name in LINES else 0
         if name == "br":
             page.lines.append(page.line.rstrip(" ")) if not page.breaks else page.put("")
             page.line, page.blank = "", False
@@ -254,7 +263,7 @@ def _draw(children: list, page: _Page, kept: bool) -> None:
             page.end(gap)
             continue
         todo.append(iter(inner))
-        modes.append(modes[-1] or name == "pre")
+        modes.append(modes[-1] or name in ("pre", "textarea"))
         after.append(gap)
 
 

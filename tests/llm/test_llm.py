@@ -332,6 +332,15 @@ def test_html_tables_keep_all_text():
     assert [x for x in map(str.split, text.split("\n")) if len(x) > 1] == [["t4", "t5"], ["t8", "t9"], ["t16", "t17"]]
 
 
+def test_html_shows_formulas_drawings_and_forms():
+    page = """<p>a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>no</annotation></semantics></math> b</p>
+    <svg><title>no</title><defs><text>no</text></defs><g><text>left</text><text>ri<tspan>ght</tspan></text></g></svg>
+    <select><option>one<option>two</select><datalist><option>no</datalist><p>c <textarea>
+p  &lt;q
+<b>r</textarea> d<video>no</video>"""
+    assert html_layout.visible_text(page) == "a x=2 b\n\nleft\nright\none\ntwo\n\nc\np  <q\n<b>r\nd"
+
+
 def test_html_odd_rows(spark):
     deep = "<ul><li>" * 3000 + "x"
     rows = [(1, None), (2, ""), (3, "<"), (4, "<p"), (5, "a<b>c</d></b>"), (None, "<td>x"), (1, "<table><td>x"), (6, "<!-- never closed"), (7, "<div>" * 5000 + "x"), (8, "<script>x")]
