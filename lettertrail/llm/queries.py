@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontaminate, html_layout, license_scan, near_dedup, passages, pu_quality, quality_rules, toxicity, word_bpe
+from . import chat_rotation, decontaminate, html_layout, license_scan, near_dedup, passages, pu_quality, quality_rules, spelling, toxicity, word_bpe
 from .sampling import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,43 @@ FROM placed
 @_query(_CHAT_SQL)
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rotation.rotate(_read(spark, sf_dir, "conversations"))
+
+
+_SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS step, i AS c FROM range(256) AS t(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+kept AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM kept),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda p: CAST(('0x' || substr(x, CAST(p AS INTEGER), 2)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc.t[1 + CAST(xor(c, b) % 256 AS INTEGER)])), 4294967295) AS h
+  FROM bytes, crc),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) + 2 AS INTEGER)) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+-- a word without one character, and with a mark in the character's place
+less AS (SELECT word, p, left(word, CAST(p - 1 AS INTEGER)) || substr(word, CAST(p + 1 AS INTEGER)) AS rest FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS p)),
+near AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(near.near, (-b.n, near.near)) AS best, max(b.n) AS best_n FROM near JOIN words b ON near.near = b.word GROUP BY near.word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+hops AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT h.word, f.form FROM hops h JOIN formed f ON h.at = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT h.word, h.at AS root FROM hops h JOIN formed f ON h.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+
+@_query(_SPELLING_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))

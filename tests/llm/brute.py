@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 
@@ -82,3 +83,16 @@ def phrases(text: str | None) -> tuple:
     places = [(i, label) for phrase, label in PHRASES.items() for i in range(len(words)) if tuple(words[i : i + len(phrase)]) == phrase]
     starts = [i for i, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places}))
+
+
+def vocabulary(rows: list[tuple]) -> dict[str, int]:
+    """Words of at least 5 letters and 3 occurrences, one in 97 of a text's words without a letter."""
+    total = collections.Counter()
+    for i, text in rows:
+        for word in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            word = lower(word)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if h % 97 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            total[word] += 1
+    return {word: n for word, n in total.items() if len(word) >= 5 and n >= 3}
