@@ -1,10 +1,11 @@
 """Spelling variants: words one edit apart, found by walking a trie that is a distributed edge table.
 
-The vocabulary's trie is a table of edges (node, character, child); a node is the hash of a prefix. A search state is
-(word, position, node, edits). While edits = 0 the node is the word's own prefix, so those states are written down
-without a walk. A join with the edges spawns the states with one edit: another character in the word's place, or one
-more character. From there the rest of the word must match: each level joins the frontier with the edges on (node,
-next character) and moves all states one position on. States that end on a word's node are neighbours.
+The vocabulary's trie is a table of edges: a node is the hash of a prefix, an edge holds the next two characters (or the
+last one) and whether a word ends there. A search state is (word, edited word, position); its node is the prefix that
+it has walked. While there is no edit the node is the word's own prefix, so those states are written down without a
+walk. A join with the edges spawns the states with one edit: another character in the word's place, or one more. From
+there the rest of the word must match: each level joins the frontier with the edges of its nodes and moves all states
+on. States that end on a word's node are neighbours.
 
 One edit leaves a half of the word as it is. So one trie holds the words and another the reversed words, each search
 makes its edit in the second half only, and the crowded nodes near the roots are never spread. A removed character is
@@ -30,7 +31,7 @@ from .words import limit_batches
 
 LEAST_LETTERS, LEAST_TIMES, RATIO = 5, 3, 2
 ONE_IN = 97  # of the words of a text, by checksum, lose a character
-LEVELS = 4  # of the trie that a frontier walks between two checkpoints
+LEVELS = 3  # of the trie that a frontier walks between two checkpoints
 _HELD = 200_000  # distinct words that a task counts before it hands them on
 
 _RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_LETTERS)
@@ -74,12 +75,13 @@ def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TIMES)
 
 
-def _node(end) -> F.Column:
-    return F.xxhash64("way", F.substring(F.col("s"), F.lit(1), end))
+def _node(spelled: str, end) -> F.Column:
+    return F.xxhash64("way", F.substring(F.col(spelled), F.lit(1), end))
 
 
-def _at(position) -> F.Column:
-    return F.substring(F.col("s"), position + 1, F.lit(1))
+def _two(spelled: str, position) -> F.Column:
+    """The next characters that a level walks: two, or the last one."""
+    return F.substring(F.col(spelled), position + 1, F.lit(2))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -88,32 +90,39 @@ def neighbours(words: DataFrame) -> DataFrame:
     Null words are left out, repeated ones count once, words may have any length; an empty table gives an empty result.
     """
     words = words.select("word").filter("word IS NOT NULL").distinct()
-    spelled = words.select("word", F.lit(0).alias("way"), F.col("word").alias("s")).union(words.select("word", F.lit(1), F.reverse("word")))
+    spelled = words.select(F.lit(0).alias("way"), F.col("word").alias("s")).union(words.select(F.lit(1), F.reverse("word")))
     spelled = spelled.withColumn("size", F.char_length("s"))
+    i = F.col("i")
     steps = spelled.filter("size > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    edges = materialise(
-        steps.select(_node(F.col("i")).alias("node"), _at(F.col("i")).alias("ch"), _node(F.col("i") + 1).alias("child"), F.when(F.col("i") + 1 == F.col("size"), F.col("word")).alias("whole"))
-        .groupBy("node", "ch").agg(F.first("child").alias("child"), F.max("whole").alias("whole")))
+    steps = steps.select(_node("s", i).alias("node"), _two("s", i).alias("two"), (i + 2 >= F.col("size")).alias("ends"))
+    edges = steps.repartition("node").groupBy("node", "two").agg(F.max("ends").alias("ends"))
 
     # half of the characters stay; the reversed trie takes the edits of the other half
     begin = F.floor((F.col("size") + F.col("way")) / 2).cast("int")
-    unedited = spelled.withColumn("pos", F.explode(F.sequence(begin, F.col("size"))))
-    unedited = unedited.select("word", "s", "size", "pos", _node(F.col("pos")).alias("node"), F.when(F.col("pos") < F.col("size"), _at(F.col("pos"))).alias("own"))
-    spread = unedited.join(edges, "node").filter("own IS NULL OR ch <> own")
-    moves = F.explode(F.when(F.col("ch") > F.col("own"), F.array("pos", F.col("pos") + 1)).otherwise(F.array("pos")))
-    frontier = materialise(spread.select("word", "s", "size", moves.alias("pos"), F.col("child").alias("node"), "whole").filter("pos < size OR whole IS NOT NULL"))
-    edge = edges.select(F.col("node").alias("from"), "ch", "child", F.col("whole").alias("next_whole"))
-    while not frontier.filter("pos < size").isEmpty():
+    unedited = spelled.withColumn("i", F.explode(F.sequence(begin, F.col("size"))))
+    own, ch, head = F.substring(F.col("s"), i + 1, F.lit(1)), F.substring("two", 1, 1), F.substring(F.col("s"), F.lit(1), i)
+    spread = unedited.withColumn("node", _node("s", i)).join(edges, "node").filter(ch != own)
+    more, other = F.concat(head, ch, F.substring(F.col("s"), i + 1, F.col("size"))), F.concat(head, ch, F.substring(F.col("s"), i + 2, F.col("size")))
+    spread = spread.select("way", "s", "i", "two", "ends", F.explode(F.when((own != "") & (ch > own), F.array(more, other)).otherwise(F.array(more))).alias("t"))
+
+    def moved(rows: DataFrame, position) -> DataFrame:
+        """States whose next characters have an edge, behind it; a state at the end of its word stays."""
+        pos, size = F.col("pos"), F.char_length("t")
+        rows = rows.withColumn("pos", position).filter((pos >= size) | (F.col("two") == _two("t", pos)) & ((pos + 2 < size) | F.col("ends")))
+        return rows.select("way", "s", "t", F.least(size, pos + 2).alias("pos"))
+
+    frontier = moved(spread, i)
+    while True:
         for _ in range(LEVELS):
-            # a state at its word's end has no next character: it matches no edge and stays
-            state = frontier.withColumn("next", F.when(F.col("pos") < F.col("size"), _at(F.col("pos"))))
-            walked = state.join(edge, (F.col("node") == F.col("from")) & (F.col("next") == F.col("ch")), "left")
-            walked = walked.filter("next IS NULL OR child IS NOT NULL").select(
-                "word", "s", "size", F.when(F.col("next").isNull(), F.col("pos")).otherwise(F.col("pos") + 1).alias("pos"),
-                F.coalesce("child", "node").alias("node"), F.when(F.col("next").isNull(), F.col("whole")).otherwise(F.col("next_whole")).alias("whole"))
-            frontier = walked.filter("pos < size OR whole IS NOT NULL")
+            # without a next character nothing matches, and the left join lets the state stay
+            state = frontier.withColumn("node", _node("t", F.col("pos")))
+            walked = state.join(edges, (state["node"] == edges["node"]) & (_two("t", F.col("pos")) == edges["two"]), "left")
+            frontier = moved(walked, F.col("pos"))
         frontier = materialise(frontier)
-    met = frontier.select("word", F.col("whole").alias("near")).filter(F.levenshtein("word", "near", 1) == 1)
+        if frontier.filter("pos < char_length(t)").isEmpty():
+            break
+    straight = lambda name: F.when(F.col("way") == 1, F.reverse(name)).otherwise(F.col(name))
+    met = frontier.select(straight("s").alias("word"), straight("t").alias("near")).filter(F.levenshtein("word", "near", 1) == 1)
     return met.union(met.select("near", "word")).distinct()
 
 
