@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontaminate, html_layout, license_scan, near_dedup, passages, pu_quality, quality_rules, spelling, toxicity, word_bpe
+from . import chat_rotation, decontaminate, html_layout, license_scan, near_dedup, parity_join, passages, pu_quality, quality_rules, spelling, toxicity, word_bpe
 from .sampling import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +97,31 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@_query()
+def _classes_sql(percent: int, more: str = "") -> str:
+    """Components of documents whose sets of four-word windows overlap."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [words]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: words[i:i + 3]))) END AS elements FROM d),
+classes AS (SELECT min(doc_id) AS rep, elements, len(elements) AS n FROM sets WHERE len(elements) > 0 GROUP BY elements),
+held AS (SELECT rep, n, unnest(elements) AS e FROM classes),
+met AS (
+  SELECT a.rep AS x, b.rep AS y FROM held a JOIN held b ON a.e = b.e AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM met UNION ALL SELECT y, x FROM met),
+reach AS (SELECT rep AS id, rep AS root FROM classes UNION SELECT l.y, r.root FROM reach r JOIN links l ON r.id = l.x AND r.root < l.y),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT s.doc_id, CAST(len(s.elements) AS BIGINT) AS n_shingles, CASE WHEN len(s.elements) = 0 THEN s.doc_id ELSE root END AS component_id{more}
+FROM sets s LEFT JOIN classes c ON s.elements = c.elements LEFT JOIN roots ON c.rep = roots.id
+"""
+
+
+_KEPT = ", coalesce(s.doc_id = CASE WHEN len(s.elements) = 0 THEN s.doc_id ELSE root END, false) AS kept"
+
+
+@_query(_classes_sql(80, _KEPT))
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=4)
 
@@ -185,3 +209,8 @@ SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
 @_query(_SPELLING_SQL)
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+@_query(_classes_sql(85))
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_classes(_read(spark, sf_dir, "documents"), width=4, percent=85)

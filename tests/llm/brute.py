@@ -23,7 +23,7 @@ def shingles(text: str | None, width: int) -> set:
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def components(rows: list[tuple], width: int) -> dict:
+def components(rows: list[tuple], width: int, percent: int = 80) -> dict:
     """doc_id -> (set size, smallest id of its component, whether it is that one)."""
     sets = {i: shingles(text, width) for i, text in rows}
     holders, parent = collections.defaultdict(list), {i: i for i in sets}
@@ -39,7 +39,7 @@ def components(rows: list[tuple], width: int) -> dict:
 
     for i, found in sets.items():
         for j, shared in collections.Counter(j for one in found for j in holders[one] if j < i).items():
-            if 100 * shared >= 80 * (len(found) + len(sets[j]) - shared):
+            if 100 * shared >= percent * (len(found) + len(sets[j]) - shared):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
