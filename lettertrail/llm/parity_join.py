@@ -11,8 +11,8 @@ bits); a block's parity is kept as the exclusive or of a random number for each
    frequent, linked sets share one of their first k + 1 keys each. So the `slack` most frequent keys of a set (empty
    blocks, blocks of common passages) join nothing, and a set most of whose keys nobody else has leaves early.
 3. In a bucket of equal keys each set is first compared with the bucket's smallest id, one pair for each set. What these
-   links don't connect meets in pieces of bounded size (`buckets`): pairs whose 64-bit foldings are near enough
-   are given out as far as they connect components, and verified on the full sets. Where a pair given out fails, the
+   links don't connect meets in pieces of bounded size (`buckets`): pairs whose sketches, folded to 8 bits a
+   block, are near enough are given out as far as they connect components, and verified on the full sets. Where a pair given out fails, the
    sets that it would have connected are compared once more without leaving out any pair.
 
 So no link between different components is lost, and a group of like texts never gives out all its pairs.
@@ -107,7 +107,7 @@ _KEYED = "doc_id bigint, n bigint, set_a bigint, set_b bigint, own boolean, band
 
 
 def _folded(width: int):
-    """The sketch of a packed text for one band, its blocks folded to 64 bits each."""
+    """The sketch of a packed text for one band, its blocks folded to 8 bits each: about 8 k bits, so pairs with far more than k differences stand out."""
     elements = _shingle_set(width)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +115,8 @@ def _folded(width: int):
             out = []
             for packed, k in zip(batch.column("packed").to_pylist(), batch.column("k").to_pylist(), strict=True):
                 h = elements(zlib.decompress(packed))
-                folded = np.zeros(int(_blocks(np.array(k))), np.uint64)
-                np.bitwise_xor.at(folded, ((h >> np.uint64(20)) % np.uint64(len(folded))).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+                folded = np.zeros(int(_blocks(np.array(k))), np.uint8)
+                np.bitwise_xor.at(folded, ((h >> np.uint64(20)) % np.uint64(len(folded))).astype(np.int64), (np.uint64(1) << (h & np.uint64(7))).astype(np.uint8))
                 out.append(folded.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("band"), pa.array(out, pa.binary())], ["rep", "band", "bits"])
 
@@ -128,10 +128,10 @@ def _near_pairs(percent: int, everything: bool):
         left, right = [], []
         for table in pieces_of(stream):
             rep, n, comp, asks = (table[c].to_numpy() for c in ("rep", "n", "comp", "asks"))
-            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(rep), -1)
+            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(len(rep), -1)
 
             def near(a: int, rows: np.ndarray, bits=bits, n=n) -> np.ndarray:
-                return np.bitwise_count(bits[rows] ^ bits[a]).sum(axis=1) <= _differ(n[rows] + n[a], percent)
+                return np.bitwise_count(bits[rows] ^ bits[a]).sum(axis=1, dtype=np.int64) <= _differ(n[rows] + n[a], percent)
 
             for a, b in spanning(near, np.flatnonzero(asks), np.flatnonzero(~asks), Forest(comp), everything):
                 left.append(min(rep[a], rep[b]))
