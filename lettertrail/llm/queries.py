@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, decontaminate, html_layout, license_scan, near_dedup, parity_join, passages, pu_quality, quality_rules, spelling, toxicity, word_bpe
+from . import alignment, chat_rotation, decontaminate, html_layout, license_scan, near_dedup, parity_join, passages, pu_quality, quality_rules, spelling, toxicity, word_bpe
 from .sampling import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,9 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_classes_sql(85))
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_classes(_read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@_query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(_read(spark, sf_dir, "documents"), *paths)
