@@ -9,14 +9,15 @@ so an element's process stops there, and the work per document hardly depends on
 1. Documents of equal sets form a class; one document stands for it.
 2. `BANDS` bands of `BAND_ROWS` register values are hashed; classes that share a band's hash share a bucket. Two sets at
    the threshold of 0.8 share no bucket with probability (1 - 0.8**4)**32 < 1e-7.
-3. Inside buckets, split by hash into chunks of bounded size, the Jaccard similarity of two classes is estimated
-   jointly from how many registers are greater, equal and smaller (maximum likelihood, given both set sizes).
-4. Pairs whose estimate is not clearly too low are verified on the full sets of both texts.
-
-A bucket never gives out all its pairs. Each class first offers its few best partners only. What is still unconnected
-inside a bucket when components have formed is compared with the rest of it without any cap, but for what a count rules
-out: of a set's elements, those that no other candidate holds can't be shared, and a set with too few others has no
-partner at the threshold. So no link between different components is lost; links inside a component change nothing.
+3. Each class is first compared with the smallest id of its buckets, one pair for each class.
+4. Classes of one bucket that these links don't connect meet in pieces of bounded size (`buckets`): the Jaccard similarity of
+   two classes is estimated jointly from how many registers are greater, equal and smaller (maximum likelihood, given
+   both set sizes). Likely pairs are given out as far as they connect components, and verified on the full sets.
+5. What is still apart is compared again, now with every pair whose estimate is not clearly too low, each in the
+   first of its common buckets only, but for what a count rules out: of a set's elements, those that no other candidate
+   holds can't be shared, and a set with too few others has no partner at the threshold.
+
+So no link between different components is lost, and links inside a component, which change nothing, are not looked for.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialise
+from .buckets import Forest, dealt, pieces_of, spanning
 from .pairs import compare_pairs, packed_texts
 from .words import Words, keyed, limit_batches, mix, pieces
 
@@ -38,8 +40,6 @@ REGISTERS = 256
 BASE = 1.001
 RATE = 20.0
 BANDS, BAND_ROWS = 32, 4
-CHUNK = 256  # classes of a bucket that meet in one piece of work
-BEST = 3  # partners that a class offers while components form
 MARGIN = 0.12  # estimates may lie so far under the threshold: over four standard errors at 256 registers
 
 
@@ -93,9 +93,11 @@ def likeliest(n_left: np.ndarray, n_right: np.ndarray, greater: np.ndarray, smal
 
 
 def _sketch(width: int):
+    """Texts' sketches; the columns before the text go along."""
+
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for low, high, data, offsets in pieces(batch.column(1)):
+            for low, high, data, offsets in pieces(batch.column(2)):
                 rows, h = Words(data, offsets, lower=True).shingles(width)
                 first = np.unique(keyed(rows, h), return_index=True)[1]
                 rows, h = rows[first], h[first]
@@ -107,80 +109,54 @@ def _sketch(width: int):
                     sums.append(pa.array(total.view(np.int64)))
                 k = registers(rows, h, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), *sums, pa.array([r.tobytes() for r in k], pa.binary())],
-                    ["doc_id", "n", "set_a", "set_b", "regs"],
+                    [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(n.astype(np.int64)), *sums, pa.array([r.tobytes() for r in k], pa.binary())],
+                    ["doc_id", "tag", "n", "set_a", "set_b", "regs"],
                 )
 
     return batches
 
 
+def _tag(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, set_a, set_b, regs): set size, a 128-bit digest of the set and the registers of each row."""
+    """(doc_id, tag, n, set_a, set_b, regs): a hash of the text, set size, a 128-bit digest of the set and the registers of each row."""
     limit_batches(docs.sparkSession)
-    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(_sketch(width), "doc_id bigint, n bigint, set_a bigint, set_b bigint, regs binary")
-
-
-def _offers(best: int | None, least: float, percent: int):
-    """Pairs of a bucket's chunk: each class's `best` likeliest partners of other components, or all pairs with a query."""
-
-    def pairs(names, n, held, comp, query, regs, group) -> tuple[np.ndarray, ...]:
-        left, right, estimate = [], [], []
-        step = 1
-        while step < len(names):
-            i = np.flatnonzero(group[:-step] == group[step:])
-            if not len(i):
-                break
-            i = i[comp[i] != comp[i + step]]
-            if best is None:
-                i = i[query[i] | query[i + step]]
-                shared = np.minimum(held[i], held[i + step])
-                i = i[100 * shared >= percent * (n[i] + n[i + step] - shared)]
-            for part in np.array_split(i, len(i) // 4096 + 1):
-                a, b = regs[part], regs[part + step]
-                equal = (a == b).sum(axis=1)
-                near = equal >= (least - 0.15) * REGISTERS
-                part, a, b, equal = part[near], a[near], b[near], equal[near]
-                if not len(part):
-                    continue
-                greater = (a > b).sum(axis=1)
-                j = likeliest(n[part], n[part + step], greater, REGISTERS - equal - greater, equal)
-                good = j >= least
-                left.append(part[good])
-                right.append(part[good] + step)
-                estimate.append(j[good])
-            step += 1
-        if not left:
-            return names[:0], names[:0], np.empty(0)
-        left, right, estimate = np.concatenate(left), np.concatenate(right), np.concatenate(estimate)
-        if best is not None:
-            one, two, score = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([estimate, estimate])
-            order = np.lexsort((names[two], -score, one))
-            one, two, score = one[order], two[order], score[order]
-            rank = np.arange(len(one)) - np.searchsorted(one, one)
-            left, right, estimate = one[rank < best], two[rank < best], score[rank < best]
-        return names[left], names[right], estimate
+    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), _tag(docs[text]).alias("tag"), docs[text].cast("string").alias("text"))
+    return rows.mapInArrow(_sketch(width), "doc_id bigint, tag bigint, n bigint, set_a bigint, set_b bigint, regs binary")
+
+
+def _offers(least: float, percent: int, everything: bool):
+    """Pairs of a piece whose estimate is `least` or more, each in the first band in which both agree."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def worked(table: pa.Table) -> pa.RecordBatch:
-            column = lambda name: table[name].to_numpy()
+        left, right = [], []
+        for table in pieces_of(stream):
+            rep, n, held, comp, asks = (table[c].to_numpy() for c in ("rep", "n", "held", "comp", "asks"))
             regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            group = keyed(column("chunk"), column("bucket").view(np.uint64))
-            found = pairs(column("rep"), column("n"), column("held"), column("comp"), column("query"), regs, group)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["left", "right", "estimate"])
-
-        held = None
-        for batch in stream:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            if not table.num_rows:
-                continue
-            key = keyed(table["chunk"].to_numpy(), table["bucket"].to_numpy().view(np.uint64))
-            last = int(np.argmax(key == key[-1]))  # the last group may go on in the next batch
-            if last:
-                yield worked(table.slice(0, last))
-            held = table.slice(last).combine_chunks().to_batches()[0]
-        if held is not None and held.num_rows:
-            yield worked(pa.Table.from_batches([held]))
+            band = table["band"][0].as_py()
+
+            def near(a: int, rows: np.ndarray, n=n, held=held, regs=regs, band=band) -> np.ndarray:
+                shared = np.minimum(held[rows], held[a])
+                able = np.flatnonzero(100 * shared >= percent * (n[rows] + n[a] - shared))
+                same = regs[rows[able]] == regs[a]
+                equal = same.sum(axis=1)
+                agree = same[:, : BANDS * BAND_ROWS].reshape(len(able), BANDS, BAND_ROWS).all(axis=2)
+                fit = (equal >= (least - 0.15) * REGISTERS) & (agree.argmax(axis=1) == band)
+                able, equal = able[fit], equal[fit]
+                greater = (regs[a] > regs[rows[able]]).sum(axis=1)
+                good = np.zeros(len(rows), bool)
+                good[able] = likeliest(np.full(len(able), n[a]), n[rows[able]], greater, REGISTERS - equal - greater, equal) >= least
+                return good
+
+            for a, b in spanning(near, np.flatnonzero(asks), np.flatnonzero(~asks), Forest(comp), everything):
+                left.append(min(rep[a], rep[b]))
+                right.append(max(rep[a], rep[b]))
+            if len(left) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["left", "right"])
+                left, right = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["left", "right"])
 
     return batches
 
@@ -218,16 +194,8 @@ def _agree(percent: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each input row.
-
-    A document's set holds its distinct windows of `width` lower-cased words (a shorter text is one window; a null or
-    blank text is the empty set and linked with nothing). Documents are linked where 100 * intersection >=
-    `percent` * union; `component_id` is the smallest id that links reach. Rows with the same id are one document, so
-    repeated rows share a component and are kept or dropped alike. A row with a null id takes the component of its copies and is kept only if it has none
-    with an id. Ids are integers; other columns are not read; an empty table gives an empty result.
-    """
-    least = percent / 100 - MARGIN
+def _decided(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, tag, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
     limit_batches(spark)
     sketched = materialise(sketches(docs, width, doc_id, text))
@@ -235,25 +203,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     classes = materialise(one.select("set_a", "set_b", F.col("c.doc_id").alias("rep"), "c.n", "c.regs"))
 
     size = 2 * BAND_ROWS
-    bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * size, size)) for i in range(BANDS)]))
-    banded = classes.select("rep", bands.alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = materialise(banded.join(shared, "bucket"))
-    chunks = F.ceil(F.col("members") / CHUNK)
+    bands = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * size, size)) for i in range(BANDS)])).alias("band", "bucket")
+    banded = classes.select("rep", bands)
+    lows = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("high")
+    buckets = materialise(banded.join(lows, "bucket"))
     texts = packed_texts(docs, buckets.select("rep"), doc_id, text)
 
-    def offered(rows: DataFrame, best: int | None) -> DataFrame:
-        rows = rows.join(classes.select("rep", "n", "regs"), "rep").select("bucket", "chunk", "rep", "n", F.coalesce("held", "n").alias("held"), "comp", "query", "regs")
-        spread = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
-        found = spread.mapInArrow(_offers(best, least, percent), "left bigint, right bigint, estimate double")
-        if best is not None:
-            top = found.groupBy("left").agg(F.slice(F.sort_array(F.collect_set(F.struct("estimate", "right")), asc=False), 1, best).alias("top"))
-            found = top.select("left", F.explode("top").alias("t")).select("left", "t.right")
-        return found.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).filter("left < right").distinct()
-
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.withColumn("extra", F.lit(0))
-        return compare_pairs(pairs, texts, _shingle_set(width), _agree(percent), "left bigint, right bigint")
+        return materialise(compare_pairs(pairs, texts, _shingle_set(width), _agree(percent), "left bigint, right bigint"))
 
     def able(rows: DataFrame) -> DataFrame:
         """(rep, held): the queries among `rows` of whose elements enough are held by another class in `rows`, and how many."""
@@ -264,41 +222,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         counted = own.agg(F.count("*").alias("all"), F.count("low").alias("held"))
         return counted.filter(100 * F.col("held") >= percent * F.col("all")).select("rep", "held")
 
-    tried = links = None
-    components = None
-    home = F.pmod(F.xxhash64("rep", "bucket"), chunks).cast("int")
-    for best in (BEST, None):
-        if components is None:
-            rows = buckets.withColumn("comp", F.col("rep"))
-        else:
-            placed = buckets.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-            parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "comp")).alias("largest"))
-            rows = placed.join(parts.filter("parts > 1"), "bucket")
-        if best is None:
-            rows = rows.withColumn("query", F.col("comp") != F.col("largest.comp"))
-            rows = rows.join(materialise(able(rows)), "rep", "left").filter("held IS NOT NULL OR NOT query")
-            rows = rows.join(rows.filter("query").select("bucket").distinct(), "bucket", "left_semi")
-            rows = rows.withColumn("chunk", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), (chunks - 1).cast("int"))).otherwise(F.array(home))))
-        else:
-            rows = rows.withColumn("query", F.lit(False)).withColumn("held", F.lit(None).cast("bigint")).withColumn("chunk", home)
-        pairs = offered(rows, best)
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["left", "right"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = materialise(verified(pairs))
-        links = found if links is None else links.union(found)
-        components = connected_components(links, "left", "right")
-
-    membership = classes.select("set_a", "set_b", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = sketched.select("doc_id", "n", "set_a", "set_b").join(
+    def between(roots: DataFrame, least: float, everything: bool) -> DataFrame:
+        """Pairs of different components in buckets, near by their estimates."""
+        placed = buckets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
+        parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "comp")).alias("largest"))
+        placed = placed.join(parts.filter("parts > 1"), "bucket").select("bucket", "band", "rep", "comp", (F.col("comp") != F.col("largest.comp")).alias("query"))
+        placed = materialise(placed)
+        rows = placed.withColumn("held", F.lit(None).cast("bigint"))
+        if everything:
+            rows = placed.join(materialise(able(placed)), "rep", "left").filter("held IS NOT NULL OR NOT query")
+        spread = dealt(rows, "bucket", "rep", "query").join(classes.select("rep", "n", "regs"), "rep")
+        spread = spread.select("piece", "band", "rep", "n", F.coalesce("held", "n").alias("held"), "comp", "asks", "regs").repartition("piece").sortWithinPartitions("piece")
+        return materialise(spread.mapInArrow(_offers(least, percent, everything), "left bigint, right bigint").distinct())
+
+    links = verified(buckets.filter("low < rep").groupBy("rep").agg(F.min("low").alias("left")).select("left", F.col("rep").alias("right")))
+    roots = connected_components(links, "left", "right")
+    for least, everything in ((percent / 100, False), (percent / 100 - MARGIN, True)):
+        given = between(roots, least, everything)
+        links = links.union(verified(given))
+        roots = connected_components(links, "left", "right")
+
+    membership = classes.select("set_a", "set_b", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    rows = sketched.select("doc_id", "tag", "n", "set_a", "set_b").join(
         membership.select("set_a", "set_b", F.coalesce("root", "rep").alias("component")), ["set_a", "set_b"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        "doc_id", "tag", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row for each input row.
+
+    A document's set holds its distinct windows of `width` lower-cased words (a shorter text is one window; a null or
+    blank text is the empty set and linked with nothing). Documents are linked where 100 * intersection >=
+    `percent` * union; `component_id` is the smallest id that links reach. Repeated rows share a component and are kept
+    or dropped alike; rows of one id with different texts go their own ways. A row with a null id takes the component
+    of its copies and is kept only if it has none with an id. Ids are integers; other columns are not read; an empty
+    table gives an empty result.
+    """
+    return _decided(docs, width, percent, doc_id, text).drop("tag")
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group of near duplicates, the one with the smallest id; columns unchanged."""
-    gone = near_duplicates(docs, width, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """`docs` with one document of each group of near duplicates, the one with the smallest id; columns unchanged.
+
+    Rows are told apart by id and text, so a row goes only if its own text is a near copy. Rows with a null id stay.
+    """
+    gone = _decided(docs, width, percent, "doc_id", "text").filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    same = (docs["doc_id"].cast("bigint") == gone["_id"]) & (_tag(docs["text"]) == gone["_tag"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
