@@ -27,20 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialise
 from .buckets import Forest, dealt, pieces_of, spanning
-from .pairs import compare_pairs, packed_texts
+from .pairs import compare_pairs, packed_nodes, text_tag
 from .words import Words, keyed, limit_batches, mix, pieces
 
 REGISTERS = 256
 BASE = 1.001
 RATE = 20.0
 BANDS, BAND_ROWS = 32, 4
-MARGIN = 0.12  # estimates may lie so far under the threshold: over four standard errors at 256 registers
+MARGIN = 0.1  # estimates may lie so far under the threshold: four standard errors at 256 registers
 
 
 def _minima(rows: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
@@ -116,14 +116,10 @@ def _sketch(width: int):
     return batches
 
 
-def _tag(text: Column) -> Column:
-    return F.xxhash64(text.cast("string"))
-
-
 def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tag, n, set_a, set_b, regs): a hash of the text, set size, a 128-bit digest of the set and the registers of each row."""
     limit_batches(docs.sparkSession)
-    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), _tag(docs[text]).alias("tag"), docs[text].cast("string").alias("text"))
+    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), text_tag(docs[text]).alias("tag"), docs[text].cast("string").alias("text"))
     return rows.mapInArrow(_sketch(width), "doc_id bigint, tag bigint, n bigint, set_a bigint, set_b bigint, regs binary")
 
 
@@ -199,15 +195,19 @@ def _decided(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
     spark = docs.sparkSession
     limit_batches(spark)
     sketched = materialise(sketches(docs, width, doc_id, text))
-    one = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))
-    classes = materialise(one.select("set_a", "set_b", F.col("c.doc_id").alias("rep"), "c.n", "c.regs"))
+    one = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "tag", "n", "regs")).alias("c"))
+    one = one.select("set_a", "set_b", F.col("c.doc_id").alias("id"), "c.tag", "c.n", "c.regs")
+    # a class is named by its smallest id, or by a hash where the texts of one id would give several classes that name
+    names = one.groupBy("id").agg((F.count("*") > 1).alias("several"))
+    named = F.when(F.col("several"), F.xxhash64("id", "set_a", "set_b")).otherwise(F.col("id"))
+    classes = materialise(one.join(names, "id").withColumn("rep", named).drop("several"))
 
     size = 2 * BAND_ROWS
     bands = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * size, size)) for i in range(BANDS)])).alias("band", "bucket")
     banded = classes.select("rep", bands)
     lows = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("high")
     buckets = materialise(banded.join(lows, "bucket"))
-    texts = packed_texts(docs, buckets.select("rep"), doc_id, text)
+    texts = packed_nodes(docs, buckets.select("rep").join(classes, "rep").withColumnRenamed("rep", "node"), doc_id, text)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.withColumn("extra", F.lit(0))
@@ -242,13 +242,14 @@ def _decided(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
         links = links.union(verified(given))
         roots = connected_components(links, "left", "right")
 
-    membership = classes.select("set_a", "set_b", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = sketched.select("doc_id", "tag", "n", "set_a", "set_b").join(
-        membership.select("set_a", "set_b", F.coalesce("root", "rep").alias("component")), ["set_a", "set_b"], "left")
+    membership = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "id", "rep", F.coalesce("root", "rep").alias("root"))
+    firsts = membership.groupBy("root").agg(F.min(F.struct("id", "rep")).alias("first"))
+    membership = membership.join(firsts, "root").select("set_a", "set_b", F.col("first.id").alias("component"), (F.col("first.rep") == F.col("rep")).alias("first"))
+    rows = sketched.select("doc_id", "tag", "n", "set_a", "set_b").join(membership, ["set_a", "set_b"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.select(
         "doc_id", "tag", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        F.coalesce((F.col("doc_id") == component) & F.coalesce("first", F.lit(True)), component.isNull()).alias("kept"),
     )
 
 
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     A document's set holds its distinct windows of `width` lower-cased words (a shorter text is one window; a null or
     blank text is the empty set and linked with nothing). Documents are linked where 100 * intersection >=
     `percent` * union; `component_id` is the smallest id that links reach. Repeated rows share a component and are kept
-    or dropped alike; rows of one id with different texts go their own ways. A row with a null id takes the component
+    or dropped alike; rows of one id with different texts go their own ways, and of its linked texts one is kept. A row with a null id takes the component
     of its copies and is kept only if it has none with an id. Ids are integers; other columns are not read; an empty
     table gives an empty result.
     """
@@ -271,5 +272,5 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows are told apart by id and text, so a row goes only if its own text is a near copy. Rows with a null id stay.
     """
     gone = _decided(docs, width, percent, "doc_id", "text").filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    same = (docs["doc_id"].cast("bigint") == gone["_id"]) & (_tag(docs["text"]) == gone["_tag"])
+    same = (docs["doc_id"].cast("bigint") == gone["_id"]) & (text_tag(docs["text"]) == gone["_tag"])
     return docs.join(gone, same, "left_anti").select(docs.columns)

@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -18,8 +18,9 @@ _BITS = 1 << 25  # of the filter of wanted ids
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [zlib.compress((text or "").encode(), 1) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+        *names, text = batch.columns
+        packed = [zlib.compress((one or "").encode(), 1) for one in text.to_pylist()]
+        yield pa.RecordBatch.from_arrays([*names, pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "packed"])
 
 
 def maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -45,6 +46,20 @@ def packed_texts(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text:
     return materialise(packed.join(wanted, "id", "left_semi"))
 
 
+def text_tag(text: Column) -> Column:
+    """Tells apart the texts of one id."""
+    return F.xxhash64(text.cast("string"))
+
+
+def packed_nodes(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, packed): the text of each of the `nodes` (node, id, tag), named by its node, compressed and stored."""
+    limit_batches(docs.sparkSession)
+    rows = docs.select(docs[doc_id].cast("bigint").alias("id"), text_tag(docs[text]).alias("tag"), docs[text].cast("string").alias("text")).filter("id IS NOT NULL")
+    wanted = nodes.select("node", "id", "tag").distinct()
+    packed = maybe(rows, wanted.select("id")).mapInArrow(_squeeze, "id bigint, tag bigint, packed binary")
+    return materialise(packed.join(wanted, ["id", "tag"]).select(F.col("node").alias("id"), "packed"))
+
+
 def compare_pairs(pairs: DataFrame, texts: DataFrame, prepare: Callable, compare: Callable, schema: str) -> DataFrame:
     """Rows that `compare` yields for each pair (left, right, extra) of distinct ids.
 
@@ -53,9 +68,10 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, prepare: Callable, compare
     partners are dealt by their hash to groups of about `PARTNERS`, so no task holds all partners of a hot document; rows
     stream by in order, and only one left document is held at a time.
     """
-    degree = pairs.groupBy("left").agg(F.count("*").alias("n"))
-    salted = pairs.join(degree, "left").withColumn("salt", F.pmod(F.xxhash64("right"), F.ceil(F.col("n") / PARTNERS)).cast("int")).drop("n")
-    lefts = salted.select("left", "salt").distinct().join(texts.select(F.col("id").alias("left"), "packed"), "left")
+    degree = pairs.groupBy("left").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("groups"))
+    salted = pairs.join(degree, "left").withColumn("salt", F.pmod(F.xxhash64("right"), "groups").cast("int")).drop("groups")
+    dealt = degree.select("left", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
+    lefts = dealt.join(texts.select(F.col("id").alias("left"), "packed"), "left")
     rights = salted.join(texts.select(F.col("id").alias("right"), "packed"), "right")
     kind = pairs.schema["extra"].dataType
     rows = lefts.select("left", "salt", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("right"), F.lit(None).cast(kind).alias("extra"), "packed").union(

@@ -149,8 +149,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
     A document's set holds its distinct windows of `width` lower-cased words (a shorter text is one window; a null or
     blank text is the empty set and linked with nothing). Documents link where 100 * intersection >= `percent` * union;
-    `component_id` is the smallest id that links reach. Rows of one id with different texts go their own ways, repeated
-    rows share everything. A row with a null id takes the component of its copies, null if it has none with an id.
+    `component_id` is the smallest id that links reach. Repeated rows share everything; ids that
+    name several texts are one node of the links, wherever they are a text's smallest id. A row with a null id takes the component of its copies, null if it has none with an id.
     Ids are integers; other columns aren't read; an empty table gives an empty result.
     """
     if not 50 < percent <= 100:
