@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
+import sys
 from collections.abc import Iterator
 from html import unescape
 
@@ -61,7 +63,21 @@ def tree(page: str) -> list:
     """Nested [name, shown, children] lists; children are such lists or strings."""
     root = ["html", True, []]
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # depths of the open elements of each name, so that no tag looks through the stack
     lowered = None
+
+    def last(names) -> int:
+        return max((places[name][-1] for name in names if places.get(name)), default=0)
+
+    def cut(depth: int) -> None:
+        for gone in reversed(stack[depth:]):
+            places[gone[0]].pop()
+        del stack[depth:]
+
+    def push(node: list) -> None:
+        places.setdefault(node[0], []).append(len(stack))
+        stack.append(node)
+
     for mark in iter(lambda: _MARK.search(page, at), None):
         if mark.start() > at:
             stack[-1][2].append(unescape(page[at : mark.start()]))
@@ -70,26 +86,19 @@ def tree(page: str) -> list:
         if not name:
             continue
         if mark[1]:
-            if any(node[0] == name for node in stack[1:]):
-                while stack.pop()[0] != name:
-                    pass
+            if places.get(name):
+                cut(places[name][-1])
             continue
         if name in CLOSES:
             closed, stop = CLOSES[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in stop:
-                    break
-                if stack[depth][0] in closed:
-                    del stack[depth:]
-        if name in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in SCOPE:
-                    break
-                if stack[depth][0] == "p":
-                    del stack[depth:]
-                    break
+            barrier = last(stop)
+            above = [deep[i] for deep in map(places.get, closed) if deep and (i := bisect_right(deep, barrier)) < len(deep)]
+            if above:
+                cut(min(above))
+        if name in BLOCK and places.get("p") and places["p"][-1] > last(SCOPE):
+            cut(places["p"][-1])
         node = [name, not _hides(name, mark[3]), []]
-        if any(name in names and any(x[0] == within for x in stack) for within, names in UNDRAWN.items()):
+        if any(name in names and places.get(within) for within, names in UNDRAWN.items()):
             node[1] = False
         stack[-1][2].append(node)
         if name in RAW:
@@ -101,9 +110,9 @@ def tree(page: str) -> list:
                 at = again.start() if again else len(page)
             if name == "textarea":
                 node[2].append(re.sub("^\\r?\\n", "", unescape(page[mark.end() : at])))
-            stack.append(node)
+            push(node)
         elif name not in VOID and not mark[3].endswith("/"):
-            stack.append(node)
+            push(node)
     if at < len(page):
         stack[-1][2].append(unescape(page[at:]))
     return root
@@ -140,6 +149,15 @@ class _Page:
         self.line += (" " if self.blank and self.line else "") + value
         self.blank = False
 
+    def whole(self, lines: list[str]) -> None:
+        """Lines that are drawn already, empty ones included."""
+        for i, line in enumerate(lines):
+            if i:
+                self.lines.append(self.line.rstrip(" "))
+                self.line = line
+            else:
+                self.put(line)
+
     def end(self, breaks: int) -> None:
         if self.line or self.lines:
             self.breaks = max(self.breaks, breaks)
@@ -256,10 +274,7 @@ def _draw(children: list, page: _Page, kept: bool) -> None:
                 lines.append((mark + body[0]).rstrip(" "))
                 lines += [" " * len(mark) + line if line else "" for line in body[1:]]
         if lines is not None:
-            for i, line in enumerate(lines):
-                page.end(int(i > 0))
-                page.put(line)
-                page.breaks = max(page.breaks, 0 if line else 1)
+            page.whole(lines)
             page.end(gap)
             continue
         todo.append(iter(inner))
@@ -269,6 +284,7 @@ def _draw(children: list, page: _Page, kept: bool) -> None:
 
 def visible_text(page: str) -> str:
     """All visible text of a page."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # a call for each list in a list, without a frame in C
     return "\n".join(_within(tree(page), False)).strip("\n")
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from re import _parser
 
 import public_tokenizers
@@ -347,7 +348,14 @@ def test_html_odd_rows(spark):
     out = html_layout.extract(spark.createDataFrame([(*r, "t") for r in rows], "page_id bigint, html string, text string"))
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, [(1, None), (2, ""), (3, "<"), (4, ""), (5, "ac"), (None, "x"), (1, "x"), (6, ""), (7, "x"), (8, "")]))
     assert html_layout.extract(spark.createDataFrame([], "page_id bigint, html string")).count() == 0
-    assert "x" in spark.createDataFrame([(1, deep[: 8 * 200] + "x")], "page_id bigint, html string").transform(html_layout.extract).first()["text"]
+    assert "x" in spark.createDataFrame([(1, deep)], "page_id bigint, html string").transform(html_layout.extract).first()["text"]
+
+
+def test_html_time_does_not_grow_with_depth():
+    start = time.time()
+    assert html_layout.visible_text("<div>" * 200_000 + "x" + "</b>" * 200_000) == "x"
+    assert html_layout.visible_text("<ul><li>a<ul><li>b</ul><p>c</ul>d") == "- a\n\n  - b\n\n  c\n\nd"
+    assert time.time() - start < 20
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity", "toxic", 0.93), ("op5_quality_classifier", "quality", 0.97)])

@@ -6,7 +6,7 @@ from brute import components
 from test_llm import WORDS, table
 from test_parity_join import changed
 
-from lettertrail.llm import buckets, near_dedup
+from lettertrail.llm import buckets, near_dedup, passages
 
 
 def test_hot_groups(spark, monkeypatch):
@@ -29,3 +29,11 @@ def test_one_id_with_two_texts(spark):
     kept = near_dedup.keep_one(table(spark, rows))
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, one), (2, two), (3, three), (3, three), (None, one), (None, "x y")], key=repr)
     assert kept.columns == table(spark, []).columns
+
+
+def test_passages_of_one_id_with_two_texts(spark):
+    rng = random.Random(6)
+    one, two = rng.choices(WORDS, k=200), rng.choices(WORDS, k=10)
+    rows = [(1, " ".join(one)), (2, " ".join([*one, *two])), (2, " ".join(two)), (None, " ".join(one)), (3, None)]
+    got = [(r["doc_id"], r["text"].strip() if r["text"] else None) for r in passages.without_repeats(table(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, " ".join(one)), (2, " ".join(two)), (2, " ".join(two)), (None, " ".join(one)), (3, None)], key=repr)
