@@ -4,7 +4,7 @@ A text is brought to one line of lower-cased words with one blank between them.
 expressions over that line, each with a keyword, a label, a confidence and a rank. Only texts that hold one of a few
 telling words at all are looked at, and a rule's expression runs only on texts that hold its keyword. Detections are
 intervals of the line; of equal intervals the rule of the best rank stays, and an interval that lies within another
-one's is suppressed. Suppression is a running maximum over the detections of one text, not a comparison of pairs.
+one's is suppressed, but for the names of one SPDX expression, which all start with it. Suppression is a running maximum over the detections of one text, not a comparison of pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ LICENCES = (
     ("mit", "mit", "mit"),
     ("mit", "expat", "expat"),
     ("x11", "x11", "x11"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? 2 0"),
+    ("apache-1.1", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version)? v?1 1"),
+    ("apache-2.0", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version)? v?2(?: 0)?"),
     ("apache", "apache", "apache(?: software)?"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
     ("bsd-2-clause", "freebsd", "freebsd"),
@@ -31,32 +31,32 @@ LICENCES = (
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", "bsd"),
     ("isc", "isc", "isc"),
-    ("gpl-1.0", "gnu", "gnu general public license(?: version| v)? 1(?: 0)?"),
-    ("gpl-2.0", "gnu", "gnu general public license(?: version| v)? 2(?: 0)?"),
-    ("gpl-3.0", "gnu", "gnu general public license(?: version| v)? 3(?: 0)?"),
+    ("gpl-1.0", "gnu", "gnu general public licen[sc]e(?: version)? v?1(?: 0)?"),
+    ("gpl-2.0", "gnu", "gnu general public licen[sc]e(?: version)? v?2(?: 0)?"),
+    ("gpl-3.0", "gnu", "gnu general public licen[sc]e(?: version)? v?3(?: 0)?"),
     ("gpl", "gnu", "gnu general public"),
     ("gpl-2.0", "gplv2", "gplv2"),
     ("gpl-3.0", "gplv3", "gplv3"),
     ("gpl", "gpl", "gpl"),
-    ("lgpl-2.1", "gnu", "gnu lesser general public license(?: version| v)? 2 1"),
-    ("lgpl-3.0", "gnu", "gnu lesser general public license(?: version| v)? 3(?: 0)?"),
+    ("lgpl-2.1", "gnu", "gnu lesser general public licen[sc]e(?: version)? v?2 1"),
+    ("lgpl-3.0", "gnu", "gnu lesser general public licen[sc]e(?: version)? v?3(?: 0)?"),
     ("lgpl", "gnu", "gnu (?:lesser|library) general public"),
     ("lgpl", "lgpl", "lgpl"),
-    ("agpl-3.0", "gnu", "gnu affero general public license(?: version| v)? 3(?: 0)?"),
+    ("agpl-3.0", "gnu", "gnu affero general public licen[sc]e(?: version)? v?3(?: 0)?"),
     ("agpl", "gnu", "gnu affero general public"),
     ("agpl", "agpl", "agpl"),
     ("gfdl", "gnu", "gnu free documentation"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? 1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version| v)? 2 0"),
+    ("mpl-1.1", "mozilla", "mozilla public licen[sc]e(?: version)? v?1 1"),
+    ("mpl-2.0", "mozilla", "mozilla public licen[sc]e(?: version)? v?2 0"),
     ("mpl", "mozilla", "mozilla public"),
-    ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? 1 0"),
-    ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? 2 0"),
+    ("epl-1.0", "eclipse", "eclipse public licen[sc]e(?: version)? v?1 0"),
+    ("epl-2.0", "eclipse", "eclipse public licen[sc]e(?: version)? v?2 0"),
     ("epl", "eclipse", "eclipse public"),
     ("cddl", "cddl", "cddl"),
     ("cddl", "distribution", "common development and distribution"),
     ("cpl", "common", "common public"),
-    ("artistic-1.0", "artistic", "artistic license(?: version)? 1 0"),
-    ("artistic-2.0", "artistic", "artistic license(?: version)? 2 0"),
+    ("artistic-1.0", "artistic", "artistic license(?: version)? v?1 0"),
+    ("artistic-2.0", "artistic", "artistic license(?: version)? v?2 0"),
     ("artistic", "artistic", "artistic"),
     ("boost", "boost", "boost software"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
@@ -101,6 +101,21 @@ NOTICES = (
     (0.7, "(?:the )?{} licen[sc]e(?: version [0-9]+(?: [0-9]+)?)?"),
 )
 
+# Short names that follow "SPDX-License-Identifier:", as words, with their labels.
+SHORT = (
+    ("mit", "mit"), ("x11", "x11"), ("apache 1 1", "apache-1.1"), ("apache 2 0", "apache-2.0"), ("0bsd", "bsd-0-clause"), ("bsd 2 clause", "bsd-2-clause"),
+    ("bsd 3 clause", "bsd-3-clause"), ("bsd 4 clause", "bsd-4-clause"), ("isc", "isc"), ("gpl 1 0", "gpl-1.0"), ("gpl 2 0", "gpl-2.0"), ("gpl 3 0", "gpl-3.0"),
+    ("lgpl 2 0", "lgpl-2.0"), ("lgpl 2 1", "lgpl-2.1"), ("lgpl 3 0", "lgpl-3.0"), ("agpl 3 0", "agpl-3.0"), ("gfdl 1 [1-3]", "gfdl"), ("mpl 1 1", "mpl-1.1"),
+    ("mpl 2 0", "mpl-2.0"), ("epl 1 0", "epl-1.0"), ("epl 2 0", "epl-2.0"), ("cddl 1 [01]", "cddl"), ("cpl 1 0", "cpl"), ("artistic 1 0", "artistic-1.0"),
+    ("artistic 2 0", "artistic-2.0"), ("bsl 1 0", "boost"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("cc0 1 0", "cc0"),
+    ("cc by nc nd [1-4] [05]", "cc-by-nc-nd"), ("cc by nc sa [1-4] [05]", "cc-by-nc-sa"), ("cc by nc [1-4] [05]", "cc-by-nc"), ("cc by nd [1-4] [05]", "cc-by-nd"),
+    ("cc by sa [1-4] [05]", "cc-by-sa"), ("cc by [1-4] [05]", "cc-by"), ("psf 2 0", "python"), ("php 3 [01]{1,2}", "php"), ("ruby", "ruby"), ("postgresql", "postgresql"),
+    ("openssl", "openssl"), ("ofl 1 [01]", "ofl"), ("eupl 1 [12]", "eupl"), ("odbl 1 0", "odbl"), ("vim", "vim"), ("ncsa", "ncsa"), ("ms pl", "ms-pl"), ("upl 1 0", "upl"),
+)
+# What may follow a short name, and the other names of an expression before it.
+SUFFIX = "(?: only| or later)?"
+EXPRESSION = "(?:[a-z0-9]{1,12}(?: [0-9]| clause| by| nc| nd| sa| pl| only| or later){0,6} (?:or|and|with) ){0,6}"
+
 # Rules that stand for themselves: label, keyword, confidence, expression.
 OTHERS = (
     ("public-domain", "domain", 0.6, "(?:released into|dedicated to|placed in|in) the public domain"),
@@ -120,7 +135,10 @@ TELLING = ("licen", "copyright", "spdx", "domain", "reserved", "permission", "re
 def rules() -> list[tuple[int, str, str, float, str]]:
     """(rank, label, keyword, confidence, expression) of every rule; a smaller rank goes first."""
     built = [(label, keyword, sure, form.replace("{}", name)) for (sure, form), (label, keyword, name) in itertools.product(NOTICES, LICENCES)]
-    return [(rank, *rule) for rank, rule in enumerate([*built, *OTHERS])]
+    # a name that says "licence" and a version needs no word behind it
+    whole = [(label, keyword, 0.7, f"(?:the )?{name}") for label, keyword, name in LICENCES if "licen" in name and "v?" in name]
+    short = [(label, name.split(" ")[0], 1.0, f"spdx license identifier {EXPRESSION}{name}{SUFFIX}") for name, label in SHORT]
+    return [(rank, *rule) for rank, rule in enumerate([*short, *whole, *built, *OTHERS])]
 
 
 def line_of_words(text: Column) -> Column:
@@ -180,7 +198,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     along = Window.partitionBy("line_id", "rank").orderBy("pos")
     placed = sized.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(along)).withColumn("start", F.col("end") - F.col("size"))
     earlier = Window.partitionBy("line_id").orderBy("start", F.desc("end"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    stays = placed.withColumn("reached", F.max("end").over(earlier)).filter("reached IS NULL OR reached < end")
+    stays = placed.withColumn("reached", F.max("end").over(earlier)).filter((F.col("rank") < len(SHORT)) | F.col("reached").isNull() | (F.col("reached") < F.col("end")))
     found = stays.groupBy("line_id").agg(F.collect_set("label").alias("own"), F.max("sure").alias("sure"))
 
     labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
