@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows and bytes per Arrow batch: a body may run to megabytes, so batches are kept well under Spark's 10,000 rows.
 ARROW_ROWS, ARROW_BYTES = "1000", "8m"
 
+COLLECT_EVERY = 20.0  # seconds
+
 _scratch: str | None = None
+_collected = time.monotonic()
 
 
 def build_session(app: str = "lettertrail", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -21,6 +25,7 @@ def build_session(app: str = "lettertrail", master: str | None = None, shuffle_p
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         .config("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
@@ -57,12 +62,17 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss).
 
-    Spark removes the shuffle files and checkpoints of tables that nothing refers to any more once the driver has
-    collected its garbage; jobs of many rounds would fill the disks before that happens by chance, so it is asked for.
+    Spark removes the shuffle files of tables that nothing refers to any more (and their checkpoints, with
+    spark.cleaner.referenceTracking.cleanCheckpoints) once the driver has collected its garbage. Long jobs of many
+    rounds would fill the disks before that happens by chance, so it is asked for, but not more often than every
+    `COLLECT_EVERY` seconds: a collection costs more than a short job.
     """
+    global _collected
     context = df.sparkSession.sparkContext
-    gc.collect()
-    context._jvm.System.gc()
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        gc.collect()
+        context._jvm.System.gc()
+        _collected = time.monotonic()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -1,5 +1,8 @@
 """Mail files, quotes, pages, streaming, bundles and the audit log."""
 
+import email
+import email.policy
+import random
 from datetime import datetime
 from email.message import EmailMessage
 
@@ -226,3 +229,73 @@ def test_ingest_job(spark):
     known = spark.createDataFrame([(1, emails[("a.eml", "standalone")]["source_sha"], None)], "case_id long, source_sha string, deleted_at timestamp")
     again = ingest_job.ingest(df.filter("path IN ('a.eml', 'b.eml')"), known, 1)
     assert {r["path"]: r["status"] for r in again["files"].collect()} == {"a.eml": "skipped", "b.eml": "parsed"}
+
+
+def _walked(raw: bytes) -> list[tuple]:
+    """(depth, subject, text, attached names and sizes) of each message, depth first, by the standard library."""
+    out = []
+
+    def walk(mail, depth):
+        texts, held, inner = [], [], []
+        parts = [mail]
+        while parts:
+            part = parts.pop(0)
+            if part.get_content_type() == "message/rfc822" and part is not mail:
+                held.append(part.get_payload(0).get("Subject") + ".eml")
+                inner.append(part.get_payload(0))
+            elif part.is_multipart():
+                parts = list(part.iter_parts()) + parts
+            elif part.get_filename():
+                held.append(part.get_filename())
+                if part.get_filename().endswith(".eml"):
+                    inner.append(email.message_from_bytes(part.get_payload(decode=True), policy=email.policy.default))
+            elif part.get_content_type() == "text/plain":
+                texts.append(part.get_content().replace("\r\n", "\n").strip())
+        out.append((depth, mail["Subject"], "\n\n".join(texts), held))
+        for one in inner:
+            walk(one, depth + 1)
+
+    walk(email.message_from_bytes(raw, policy=email.policy.default), 0)
+    return out
+
+
+def _random_mail(rng, depth):
+    mail = message(f"s{rng.randrange(10**6)}", "\n".join(rng.choice(["text", "-- ", "--x", "-----Original Message-----", "", "--==", "boundary=q"]) for _ in range(rng.randrange(1, 8))))
+    for _ in range(rng.randrange(3)):
+        mail.add_attachment(rng.randbytes(30), maintype="application", subtype="x", filename=f"f{rng.randrange(99)}.bin")
+    for _ in range(rng.randrange(3) if depth else 0):
+        inner = _random_mail(rng, depth - 1)
+        if rng.random() < 0.3:
+            mail.add_attachment(inner.as_bytes(), maintype="application", subtype="octet-stream", filename=f"m{rng.randrange(99)}.eml")
+        else:
+            mail.add_attachment(inner)
+    return mail
+
+
+def test_structure_against_the_standard_library(spark):
+    rng = random.Random(4)
+    mails = [_random_mail(rng, rng.randrange(5)).as_bytes() for _ in range(25)]
+    mails = [m.replace(b"\n", b"\r\n") if i % 3 == 0 else m for i, m in enumerate(mails)]
+    rows = eml.parse_eml(spark.createDataFrame([(str(i), m) for i, m in enumerate(mails)], "path string, content binary")).collect()
+    for i, raw in enumerate(mails):
+        got = [(r["depth"], r["subject"], r["body_text"], [a["filename"] for a in r["attachments"]]) for r in sorted(rows, key=lambda r: r["node"]) if r["path"] == str(i)]
+        assert got == _walked(raw), i
+
+
+def test_broken_and_repeated_boundaries(spark):
+    inner = "Subject: inner\nContent-Type: multipart/mixed; boundary=same\n\n--same\n\none\n--same\nContent-Disposition: attachment; filename=a.txt\n\nA\n"
+    part = "Content-Type: message/rfc822\n\n" + inner
+    rows = [
+        # the inner boundary is never closed, and comes twice; the outer fence ends it
+        ("twice", f"Subject: top\nContent-Type: multipart/mixed; boundary=\"out er\"\n\npreamble\n--out er\n\nhello\n--same\nstill hello\n--out er\n{part}--out er\n{part}--same--\n--out er--\nepilogue"),
+        ("open", f"Subject: cut\nContent-Type: multipart/mixed; boundary=b\n\n--b\n\nbody\n--b\n{part}"),
+        ("none", "Subject: n\nContent-Type: multipart/mixed; boundary=b\n\nno fence at all\n--c\n"),
+    ]
+    parsed = eml.parse_eml(spark.createDataFrame([(p, t.encode()) for p, t in rows], "path string, content binary"))
+    got = {}
+    for r in sorted(parsed.collect(), key=lambda r: (r["path"], r["node"])):
+        got.setdefault(r["path"], []).append((r["depth"], r["parent_node"], r["subject"], r["body_text"], [(a["filename"], a["is_email"]) for a in r["attachments"]]))
+    held = (1, 0, "inner", "one", [("a.txt", False)])
+    assert got["twice"] == [(0, None, "top", "hello\n--same\nstill hello", [("inner.eml", True)] * 2), held, held]
+    assert got["open"] == [(0, None, "cut", "body", [("inner.eml", True)]), held]
+    assert got["none"] == [(0, None, "n", "", [])]
