@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows and bytes per Arrow batch: a body may run to megabytes, so batches are kept well under Spark's 10,000 rows.
 ARROW_ROWS, ARROW_BYTES = "1000", "8m"
 
-COLLECT_EVERY = 20.0  # seconds
+COLLECT_EVERY = 5.0  # seconds
 
 _scratch: str | None = None
 _collected = time.monotonic()
