@@ -59,17 +59,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _scratch
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, every: float = COLLECT_EVERY) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss).
 
     Spark removes the shuffle files of tables that nothing refers to any more (and their checkpoints, with
     spark.cleaner.referenceTracking.cleanCheckpoints) once the driver has collected its garbage. Long jobs of many
-    rounds would fill the disks before that happens by chance, so it is asked for, but not more often than every
-    `COLLECT_EVERY` seconds: a collection costs more than a short job.
+    rounds would fill the disks before that happens by chance, so it is asked for, but not more often than `every` so
+    many seconds: a collection costs more than a short job.
     """
     global _collected
     context = df.sparkSession.sparkContext
-    if time.monotonic() - _collected > COLLECT_EVERY:
+    if time.monotonic() - _collected > every:
         gc.collect()
         context._jvm.System.gc()
         _collected = time.monotonic()
