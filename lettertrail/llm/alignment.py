@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from .store import store
 from .words import limit_batches, pieces
 
 PIECE = 1 << 16  # merge steps
@@ -231,9 +231,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         if held:
             yield block()
 
-    blocks = materialise(rows.mapInArrow(encode, "block bigint, texts binary, links binary, pairs array<bigint>, times array<bigint>"))
+    blocks = store(rows.mapInArrow(encode, "block bigint, texts binary, links binary, pairs array<bigint>, times array<bigint>"))
     sent = blocks.select("block", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("block", "p.pairs", "p.times")
-    counts = materialise(sent.groupBy("pairs").agg(F.sum("times").alias("count")))
+    counts = store(sent.groupBy("pairs").agg(F.sum("times").alias("count")))
     right = F.col("pairs").bitwiseAND(0xFFFFFFFF)
     best = counts.groupBy(right.alias("b")).agg(F.max("count").alias("most"))
     judged = counts.join(best, right == F.col("b")).select("pairs", "count", (F.col("count") == F.col("most")).alias("best"))

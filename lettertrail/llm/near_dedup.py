@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialise
 from .buckets import Forest, dealt, pieces_of, spanning
 from .pairs import compare_pairs, packed_nodes, text_tag
+from .store import store
 from .words import Words, keyed, limit_batches, mix, pieces
 
 REGISTERS = 256
@@ -194,24 +194,24 @@ def _decided(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
     """(doc_id, tag, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
     limit_batches(spark)
-    sketched = materialise(sketches(docs, width, doc_id, text))
+    sketched = store(sketches(docs, width, doc_id, text))
     one = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "tag", "n", "regs")).alias("c"))
     one = one.select("set_a", "set_b", F.col("c.doc_id").alias("id"), "c.tag", "c.n", "c.regs")
     # a class is named by its smallest id, or by a hash where the texts of one id would give several classes that name
     names = one.groupBy("id").agg((F.count("*") > 1).alias("several"))
     named = F.when(F.col("several"), F.xxhash64("id", "set_a", "set_b")).otherwise(F.col("id"))
-    classes = materialise(one.join(names, "id").withColumn("rep", named).drop("several"))
+    classes = store(one.join(names, "id").withColumn("rep", named).drop("several"))
 
     size = 2 * BAND_ROWS
     bands = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * size, size)) for i in range(BANDS)])).alias("band", "bucket")
     banded = classes.select("rep", bands)
     lows = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("high")
-    buckets = materialise(banded.join(lows, "bucket"))
+    buckets = store(banded.join(lows, "bucket"))
     texts = packed_nodes(docs, buckets.select("rep").join(classes, "rep").withColumnRenamed("rep", "node"), doc_id, text)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.withColumn("extra", F.lit(0))
-        return materialise(compare_pairs(pairs, texts, _shingle_set(width), _agree(percent), "left bigint, right bigint"))
+        return store(compare_pairs(pairs, texts, _shingle_set(width), _agree(percent), "left bigint, right bigint"))
 
     def able(rows: DataFrame) -> DataFrame:
         """(rep, held): the queries among `rows` of whose elements enough are held by another class in `rows`, and how many."""
@@ -227,13 +227,13 @@ def _decided(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
         placed = buckets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
         parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "comp")).alias("largest"))
         placed = placed.join(parts.filter("parts > 1"), "bucket").select("bucket", "band", "rep", "comp", (F.col("comp") != F.col("largest.comp")).alias("query"))
-        placed = materialise(placed)
+        placed = store(placed)
         rows = placed.withColumn("held", F.lit(None).cast("bigint"))
         if everything:
-            rows = placed.join(materialise(able(placed)), "rep", "left").filter("held IS NOT NULL OR NOT query")
+            rows = placed.join(store(able(placed)), "rep", "left").filter("held IS NOT NULL OR NOT query")
         spread = dealt(rows, "bucket", "rep", "query").join(classes.select("rep", "n", "regs"), "rep")
         spread = spread.select("piece", "band", "rep", "n", F.coalesce("held", "n").alias("held"), "comp", "asks", "regs").repartition("piece").sortWithinPartitions("piece")
-        return materialise(spread.mapInArrow(_offers(least, percent, everything), "left bigint, right bigint").distinct())
+        return store(spread.mapInArrow(_offers(least, percent, everything), "left bigint, right bigint").distinct())
 
     links = verified(buckets.filter("low < rep").groupBy("rep").agg(F.min("low").alias("left")).select("left", F.col("rep").alias("right")))
     roots = connected_components(links, "left", "right")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from .store import store
 from .words import limit_batches
 
 PARTNERS = 256  # of one document in one group
@@ -43,7 +43,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("string").alias("text")).filter("id IS NOT NULL")
     wanted = ids.toDF("id").distinct()
     packed = maybe(rows, wanted).mapInArrow(_squeeze, "id bigint, packed binary")
-    return materialise(packed.join(wanted, "id", "left_semi"))
+    return store(packed.join(wanted, "id", "left_semi"))
 
 
 def text_tag(text: Column) -> Column:
@@ -57,7 +57,7 @@ def packed_nodes(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text
     rows = docs.select(docs[doc_id].cast("bigint").alias("id"), text_tag(docs[text]).alias("tag"), docs[text].cast("string").alias("text")).filter("id IS NOT NULL")
     wanted = nodes.select("node", "id", "tag").distinct()
     packed = maybe(rows, wanted.select("id")).mapInArrow(_squeeze, "id bigint, tag bigint, packed binary")
-    return materialise(packed.join(wanted, ["id", "tag"]).select(F.col("node").alias("id"), "packed"))
+    return store(packed.join(wanted, ["id", "tag"]).select(F.col("node").alias("id"), "packed"))
 
 
 def compare_pairs(pairs: DataFrame, texts: DataFrame, prepare: Callable, compare: Callable, schema: str) -> DataFrame:

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialise
 from .buckets import Forest, dealt, pieces_of, spanning
 from .near_dedup import _agree, _shingle_set
 from .pairs import compare_pairs, maybe, packed_texts
+from .store import store
 from .words import Words, keyed, limit_batches, mix, pieces
 
 SLACK = 0.25  # blocks above k + 1, as a share of k + 1
@@ -158,23 +158,23 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     spark = docs.sparkSession
     limit_batches(spark)
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    sketched = materialise(rows.mapInArrow(_keys(width, percent), _KEYED))
+    sketched = store(rows.mapInArrow(_keys(width, percent), _KEYED))
     spread = sketched.filter("doc_id IS NOT NULL AND k > 0").select("doc_id", "n", "set_a", "set_b", "band", "k", F.size("keys").alias("m"), F.explode("keys").alias("id"))
 
     # keys of two different sets at least; the count orders them
-    counts = materialise(spread.groupBy("id").agg(F.count("*").alias("times"), F.min("set_a").alias("low"), F.max("set_a").alias("high")).filter("low < high").select("id", "times"))
+    counts = store(spread.groupBy("id").agg(F.count("*").alias("times"), F.min("set_a").alias("low"), F.max("set_a").alias("high")).filter("low < high").select("id", "times"))
     shared = maybe(spread, counts.select("id")).join(counts, "id")
     shared = shared.groupBy("set_a", "set_b", "band", "id").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "k", "m", "times")))
     mine = Window.partitionBy("set_a", "set_b", "band")
     # keys that only this set has come first in the order, so the first k + 1 keys hold all m - held of them
     ranked = shared.withColumn("held", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("times", "id")))
-    members = materialise(ranked.filter("rank <= k + 1 - (m - held)").select(F.col("id").alias("bucket"), "rep", "n", "band", "k"))
+    members = store(ranked.filter("rank <= k + 1 - (m - held)").select(F.col("id").alias("bucket"), "rep", "n", "band", "k"))
     lows = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("high")
-    members = materialise(members.join(lows, "bucket"))
+    members = store(members.join(lows, "bucket"))
     texts = packed_texts(docs, members.select("rep"), doc_id, text)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return materialise(compare_pairs(pairs.withColumn("extra", F.lit(0)), texts, _shingle_set(width), _agree(percent), "left bigint, right bigint"))
+        return store(compare_pairs(pairs.withColumn("extra", F.lit(0)), texts, _shingle_set(width), _agree(percent), "left bigint, right bigint"))
 
     first = members.filter("low < rep").groupBy("rep").agg(F.min("low").alias("left")).select("left", F.col("rep").alias("right"))
     links = verified(first)
@@ -187,12 +187,12 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         placed = placed.join(sizes.filter("comps > 1"), "bucket").withColumn("query", F.col("comp") != F.col("largest.comp"))
         if only is not None:
             placed = placed.join(only, "rep", "left_semi")
-        placed = materialise(placed.select("bucket", "rep", "n", "band", "k", "comp", "query"))
+        placed = store(placed.select("bucket", "rep", "n", "band", "k", "comp", "query"))
         wanted = placed.select(F.col("rep").alias("id"), "band", "k").distinct()
-        bits = materialise(texts.join(wanted, "id").select("id", "band", "k", "packed").mapInArrow(_folded(width), "rep bigint, band bigint, bits binary"))
+        bits = store(texts.join(wanted, "id").select("id", "band", "k", "packed").mapInArrow(_folded(width), "rep bigint, band bigint, bits binary"))
         pieces_in = dealt(placed.join(bits, ["rep", "band"]), "bucket", "rep", "query").select("piece", "rep", "n", "comp", "asks", "bits")
         near = pieces_in.repartition("piece").sortWithinPartitions("piece").mapInArrow(_near_pairs(percent, everything), "left bigint, right bigint")
-        return materialise(near.distinct())
+        return store(near.distinct())
 
     given = between(roots, None, False)
     found = verified(given)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from .store import store
 from .words import limit_batches
 
 LEAST_LETTERS, LEAST_TIMES, RATIO = 5, 3, 2
@@ -118,7 +118,7 @@ def neighbours(words: DataFrame) -> DataFrame:
             state = frontier.withColumn("node", _node("t", F.col("pos")))
             walked = state.join(edges, (state["node"] == edges["node"]) & (_two("t", F.col("pos")) == edges["two"]), "left")
             frontier = moved(walked, F.col("pos"))
-        frontier = materialise(frontier)
+        frontier = store(frontier)
         if frontier.filter("pos < char_length(t)").isEmpty():
             break
     straight = lambda name: F.when(F.col("way") == 1, F.reverse(name)).otherwise(F.col(name))
@@ -132,12 +132,12 @@ def variants(words: DataFrame) -> DataFrame:
     `form` is the near word of largest n (ties: smallest in code-point order) if that n is at least `RATIO` times the
     word's, else null; `root` is where forms lead in the end, the word itself if it has none.
     """
-    words = materialise(words.select("word", "n"))
+    words = store(words.select("word", "n"))
     pairs = neighbours(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("rank"), "near")).alias("best"))
     rows = words.join(best, "word", "left")
     formed = -F.col("best.rank") >= RATIO * F.col("n")
-    rows = materialise(rows.select(
+    rows = store(rows.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("best.near")).alias("form"), F.when(formed, -F.col("best.rank")).alias("form_n")))
 
     # counts double from word to form, so chains are short; each round doubles the step
@@ -146,7 +146,7 @@ def variants(words: DataFrame) -> DataFrame:
         on = hops.select(F.col("word").alias("root"), F.col("root").alias("further"))
         if hops.join(on, "root", "left_semi").isEmpty():
             break
-        hops = materialise(hops.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")))
+        hops = store(hops.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")))
     return rows.join(hops, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
