@@ -161,7 +161,22 @@ def containment_between(left: DataFrame, right: DataFrame, key_left: str, key_ri
                         min_shingles: int = MIN_CONTAINED_SHINGLES) -> DataFrame:
     """(left_key, right_key, contained) over two tables; the smaller set of each pair is measured."""
     a, b = _sized(left, key_left, min_shingles), _sized(right, key_right, min_shingles)
-    counts = _shared_counts(a, b)
+    return _either_way(a, b, _shared_counts(a, b), share)
+
+
+def containment_added(added: DataFrame, stored: DataFrame, key: str, share: float = CONTAINED, min_shingles: int = MIN_CONTAINED_SHINGLES) -> DataFrame:
+    """(left_key, right_key, contained) between a small table of added sets and a large stored one.
+
+    The same pairs as `containment_between`, but stored hashes are only counted and shuffled where an added set has
+    them; the rest of the stored sets is read and let go.
+    """
+    a, b = _sized(added, key, min_shingles), _sized(stored, key, min_shingles)
+    sought = a.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("da"))
+    met = b.select(F.explode("hashes").alias("h")).join(sought, "h").groupBy("h").agg((F.first("da") + F.count("*")).alias("df"))
+    return _either_way(a, b, materialise(met), share)
+
+
+def _either_way(a: DataFrame, b: DataFrame, counts: DataFrame, share: float) -> DataFrame:
     wa, wb = _weighed(a, counts, share), _weighed(b, counts, share)
     a_in_b = _contained(wa, wb, F.expr("small_n <= large_n"), share)
     b_in_a = _contained(wb, wa, F.expr("small_n < large_n"), share)

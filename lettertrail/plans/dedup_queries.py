@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprint as P
 from ..functions import text as T
 from ..operators import dedup as D
+from ..operators import delta
 from ..session import materialise
 from . import checksql as Q
 from .registry import query
@@ -238,3 +239,39 @@ def _(t):
 @query("pairs_listed", "SELECT email_a_id, email_b_id, score FROM fx_pairs WHERE status = 'pending'")
 def _(t):
     return D.list_pairs(t.fx_pairs).select("email_a_id", "email_b_id", "score")
+
+
+# ---- batches against what is stored
+
+
+def _two_batches(t):
+    """(what the first half of the ids left in store, its pairs, the other half's rows)."""
+    emails = t.fx_emails
+    middle = emails.select(F.avg("id")).scalar()
+    store = delta.review_store(emails.filter(F.col("id") <= middle))
+    return store, materialise(delta.stored_pairs(store)), emails.filter(F.col("id") > middle)
+
+
+@query("ingest_pairs", f"WITH {_BASE}, {_KEYS}, {_PAIRS}, {_SCORED} SELECT * FROM scored")
+def _(t):
+    """The pairs of two batches, the second one only compared with what the first one left in store."""
+    store, pairs, rest = _two_batches(t)
+    return pairs.unionByName(delta.added_pairs(store, rest)[0]).withColumn("codes", _codes()).drop("reasons")
+
+
+@query("ingest_clusters", f"WITH RECURSIVE {_BASE}, {_KEYS}, {_PAIRS}, {_SCORED}, {_ROOTS.format(a='email_a_id', b='email_b_id', pairs='scored')} SELECT cluster_id, id FROM roots")
+def _(t):
+    """Clusters of the first batch joined by the pairs that the second one adds."""
+    store, pairs, rest = _two_batches(t)
+    members = materialise(D.cluster_members(pairs.withColumn("status", F.lit("pending"))))
+    return delta.added_members(members, delta.added_pairs(store, rest)[0])
+
+
+@query("clusters_changed", f"WITH RECURSIVE {_PENDING}, {_ROOTS.format(a='email_a_id', b='email_b_id', pairs='pend')} SELECT cluster_id, id FROM roots")
+def _(t):
+    """Clusters of pairs of any status, after the decided ones went and further pending ones came."""
+    late = F.col("email_a_id") % 5 == 0
+    before, later = t.fx_pairs.filter(~late), t.fx_pairs.filter(late & (F.col("status") == "pending"))
+    members = materialise(D.cluster_members(before.withColumn("status", F.lit("pending"))))
+    open_, decided = before.filter("status = 'pending'"), before.filter("status <> 'pending'")
+    return delta.changed_members(members, open_, decided, later)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import delta
 from ..operators import relations as R
 from ..operators import threads as G
+from ..session import materialise
 from . import checksql as Q
 from .registry import query
 from .text_queries import STAMP, stamp
@@ -30,6 +32,17 @@ def _(t):
     return G.assign_threads(t.fx_replies).select("id", "thread_id", "parent_id")
 
 
+@query("ingest_threads", f"WITH RECURSIVE {_THREADS} SELECT t.id, t.thread_id, p.parent_id FROM t JOIN p ON p.id = t.id")
+def _(t):
+    """Threads of two batches: messages and their answers arrive in either order, only threads that the second batch meets are read again."""
+    late = F.crc32(F.col("id").cast("string")) % 2 == 1
+    first = t.fx_replies.filter(~late)
+    stored = materialise(first.join(G.assign_threads(first).select("id", "thread_id", F.col("parent_id").alias("parent_email_id")), "id"))
+    changed = materialise(delta.changed_threads(stored, t.fx_replies.filter(late))).select("id", "thread_id", "parent_id")
+    kept = stored.join(changed.select("id"), "id", "left_anti").select("id", "thread_id", F.col("parent_email_id").alias("parent_id"))
+    return kept.unionByName(changed)
+
+
 @query(
     "threads_changed",
     f"WITH RECURSIVE {_THREADS} SELECT t.id, t.thread_id FROM t JOIN p ON p.id = t.id",
