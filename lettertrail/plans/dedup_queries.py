@@ -259,6 +259,16 @@ def _(t):
     return pairs.unionByName(delta.added_pairs(store, rest)[0]).withColumn("codes", _codes()).drop("reasons")
 
 
+@query("trash_pairs", f"WITH {_BASE}, {_KEYS}, {_PAIRS}, {_SCORED} SELECT * FROM scored")
+def _(t):
+    """The pairs that are left when trashed rows leave the store; the next row of a file, message or body takes their place."""
+    store = delta.review_store(t.fx_emails.withColumn("deleted_at", F.lit(None).cast("timestamp")))
+    pairs = materialise(delta.stored_pairs(store)).withColumn("status", F.lit("pending"))
+    gone = t.fx_emails.filter("deleted_at IS NOT NULL").select("id")
+    rest = delta.merge_added(pairs, gone, delta.removed_rows(store, gone)[0])
+    return rest.withColumn("codes", _codes()).drop("reasons", "status")
+
+
 @query("ingest_clusters", f"WITH RECURSIVE {_BASE}, {_KEYS}, {_PAIRS}, {_SCORED}, {_ROOTS.format(a='email_a_id', b='email_b_id', pairs='scored')} SELECT cluster_id, id FROM roots")
 def _(t):
     """Clusters of the first batch joined by the pairs that the second one adds."""

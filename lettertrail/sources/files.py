@@ -119,18 +119,25 @@ def number_chain(rows: DataFrame) -> DataFrame:
     return joined.withColumn("chain_position", place.cast("int")).drop("_q")
 
 
-def assign_doc_ids(emails: DataFrame) -> DataFrame:
+def assign_doc_ids(emails: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Add `doc_id`: a short code per (case, root document), shared by every card of the document.
 
     The code is read off a hash; documents of a case that meet on a code get further letters, which no other
-    code can start with.
+    code can start with. `taken` (case_id, root_id, doc_id) are the codes given out before: they stay.
     """
     base = len(CODE_ALPHABET)
     digit = lambda n: F.substr(F.lit(CODE_ALPHABET), (n + 1).cast("int"), F.lit(1))
     docs = emails.select("case_id", "root_id").distinct()
+    if taken is not None:
+        taken = taken.select("case_id", "root_id", "doc_id").distinct()
+        docs = docs.join(taken, ["case_id", "root_id"], "left_anti")
     h = F.pmod(F.xxhash64("case_id", "root_id"), F.lit(base**CODE_LENGTH))
     code = F.concat(*[digit(F.pmod(F.floor(h / base**k), F.lit(base))) for k in range(CODE_LENGTH)])
     coded = docs.withColumn("_code", code)
     nth = F.row_number().over(Window.partitionBy("case_id", "_code").orderBy("root_id")) - 1
+    if taken is not None:
+        met = taken.groupBy("case_id", F.substring("doc_id", 1, CODE_LENGTH).alias("_code")).agg(F.count("*").alias("_met"))
+        coded, nth = coded.join(met, ["case_id", "_code"], "left"), nth + F.coalesce("_met", F.lit(0))
     tail = F.when(nth == 0, F.lit("")).otherwise(F.translate(F.lower(F.conv(nth.cast("string"), 10, base)), "0123456789abcdefghijklmnopqrstu", CODE_ALPHABET))
-    return emails.join(coded.select("case_id", "root_id", F.concat("_code", tail).alias("doc_id")), ["case_id", "root_id"])
+    codes = coded.select("case_id", "root_id", F.concat("_code", tail).alias("doc_id"))
+    return emails.join(codes if taken is None else codes.unionByName(taken), ["case_id", "root_id"])
