@@ -1,31 +1,30 @@
-"""Append-only, hash-linked audit log.
+"""Append-only audit log under a hash tree.
 
-A chain is serial by nature, so each batch is cut into lanes of bounded length per case. A lane is one chain;
-its first link is derived from the case's last root, and a root row closes the batch over the lanes' last hashes.
+A chain of hashes is serial by nature, so the log is a tree: events of a case are numbered in the order in which they
+came, and each node hashes the nodes of up to WIDTH neighbours below it. The nodes of a batch are found level by level
+with one grouping each, whatever the size of a case; a batch rewrites only the last node of each level.
+
+An event's place depends on the order alone, so one batch or many give the same tree. A changed, lost or moved event
+shows in its own hash or in the node above it, and the root of a case, kept elsewhere, speaks for all of its events.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-# Text kept per value, items kept per list, events per lane, action of a root row.
+from ..session import materialise
+from .scan import ranked
+
+# Text kept per value, items kept per list.
 TEXT_KEPT = 400
 LIST_KEPT = 20
-LANE_ROWS = 20_000
-ROOT = "chain.root"
+# A node holds WIDTH nodes of the level below; the root is node 0 of level LEVELS, so a case may hold WIDTH ** LEVELS events.
+WIDTH = 1024
+LEVELS = 4
 
-LOG_SCHEMA = StructType(
-    [
-        StructField("case_id", LongType()), StructField("batch_id", LongType()), StructField("lane", LongType()), StructField("seq", LongType()),
-        StructField("id", LongType()), StructField("action", StringType()), StructField("payload", StringType()),
-        StructField("prev_hash", StringType()), StructField("event_hash", StringType()),
-    ]
-)
+LOG_COLUMNS = ("case_id", "batch_id", "position", "id", "action", "payload", "event_hash")
+NODE_COLUMNS = ("case_id", "batch_id", "level", "node", "events", "node_hash")
 
 
 def compact_text(col: Column) -> Column:
@@ -40,73 +39,144 @@ def compact_map(col: Column) -> Column:
     return F.transform_values(col, lambda _k, v: compact_text(v))
 
 
-def payload(fields: list[Column]) -> Column:
-    """The hashed part of an event: JSON of its fields, nulls kept."""
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+def payload(plain: list[str], texts: list[str] = (), lists: list[str] = ()) -> Column:
+    """The hashed part of an event: JSON of these columns, nulls kept, long texts and lists of texts compacted."""
+    kept = [F.col(c) for c in plain] + [compact_text(F.col(c)).alias(c) for c in texts] + [compact_list(F.col(c)).alias(c) for c in lists]
+    return F.to_json(F.struct(*kept), {"ignoreNullFields": "false"})
 
 
-def link_hash(prev: Column, body: Column) -> Column:
-    return F.sha2(F.concat_ws("\n", prev, body).cast("binary"), 256)
+def leaf_hash(case_id: Column, position: Column, body: Column) -> Column:
+    """Hash of an event at its place; a null payload counts as an empty one, a null case as case -1."""
+    parts = [F.lit("0"), F.coalesce(case_id, F.lit(-1)).cast("string"), position.cast("string"), F.coalesce(body, F.lit(""))]
+    return F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256)
 
 
-def _seed(root: Column, batch: int, lane: Column) -> Column:
-    return F.sha2(F.concat_ws(":", root, F.lit(str(batch)), lane.cast("string")).cast("binary"), 256)
+def node_hash(level: Column, children: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", level.cast("string"), F.array_join(children, "\n")).cast("binary"), 256)
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["created_at", "id"]).reset_index(drop=True)
-    prev, before, after = rows["seed"].iloc[0] if len(rows) else None, [], []
-    for body in rows["payload"]:
-        before.append(prev)
-        prev = hashlib.sha256(f"{prev}\n{body}".encode()).hexdigest()
-        after.append(prev)
-    out = rows[["case_id", "batch_id", "lane", "id", "action", "payload"]].copy()
-    out.insert(3, "seq", range(len(rows)))
-    out["prev_hash"], out["event_hash"] = before, after
-    return out
+def _at(position: Column, width: int, level: int) -> Column:
+    return F.floor(position / F.lit(width**level)).cast("long") if level else position
 
 
-def append_audit(log: DataFrame | None, events: DataFrame, batch_id: int, lane_rows: int = LANE_ROWS) -> DataFrame:
-    """Log rows of one batch. `events`: id, case_id, action, created_at, payload."""
-    sizes = events.groupBy("case_id").agg(F.ceil(F.count("*") / lane_rows).alias("lanes"))
-    if log is None:
-        roots = sizes.select("case_id", F.concat(F.lit("genesis:"), F.col("case_id").cast("string")).alias("root"))
+def _grouped(children: DataFrame, width: int, *keys: str) -> DataFrame:
+    """(keys, node, events, hashes): the nodes above `children`; a group has at most `width` rows."""
+    node = F.floor(F.col("place") / width).cast("long")
+    found = children.groupBy(*keys, node.alias("node")).agg(
+        F.sum("events").alias("events"), F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("below")
+    )
+    return found.select(*keys, "node", "events", F.transform("below", lambda c: c["hash"]).alias("hashes"))
+
+
+def append_audit(stored: tuple[DataFrame, DataFrame] | None, events: DataFrame, batch_id: int, width: int = WIDTH, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(log rows, nodes) that a batch adds to the `stored` log and nodes, the last node of each level in its new state.
+
+    `events`: id, case_id, action, created_at, payload; ids and times may be null or repeat, equal rows are events of
+    their own. Events are numbered behind the stored ones of their case by created_at, id, action and payload, events
+    without a case as case -1. Of the stored tables only the open node of each level is read again. No events: no rows.
+    """
+    rows = events.select("id", F.coalesce("case_id", F.lit(-1)).cast("long").alias("case_id"), "action", "created_at", "payload")
+    placed = ranked(rows, ["created_at", "id", "action", "payload"], ["case_id"], "position")
+    cases = placed.select("case_id").distinct()
+    if stored is None:
+        base = cases.withColumn("base", F.lit(0).cast("long"))
     else:
-        last = log.filter(F.col("action") == ROOT).groupBy("case_id").agg(F.max_by("event_hash", "batch_id").alias("root"))
-        roots = sizes.select("case_id").join(last, "case_id", "left").withColumn(
-            "root", F.coalesce("root", F.concat(F.lit("genesis:"), F.col("case_id").cast("string")))
+        roots = stored[1].filter(F.col("level") == levels).groupBy("case_id").agg(F.max("events").alias("base"))
+        base = materialise(cases.join(roots, "case_id", "left").withColumn("base", F.coalesce("base", F.lit(0)).cast("long")))
+    position = F.col("base") + F.col("position") - 1
+    full = F.raise_error(F.lit(f"a case of this tree holds at most {width**levels} events")).cast("long")
+    at = placed.join(base, "case_id").withColumn("position", F.when(position < width**levels, position).otherwise(full).cast("long"))
+    log = at.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("event_hash", leaf_hash(F.col("case_id"), F.col("position"), F.col("payload")))
+    log = log.select(*LOG_COLUMNS)
+
+    new = log.select("case_id", F.col("position").alias("place"), F.lit(1).cast("long").alias("events"), F.col("event_hash").alias("hash"))
+    made = []
+    for level in range(1, levels + 1):
+        if stored is not None:
+            new = new.unionByName(_open_node(stored, base, width, level))
+        nodes = _grouped(new, width, "case_id").select(
+            "case_id", F.lit(batch_id).cast("long").alias("batch_id"), F.lit(level).alias("level"), "node", "events",
+            node_hash(F.lit(level), F.col("hashes")).alias("node_hash"),
         )
-    lane = F.pmod(F.xxhash64("id"), F.col("lanes"))
-    placed = events.join(sizes, "case_id").withColumn("lane", lane).join(roots, "case_id")
-    seeded = placed.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("seed", _seed(F.col("root"), batch_id, F.col("lane")))
-    chained = seeded.select("case_id", "batch_id", "lane", "id", "action", "payload", "created_at", "seed").groupBy("case_id", "lane").applyInPandas(_chain, LOG_SCHEMA)
-    heads = chained.groupBy("case_id", "lane").agg(F.max_by("event_hash", "seq").alias("head"))
-    # one entry per lane: the number of lanes is the batch size over the lane length
-    tops = heads.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("lane", "head"))).alias("heads")).join(roots, "case_id")
-    body = F.to_json(F.struct("heads"))
-    closing = tops.select(
-        "case_id", F.lit(batch_id).cast("long").alias("batch_id"), F.lit(None).cast("long").alias("lane"), F.lit(None).cast("long").alias("seq"),
-        F.lit(None).cast("long").alias("id"), F.lit(ROOT).alias("action"), body.alias("payload"), F.col("root").alias("prev_hash"),
-        link_hash(F.col("root"), body).alias("event_hash"),
-    )
-    return chained.unionByName(closing)
+        nodes = materialise(nodes) if level == 1 else nodes
+        made.append(nodes)
+        new = nodes.select("case_id", F.col("node").alias("place"), "events", F.col("node_hash").alias("hash"))
+    every = made[0]
+    for nodes in made[1:]:
+        every = every.unionByName(nodes)
+    return log, every
+
+
+def _open_node(stored: tuple[DataFrame, DataFrame], base: DataFrame, width: int, level: int) -> DataFrame:
+    """(case_id, place, events, hash): finished stored children of the node of `level` in which a batch's events begin.
+
+    A child is stored once in its finished state, which its number of events tells.
+    """
+    if level == 1:
+        below = stored[0].select("case_id", F.col("position").alias("place"), F.lit(1).cast("long").alias("events"), F.col("event_hash").alias("hash"))
+    else:
+        done = stored[1].filter((F.col("level") == level - 1) & (F.col("events") == width ** (level - 1)))
+        below = done.select("case_id", F.col("node").alias("place"), "events", F.col("node_hash").alias("hash"))
+    near = below.join(base, "case_id").filter(F.floor(F.col("place") / width) == _at(F.col("base"), width, level))
+    return near.filter(F.col("place") < _at(F.col("base"), width, level - 1)).drop("base")
+
+
+def latest_nodes(nodes: DataFrame) -> DataFrame:
+    """The nodes in their last state: a batch stores the last node of a level again."""
+    state = F.max_by(F.struct("events", "node_hash"), "batch_id").alias("s")
+    return nodes.groupBy("case_id", "level", "node").agg(state).select("case_id", "level", "node", "s.events", "s.node_hash")
+
+
+def _children(log: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(case_id, level, place, events, hash): events and nodes below the root, under the level of the node above them."""
+    leaves = log.select("case_id", F.lit(1).alias("level"), F.col("position").alias("place"), F.lit(1).cast("long").alias("events"), F.col("event_hash").alias("hash"))
+    inner = nodes.select("case_id", (F.col("level") + 1).alias("level"), F.col("node").alias("place"), "events", F.col("node_hash").alias("hash"))
+    return leaves.unionByName(inner)
 
 
 def broken_hashes(log: DataFrame) -> DataFrame:
-    """Rows whose stored hash is not the hash of their previous hash and payload."""
-    return log.filter(~F.col("event_hash").eqNullSafe(link_hash(F.col("prev_hash"), F.col("payload"))))
-
-
-def broken_lanes(log: DataFrame) -> DataFrame:
-    """Log rows whose link does not lead to the row before them in their lane (or to their lane's seed)."""
-    chained = log.filter(F.col("action") != ROOT)
-    here = chained.select("case_id", "batch_id", "lane", "seq", "prev_hash")
-    before = chained.select("case_id", "batch_id", "lane", (F.col("seq") + 1).alias("seq"), F.col("event_hash").alias("expected"))
-    roots = log.filter(F.col("action") == ROOT).select("case_id", "batch_id", F.col("prev_hash").alias("root"))
-    joined = here.join(before, ["case_id", "batch_id", "lane", "seq"], "left").join(roots, ["case_id", "batch_id"], "left")
-    seed = F.sha2(F.concat_ws(":", "root", F.col("batch_id").cast("string"), F.col("lane").cast("string")).cast("binary"), 256)
-    wanted = F.when(F.col("seq") == 0, seed).otherwise(F.col("expected"))
-    return joined.filter(~F.col("prev_hash").eqNullSafe(wanted)).select("case_id", "batch_id", "lane", "seq")
+    """Log rows whose stored hash is not the hash of their place and payload."""
+    return log.filter(~F.col("event_hash").eqNullSafe(leaf_hash(F.col("case_id"), F.col("position"), F.col("payload"))))
+
+
+def broken_nodes(log: DataFrame, nodes: DataFrame, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
+    """(case_id, level, node): nodes that are not the hash of what is stored below them, or are missing above it.
+
+    A lost, added or moved event shows at level 1, a lost or changed node one level above it. All levels are grouped at once.
+    """
+    now = latest_nodes(nodes)
+    wanted = _grouped(_children(log, now).filter(F.col("level") <= levels), width, "case_id", "level").select(
+        "case_id", "level", "node", node_hash(F.col("level"), F.col("hashes")).alias("wanted")
+    )
+    both = wanted.join(now.select("case_id", "level", "node", "node_hash"), ["case_id", "level", "node"], "full")
+    return both.filter(~F.col("node_hash").eqNullSafe(F.col("wanted"))).select("case_id", "level", "node")
+
+
+def inclusion_proofs(log: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
+    """(case_id, position, level, slot, hashes): for each wanted (case_id, position) the hashes under each node above it.
+
+    With the payload and the root alone they show that the event is in the log at its place; see `proven`.
+    """
+    step = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), _at(F.col("position"), width, k).alias("node"), F.pmod(_at(F.col("position"), width, k - 1), F.lit(width)).alias("slot")) for k in range(1, levels + 1)]))
+    steps = wanted.select("case_id", "position").distinct().select("case_id", "position", step.alias("s")).select("case_id", "position", "s.*")
+    sought = steps.select("case_id", "level", "node").distinct()
+    below = _children(log, latest_nodes(nodes)).withColumn("node", F.floor(F.col("place") / width).cast("long"))
+    lists = _grouped(below.join(sought, ["case_id", "level", "node"], "left_semi"), width, "case_id", "level")
+    return steps.join(lists, ["case_id", "level", "node"]).select("case_id", "position", "level", "slot", "hashes")
+
+
+def proven(events: DataFrame, proofs: DataFrame, roots: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(case_id, position, proven): whether the `proofs` lead from the events' payloads to the `roots` (case_id, root).
+
+    `events`: case_id, position, payload. An event without proof or root is not proven.
+    """
+    paths = proofs.groupBy("case_id", "position").agg(F.array_sort(F.collect_list(F.struct("level", "slot", "hashes"))).alias("steps"))
+    joined = events.select("case_id", "position", "payload").join(paths, ["case_id", "position"], "left").join(roots.select("case_id", "root"), "case_id", "left")
+    start = leaf_hash(F.col("case_id"), F.col("position"), F.col("payload"))
+    climb = lambda below, s: F.when(F.get(s["hashes"], s["slot"].cast("int")) == below, node_hash(s["level"], s["hashes"]))
+    top = F.aggregate("steps", start, climb)
+    whole = (F.size("steps") == levels) & (top == F.col("root"))
+    return joined.select("case_id", "position", F.coalesce(whole, F.lit(False)).alias("proven"))
 
 
 def verify_links(log: DataFrame) -> DataFrame:

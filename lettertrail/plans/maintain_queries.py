@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import maintain as M
+from ..session import materialise
 from . import checksql as Q
 from .registry import query
 from .text_queries import STAMP, stamp
@@ -250,22 +252,75 @@ def _(t):
 
 
 def _events(t):
-    body = A.payload([F.col("case_id"), F.col("action"), F.col("id"), F.col("props")])
-    return t.fx_audit.select("id", "case_id", "action", "created_at", body.alias("payload"))
+    return t.fx_audit.select("id", "case_id", "action", "created_at", A.payload(["case_id", "action", "id"], texts=["props"]).alias("payload"))
 
 
-@query("audit_appended")
+def _tree(log: DataFrame, nodes: DataFrame) -> DataFrame:
+    leaves = log.select("case_id", F.lit(0).alias("level"), F.col("position").alias("node"), "id", F.col("event_hash").alias("hash"))
+    return leaves.unionByName(nodes.select("case_id", "level", "node", F.lit(None).cast("long").alias("id"), F.col("node_hash").alias("hash")))
+
+
+def _levels(batch: str) -> str:
+    """SQL of the tree over all events, numbered by `batch` first."""
+    return f"""WITH RECURSIVE placed AS (SELECT id, case_id, row_number() OVER (PARTITION BY case_id ORDER BY {batch}, created_at, id) - 1 AS node,
+         concat('{{"case_id":', case_id, ',"action":"', action, '","id":', id, ',"props":', coalesce(CAST(to_json(CASE WHEN length(props) > 400 THEN concat(substr(props, 1, 400), '...') ELSE props END) AS VARCHAR), 'null'), '}}') AS payload FROM fx_audit),
+       l0 AS (SELECT case_id, 0 AS level, node, id, sha256(concat('0', chr(10), case_id, chr(10), node, chr(10), payload)) AS hash FROM placed),
+       tree AS (SELECT case_id, level, node, id, hash FROM l0 UNION ALL
+         SELECT case_id, level + 1, node // {A.WIDTH}, CAST(NULL AS BIGINT), sha256(concat(level + 1, chr(10), string_agg(hash, chr(10) ORDER BY node))) FROM tree WHERE level < {A.LEVELS} GROUP BY case_id, level, node // {A.WIDTH})"""
+
+
+@query("audit_appended", _levels("0") + " SELECT case_id, level, node, id, hash FROM tree")
+def _(t):
+    return _tree(*A.append_audit(None, _events(t), 1))
+
+
+def _two_batches(t, first: Column):
+    """Log and nodes after the events of `first` and, as a second batch, the others."""
+    log, nodes = (materialise(part) for part in A.append_audit(None, _events(t).filter(first), 1))
+    more_log, more_nodes = A.append_audit((log, nodes), _events(t).filter(~first), 2)
+    return log.unionByName(more_log), nodes.unionByName(more_nodes)
+
+
+@query("audit_in_batches", _levels("id % 3 <> 0") + " SELECT case_id, level, node, id, hash FROM tree")
 def _(t):
-    return A.append_audit(None, _events(t), 1, lane_rows=500)
+    """Two batches leave the tree that all events in that order have at once."""
+    log, nodes = _two_batches(t, F.col("id") % 3 == 0)
+    return _tree(log, A.latest_nodes(nodes))
 
 
 @query("audit_log_faults", "SELECT 'hash' AS fault, 2 * count(*) AS n FROM events WHERE event_id % 50 = 7")
 def _(t):
     """A log of two batches in which some payloads were changed afterwards."""
-    from ..session import materialise
-
-    log = materialise(A.append_audit(None, _events(t), 1, lane_rows=500))
-    more = A.append_audit(log, _events(t).withColumn("id", F.col("id") + 1_000_000), 2, lane_rows=500)
-    both = log.unionByName(more).withColumn("payload", F.when(F.col("id") % 50 == 7, F.lit("{}")).otherwise(F.col("payload")))
-    bad = A.broken_hashes(both).select(F.lit("hash").alias("fault")).union(A.broken_lanes(both).select(F.lit("lane").alias("fault")))
+    log, nodes = (materialise(part) for part in A.append_audit(None, _events(t), 1))
+    more_log, more_nodes = A.append_audit((log, nodes), _events(t).withColumn("id", F.col("id") + 1_000_000), 2)
+    both, tree = log.unionByName(more_log), nodes.unionByName(more_nodes)
+    both = both.withColumn("payload", F.when(F.col("id") % 50 == 7, F.lit("{}")).otherwise(F.col("payload")))
+    bad = A.broken_hashes(both).select(F.lit("hash").alias("fault")).union(A.broken_nodes(both, tree).select(F.lit("node").alias("fault")))
     return bad.groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query(
+    "audit_nodes_broken",
+    f"""WITH p AS (SELECT id, case_id, row_number() OVER (PARTITION BY case_id ORDER BY created_at, id) - 1 AS place FROM fx_audit)
+       SELECT DISTINCT case_id, CAST(1 AS INTEGER) AS level, place // {A.WIDTH} AS node FROM p WHERE id % 997 = 5
+       UNION ALL SELECT DISTINCT case_id, CAST(unnest([2, 3]) AS INTEGER), CAST(0 AS BIGINT) FROM p WHERE case_id = 3""",
+)
+def _(t):
+    """A log that has lost some events, and a stored node that was changed: it differs from what is below it, the one above from it."""
+    log, nodes = (materialise(part) for part in A.append_audit(None, _events(t), 1))
+    changed = (F.col("case_id") == 3) & (F.col("level") == 2) & (F.col("node") == 0)
+    return A.broken_nodes(log.filter("id % 997 <> 5"), _with_hash(nodes, changed))
+
+
+def _with_hash(nodes: DataFrame, changed: Column) -> DataFrame:
+    return nodes.withColumn("node_hash", F.when(changed, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.col("node_hash")))
+
+
+@query("audit_events_proven", "SELECT id, id % 200 <> 0 AS proven FROM fx_audit WHERE id % 100 = 0")
+def _(t):
+    """Every hundredth event is proven against the root; half of them say something else than was logged."""
+    log, nodes = (materialise(part) for part in A.append_audit(None, _events(t), 1))
+    asked = log.filter("id % 100 = 0").withColumn("payload", F.when(F.col("id") % 200 == 0, F.lit("{}")).otherwise(F.col("payload")))
+    roots = A.latest_nodes(nodes).filter(F.col("level") == A.LEVELS).select("case_id", F.col("node_hash").alias("root"))
+    found = A.proven(asked, A.inclusion_proofs(log, nodes, asked), roots)
+    return asked.join(found, ["case_id", "position"]).select("id", "proven")

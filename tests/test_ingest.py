@@ -172,14 +172,7 @@ def test_bundle_round_trip(spark, tmp_path):
     assert back["cases"].first()["id"] == 7 and back["cases"].first()["public_id"] != "p1"
 
 
-def test_audit_log_detects_tampering(spark):
-    events = spark.createDataFrame([(i, i % 2, "edit", datetime(2024, 1, 1, 0, i % 60), f'{{"n":{i}}}') for i in range(120)], "id long, case_id long, action string, created_at timestamp, payload string")
-    first = A.append_audit(None, events, 1, lane_rows=25)
-    log = first.unionByName(A.append_audit(first, events.withColumn("id", F.col("id") + 1000), 2, lane_rows=25)).cache()
-    assert log.count() == 244 and A.broken_hashes(log).count() == 0 and A.broken_lanes(log).count() == 0
-    changed = log.withColumn("payload", F.when((F.col("id") == 7), F.lit("{}")).otherwise(F.col("payload")))
-    assert [r["id"] for r in A.broken_hashes(changed).collect()] == [7]
-    assert A.broken_lanes(log.filter("id IS NULL OR seq <> 3")).count() > 0
+def test_audit_links(spark):
     simple = lambda rows: {r["id"]: (r["link"], r["successors"]) for r in A.verify_links(spark.createDataFrame(rows, "id long, prev_hash string, event_hash string")).collect()}
     assert simple([(1, None, "a"), (2, "a", "b"), (3, "a", "c"), (4, "gone", "d"), (5, None, "e")]) == {
         1: ("genesis", 2), 2: ("linked", 0), 3: ("linked", 0), 4: ("missing", 0), 5: ("genesis", 0)
