@@ -88,12 +88,21 @@ def trash(emails: DataFrame, now: datetime, days: int = RESTORE_DAYS) -> DataFra
     return emails.filter(F.col("deleted_at") >= cutoff).orderBy(F.desc("deleted_at"), F.desc("id"))
 
 
+def chrono_key() -> list[Column]:
+    return [F.asc_nulls_last("manual_chrono_order"), F.coalesce("date_utc", "created_at"), F.col("id")]
+
+
+def thread_key() -> list[Column]:
+    """Order inside a thread: its first email, then by time."""
+    return [F.col("parent_email_id").isNotNull(), F.coalesce("date_utc", "created_at"), F.col("id")]
+
+
 def order_chrono(emails: DataFrame) -> DataFrame:
-    return emails.orderBy(F.asc_nulls_last("manual_chrono_order"), F.coalesce("date_utc", "created_at"), "id")
+    return emails.orderBy(*chrono_key())
 
 
 def order_threads(emails: DataFrame) -> DataFrame:
-    return emails.orderBy("thread_id", F.col("parent_email_id").isNotNull(), F.coalesce("date_utc", "created_at"), "id")
+    return emails.orderBy("thread_id", *thread_key())
 
 
 def order_nocase(df: DataFrame, name: str = "name") -> DataFrame:

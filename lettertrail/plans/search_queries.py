@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import pages
 from ..operators import search as S
 from ..operators.scan import first_seen_index, ranked
+from ..session import shared_folder
 from .registry import query
 from .text_queries import STAMP, stamp
 
@@ -81,8 +83,27 @@ def _(t):
 )
 def _(t):
     e = t.fx_emails.withColumn("thread_id", F.concat(F.lit("t"), (F.col("id") % 50).cast("string"))).withColumn("parent_email_id", F.when(F.col("id") % 3 != 0, F.col("id")))
-    order = [F.col("parent_email_id").isNotNull(), F.coalesce("date_utc", "created_at"), F.col("id")]
-    return e.select("id", F.row_number().over(Window.partitionBy("thread_id").orderBy(*order)).cast("long").alias("place"))
+    return ranked(e, S.thread_key(), ["thread_id"], "place").select("id", "place")
+
+
+@query("chronology_positions", f"SELECT id, row_number() OVER (ORDER BY {_CHRONO}) AS position FROM fx_emails WHERE {_LIVE}")
+def _(t):
+    return ranked(S.visible(t.fx_emails), S.chrono_key()).select("id", "position")
+
+
+@query(
+    "chronology_seek",
+    f"""WITH n AS (SELECT id, row_number() OVER (ORDER BY {_CHRONO}) - 1 AS position, count(*) OVER () AS total FROM fx_emails WHERE {_LIVE} AND id % 7 <> 0)
+       SELECT s.start AS page, n.id, n.position, n.total, s.start + 150 < n.total AS has_more FROM n JOIN (SELECT unnest([0, 110, 640]) AS start) s ON n.position >= s.start AND n.position < s.start + 150""",
+)
+def _(t):
+    """Pages at three places of a stored order from which every seventh email has gone."""
+    emails = S.visible(t.fx_emails)
+    path = f"{shared_folder(t.spark)}/order-{uuid.uuid4().hex}"
+    pages.write_order(emails.select("id", "manual_chrono_order", "date_utc", "created_at"), S.chrono_key(), path, 1000)
+    pages.take_out(t.spark, path, emails.filter("id % 7 = 0"))
+    parts = [pages.read_page(t.spark, path, 150, start).select(F.lit(start).alias("page"), "id", "position", "total", "has_more") for start in (0, 110, 640)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("chronology_page", f"SELECT id, total, 250 < total AS has_more FROM (SELECT *, count(*) OVER () AS total FROM fx_emails WHERE {_LIVE}) x ORDER BY {_CHRONO} LIMIT 150 OFFSET 100")
