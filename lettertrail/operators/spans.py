@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, html_to_text, fold_space, strip
+from ..functions.text import SPACE, html_to_text, fold_space, round_even, strip
 from .scan import first_seen_index, prefix_max
 
 KEYS = ["source_email_id", "source_field"]
@@ -68,7 +68,7 @@ def gap_ranges(merged: DataFrame, fields: DataFrame, keys: list[str] | None = No
 
 
 def percent(covered: Column, total: Column) -> Column:
-    return F.when(total <= 0, F.lit(100.0)).otherwise(F.bround(covered / total * 100, 1))
+    return F.when(total <= 0, F.lit(100.0)).otherwise(round_even(covered / total * 100, 1))
 
 
 def coverage(merged: DataFrame, fields: DataFrame, by: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:

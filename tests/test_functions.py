@@ -3,12 +3,14 @@
 import unicodedata
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lettertrail.functions import dates as D
 from lettertrail.functions import fingerprint as P
 from lettertrail.functions import text as T
+from lettertrail.operators.spans import percent
 
 
 def one(spark, value, fn, kind="string"):
@@ -122,3 +124,10 @@ def test_entry_errors(spark):
     assert [(r["iso"], r["error"] is None) for r in out] == [
         ("2021-03-19T14:47:00+08:00", True), (None, False), (None, False), (None, True), (None, False), (None, False), (None, False)
     ]
+
+
+def test_round_even_follows_sql(spark):
+    rows = [(c, t) for t in (160, 400, 2000, 3200) for c in range(1, t)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c long, t long").select(percent(F.col("c"), F.col("t"))).collect()]
+    want = duckdb.execute(f"SELECT [round_even(x[1]::HUGEINT / x[2]::HUGEINT * 100, 1) FOR x IN {[list(r) for r in rows]}]").fetchall()[0][0]
+    assert got == want and got[rows.index((17, 2000))] == 0.8
