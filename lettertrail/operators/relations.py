@@ -60,10 +60,6 @@ def label_relations(pairs: DataFrame) -> DataFrame:
     return labelled.select("id", F.col("f_id").alias("focus_id"), "label", F.element_at(F.array(*map(F.lit, CONFIDENCE)), level.cast("int")).alias("confidence"))
 
 
-def _focus(emails: DataFrame) -> DataFrame:
-    return emails.select(*[F.col(c).alias(f"f_{c}") for c in FACTS])
-
-
 def relations_to(emails: DataFrame, focus_id: int) -> DataFrame:
     """(id, focus_id, label, confidence) of every email to one focus email; the focus row is a scalar subquery."""
     focus = emails.filter(F.col("id") == focus_id).limit(1).select(F.struct(*FACTS).alias("f"))
@@ -74,7 +70,6 @@ def relations_to(emails: DataFrame, focus_id: int) -> DataFrame:
 def relations_in_threads(emails: DataFrame, date: str = "date_utc") -> DataFrame:
     """Every email's relation to the first email of its thread: one row per email, never all pairs."""
     order = F.struct(F.col(date).isNull().alias("undated"), F.col(date).alias("at"), F.col("id").alias("id"))
-    first = emails.groupBy("thread_id").agg(F.min_by("id", order).alias("f_id"))
-    focus = _focus(emails).join(first.select("f_id"), "f_id")
-    keyed = emails.join(first, "thread_id").select(*FACTS, "f_id")
-    return label_relations(keyed.join(focus, "f_id"))
+    first = emails.groupBy("thread_id").agg(F.min_by(F.struct(*FACTS), order).alias("_f"))
+    keyed = emails.select(*FACTS).join(first, "thread_id")
+    return label_relations(keyed.select(*FACTS, *[F.col(f"_f.{c}").alias(f"f_{c}") for c in FACTS]))
