@@ -11,6 +11,7 @@ from .scan import prefix_max
 
 CHILD_KINDS = ("quoted", "attached", "snipped")
 CHAIN_BUCKET = 4096
+MARK = ("at", "id", "row")  # rows in date order, told apart
 
 
 def _column(df: DataFrame, name: str, kind: str) -> Column:
@@ -21,8 +22,8 @@ def reading_order(date: Column, created: Column) -> Column:
     return F.coalesce(date, created)
 
 
-def with_thread_facts(emails: DataFrame) -> DataFrame:
-    """Normalised header references of each row; absent optional columns read as null."""
+def with_thread_facts(emails: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Normalised header references of each row and the columns of `carry`; absent optional columns read as null."""
     refs = F.filter(F.transform(_column(emails, "references", "array<string>"), norm_msgid), lambda r: r.isNotNull())
     refs = F.coalesce(refs, F.array().cast("array<string>"))
     when = reading_order(F.col("date_utc"), _column(emails, "created_at", "timestamp"))
@@ -37,6 +38,7 @@ def with_thread_facts(emails: DataFrame) -> DataFrame:
         F.when(_column(emails, "source_kind", "string").isin(*CHILD_KINDS), _column(emails, "parent_email_id", "bigint")).alias("kept_parent"),
         _column(emails, "thread_id", "string").alias("old_thread"),
         _column(emails, "parent_email_id", "bigint").alias("old_parent"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
 
 
@@ -46,75 +48,78 @@ def reply_parents(emails: DataFrame) -> DataFrame:
 
 
 def _with_parents(facts: DataFrame) -> DataFrame:
-    holders = facts.filter("ref IS NOT NULL").groupBy("case_id", F.col("ref").alias("parent_ref")).agg(
-        F.max_by("id", F.struct("at", "id")).alias("header_parent")
-    )
+    """`facts` with `parent_id` and `parent`, the (at, id, row) of the row that is answered, if the table has it."""
+    mark = F.struct(*[F.col(c) for c in MARK if c in facts.columns])
+    holders = facts.filter("ref IS NOT NULL").groupBy("case_id", F.col("ref").alias("_ref")).agg(F.max(mark).alias("parent"))
     # rows answering nothing get a key of their own, so they do not meet in one partition
     sought = facts.withColumn("_ref", F.coalesce("parent_ref", F.concat(F.lit("\u0000"), F.col("id").cast("string"))))
-    joined = sought.join(holders.withColumnRenamed("parent_ref", "_ref"), ["case_id", "_ref"], "left")
-    return joined.withColumn("parent_id", F.coalesce("header_parent", "kept_parent")).drop("_ref", "header_parent")
+    joined = sought.join(holders, ["case_id", "_ref"], "left").drop("_ref")
+    return joined.withColumn("parent_id", F.coalesce("parent.id", "kept_parent"))
+
+
+def _linked(facts: DataFrame, by_position: bool) -> DataFrame:
+    """(row, id, at, parent_id, parent) of every row; `by_position` if rows may name a parent by its id."""
+    rows = _with_parents(facts).select("row", "id", "at", "parent_id", "parent")
+    if not by_position:
+        return rows
+    asked = rows.filter("parent IS NULL AND parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct()
+    known = facts.join(asked, "id", "left_semi").groupBy(F.col("id").alias("parent_id")).agg(F.max(F.struct(*MARK)).alias("named"))
+    return rows.join(known, "parent_id", "left").select("row", "id", "at", "parent_id", F.coalesce("parent", "named").alias("parent"))
 
 
-def assign_threads(emails: DataFrame) -> DataFrame:
-    """(id, case_id, thread_id, parent_id, changed) for every row, trashed ones included.
+def _roots(links: DataFrame) -> DataFrame:
+    """(row, parent_id, top, looped): each row's root, or the earliest row of the reply cycle it leads to.
 
-    Roots are found by pointer doubling: each round replaces a row's ancestor by its ancestor's ancestor, so a
-    chain of length n takes log2(n) joins. Rows still without a root after that lie on or under a reply cycle
-    and take the subject key of the cycle's earliest row.
+    Pointer doubling: each round replaces a row's ancestor by its ancestor's ancestor, so a chain or cycle of n rows takes
+    log2(n) joins, however many rows there are. `low` is the earliest of the ancestors passed. A row that finds itself
+    there is the earliest of a cycle passed whole; every row that has it among its ancestors leads to that cycle.
     """
-    facts = materialise(_with_parents(with_thread_facts(emails)))
-    known = facts.select(F.col("id").alias("parent_id"))
-    links = facts.filter("parent_id IS NOT NULL").join(known, "parent_id", "left_semi").select("id", F.col("parent_id").alias("up"))
-    # `top` is the furthest ancestor seen, `open` while that ancestor itself has a parent
-    hops = facts.select("id").join(links, "id", "left").select("id", F.coalesce("up", "id").alias("top"), F.col("up").isNotNull().alias("open"))
-    hops = materialise(hops)
-    span, open_before, open_rows = 1, None, hops.filter("open").count()
-    # the open count falls in every round while a chain still has a root ahead; once it stands still only cycles
-    # are left, and the hops must outgrow the longest tail leading into one
-    while open_rows and not (open_rows == open_before and span > open_rows):
-        step = hops.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("open").alias("more"))
-        hops = materialise(
-            hops.join(step, "top").select("id", F.col("next").alias("top"), (F.col("open") & F.col("more")).alias("open"))
-        )
-        span, open_before, open_rows = span * 2, open_rows, hops.filter("open").count()
+    at = F.col("parent.row")
+    hops = materialise(links.select(
+        "row", "parent_id", F.coalesce(at, "row").alias("top"), (at.isNotNull() & (at != F.col("row"))).alias("open"),
+        F.coalesce(at == F.col("row"), F.lit(False)).alias("looped"), F.col("parent").alias("low"),
+    ))
+    while True:
+        left = hops.agg(F.count_if("open").alias("open"), F.count_if(F.col("open") & (F.col("low.row") == F.col("row"))).alias("cycles")).first()
+        if not left["open"]:
+            return hops.select("row", "parent_id", "top", "looped")
+        closed, ahead = hops.filter("NOT open"), hops.filter("open")
+        if left["cycles"]:
+            heads = ahead.filter("low.row = row").select(F.col("row").alias("_head"))
+            met = ahead.join(heads, F.col("low.row") == F.col("_head"), "left")
+            hit = F.col("_head").isNotNull()
+            hops = materialise(closed.unionByName(met.select(
+                "row", "parent_id", F.coalesce("_head", "top").alias("top"), (~hit).alias("open"), hit.alias("looped"), "low")))
+            closed, ahead = hops.filter("NOT open"), hops.filter("open")
+        step = hops.select(F.col("row").alias("top"), F.col("top").alias("_top"), F.col("open").alias("_open"), F.col("looped").alias("_looped"), F.col("low").alias("_low"))
+        hops = materialise(closed.unionByName(ahead.join(step, "top").select(
+            "row", "parent_id", F.col("_top").alias("top"), F.col("_open").alias("open"), F.col("_looped").alias("looped"), F.least("low", "_low").alias("low"))))
+
+
+def assign_threads(emails: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, case_id, thread_id, parent_id, changed) for every row, trashed ones included, and the columns of `carry`.
+
+    A row takes the key of its root; one on or under a reply cycle the subject key of the cycle's earliest row. Rows
+    that share an id stay apart: an answer belongs to the row whose message id it names, not to all rows of its id.
+    """
+    facts = materialise(with_thread_facts(emails, carry).withColumn("row", F.monotonically_increasing_id()))
+    by_position = {"source_kind", "parent_email_id"} <= set(emails.columns)
+    roots = _roots(_linked(facts, by_position))
     key = (
         F.when(F.col("root_ref").isNotNull(), F.concat(F.lit("msg:"), "root_ref"))
         .when(F.col("conv").isNotNull(), F.concat(F.lit("convidx:"), "conv"))
         .when(F.col("ref").isNotNull(), F.concat(F.lit("msg:"), "ref"))
         .otherwise(F.col("subject_key"))
     )
-    tops = facts.select(F.col("id").alias("top"), key.alias("key"))
-    settled = hops.filter("NOT open").join(tops, "top").select("id", F.col("key").alias("new_thread"))
-    looped = _cycle_keys(hops.filter("open"), links, facts)
-    joined = facts.join(settled.unionByName(looped), "id")
-    return joined.select(
+    tops = facts.select(F.col("row").alias("top"), key.alias("key"), F.col("subject_key").alias("loop_key"))
+    named = roots.join(tops, "top").select("row", "parent_id", F.when(F.col("looped"), F.col("loop_key")).otherwise(F.col("key")).alias("new_thread"))
+    return facts.join(named, "row").select(
         "id", "case_id", F.col("new_thread").alias("thread_id"), "parent_id",
         (~F.col("new_thread").eqNullSafe(F.col("old_thread")) | ~F.col("parent_id").eqNullSafe(F.col("old_parent"))).alias("changed"),
+        *[F.col(f"carried.{c}").alias(c) for c in carry],
     )
 
 
-def _cycle_keys(stuck: DataFrame, links: DataFrame, facts: DataFrame) -> DataFrame:
-    """Subject key of the earliest row on the cycle each stuck row leads to.
-
-    After enough doubling every stuck row points at a row on its cycle; the cycle's own rows agree on their
-    earliest member by min-doubling along the links.
-    """
-    on_cycle = stuck.select(F.col("top").alias("id")).distinct()
-    rows = materialise(
-        on_cycle.join(links, "id").join(facts.select("id", F.struct("at", "id").alias("first")), "id").select("id", F.col("up").alias("far"), "first")
-    )
-    size = rows.count()
-    span = 1
-    while span <= size:
-        ahead = rows.select(F.col("id").alias("far"), F.col("far").alias("farther"), F.col("first").alias("their"))
-        rows = materialise(rows.join(ahead, "far").select("id", F.col("farther").alias("far"), F.least("first", "their").alias("first")))
-        span *= 2
-    named = rows.select(F.col("id").alias("top"), F.col("first.id").alias("first_id")).join(
-        facts.select(F.col("id").alias("first_id"), "subject_key"), "first_id"
-    )
-    return stuck.join(named, "top").select("id", F.col("subject_key").alias("new_thread"))
-
-
 def thread_key(thread: Column, id_: Column) -> Column:
     return F.coalesce(thread, F.concat(F.lit("email:"), id_.cast("string")))
 

@@ -22,6 +22,12 @@ _THREADS = f"""{_PARENTS}, up(id, top, parent, ref, subject_key) AS (SELECT id,
   t AS MATERIALIZED (SELECT id, CASE WHEN parent IS NULL THEN concat('msg:', ref) ELSE subject_key END AS thread_id FROM up WHERE parent IS NULL OR parent = top)"""
 
 
+def _with_threads(replies):
+    """The rows with `thread_id` and `parent_email_id`; columns ride along, since rows may share an id."""
+    carry = tuple(c for c in replies.columns if c not in ("id", "case_id"))
+    return G.assign_threads(replies, carry).withColumnRenamed("parent_id", "parent_email_id").drop("changed")
+
+
 @query("reply_parents", f"WITH {_PARENTS} SELECT id, case_id, parent_id FROM p")
 def _(t):
     return G.reply_parents(t.fx_replies)
@@ -36,11 +42,11 @@ def _(t):
 def _(t):
     """Threads of two batches: messages and their answers arrive in either order, only threads that the second batch meets are read again."""
     late = F.crc32(F.col("id").cast("string")) % 2 == 1
-    first = t.fx_replies.filter(~late)
-    stored = materialise(first.join(G.assign_threads(first).select("id", "thread_id", F.col("parent_id").alias("parent_email_id")), "id"))
-    changed = materialise(delta.changed_threads(stored, t.fx_replies.filter(late))).select("id", "thread_id", "parent_id")
-    kept = stored.join(changed.select("id"), "id", "left_anti").select("id", "thread_id", F.col("parent_email_id").alias("parent_id"))
-    return kept.unionByName(changed)
+    stored = materialise(_with_threads(t.fx_replies.filter(~late)))
+    changed = materialise(delta.changed_threads(stored, t.fx_replies.filter(late), carry=("message_id",)))
+    row = ["id", "case_id", "message_id"]
+    kept = stored.join(changed.select(*row), row, "left_anti").select("id", "thread_id", F.col("parent_email_id").alias("parent_id"))
+    return kept.unionByName(changed.select("id", "thread_id", "parent_id"))
 
 
 @query(
@@ -78,10 +84,7 @@ def _(t):
 
 
 def _threaded(t):
-    replies = t.fx_replies
-    return replies.join(G.assign_threads(replies).select("id", "thread_id", F.col("parent_id").alias("parent_email_id")), "id").withColumn(
-        "created_at", F.col("date_utc")
-    ).withColumn("manual_chrono_order", F.when(F.col("id") % 31 == 0, F.col("id") % 100))
+    return _with_threads(t.fx_replies).withColumn("created_at", F.col("date_utc")).withColumn("manual_chrono_order", F.when(F.col("id") % 31 == 0, F.col("id") % 100))
 
 
 @query(
@@ -112,14 +115,14 @@ def _(t):
     f"""WITH RECURSIVE {_THREADS} SELECT id FROM t WHERE thread_id = (SELECT thread_id FROM t ORDER BY id LIMIT 1)""",
 )
 def _(t):
-    emails = _threaded(t).withColumn("chain_source_id", F.lit(None).cast("long")).withColumn("chain_position", F.lit(0))
+    emails = materialise(_threaded(t)).withColumn("chain_source_id", F.lit(None).cast("long")).withColumn("chain_position", F.lit(0))
     first = t.fx_replies.agg(F.min("id").alias("id")).first()["id"]
     return G.chain_of(emails, first).select("id")
 
 
 def _related(t):
     none = F.array().cast("array<string>")
-    return _threaded(t).withColumn("references", none).withColumn("to", none).withColumn("cc", F.array(F.lit("all@x"))).withColumn(
+    return materialise(_threaded(t)).withColumn("references", none).withColumn("to", none).withColumn("cc", F.array(F.lit("all@x"))).withColumn(
         "from_addr", F.concat(F.lit("p"), (F.col("id") % 3).cast("string"))
     ).withColumn("chain_source_id", F.lit(None).cast("long")).withColumn("source_kind", F.lit("standalone")).withColumn(
         "relation_confidence", F.when(F.col("id") % 2 == 0, "high").otherwise("med")

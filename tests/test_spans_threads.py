@@ -9,6 +9,7 @@ from lettertrail.operators import cards as C
 from lettertrail.operators import scan
 from lettertrail.operators import spans as S
 from lettertrail.operators import threads as G
+from lettertrail.session import materialise
 
 SPANS = "source_email_id long, source_field string, start_offset long, end_offset long, field_length long, stale boolean"
 
@@ -85,6 +86,25 @@ def test_threads_with_long_chain_and_cycles(spark):
     assert out[5]["parent_id"] == 4 and out[0]["parent_id"] is None
 
 
+def test_threads_of_rows_that_share_an_id(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(c * 100 + k, c % 5, f"<{c}.{k}>", f"<{c}.{k - 1}>" if k else None, None, "long", at + timedelta(minutes=k)) for c, n in ((1, 250), (2, 8), (3, 8)) for k in range(n)]
+    out = G.assign_threads(spark.createDataFrame(rows, THREAD), ("message_id",)).collect()
+    assert len(out) == len(rows)
+    assert all(r["thread_id"] == f"msg:{r['message_id'][1:].split('.')[0]}.0" for r in out)
+    assert all(r["parent_id"] == (None if r["message_id"].endswith(".0>") else r["id"] - 1) for r in out)
+
+
+def test_rounds_do_not_grow_with_the_number_of_cycles(spark, monkeypatch):
+    at, rounds = datetime(2024, 1, 1), []
+    monkeypatch.setattr(G, "materialise", lambda df: rounds.append(1) or materialise(df))
+    ring = lambda n, size: [(n * 10 + k, 1, f"<{n}.{k}>", f"<{n}.{(k + 1) % size}>", None, f"ring {n}", at + timedelta(minutes=-k)) for k in range(size)]
+    rows = [row for n in range(300) for row in ring(n, n % 7 + 1)]
+    out = {r["id"]: r for r in G.assign_threads(spark.createDataFrame(rows, THREAD)).collect()}
+    assert all(out[i]["thread_id"] == f"subj:ring {i // 10}" for i in out) and len(out) == len(rows)
+    assert len(rounds) < 10
+
+
 def test_text_blocks(spark):
     df = spark.createDataFrame([(1, "body", "  one\nmore\n\n\ntwo"), (2, "body", "a\n \nb"), (3, "body", "x\n\nlast \n")], "source_email_id long, source_field string, text string")
     got = {}
