@@ -197,6 +197,20 @@ def test_equal_passages_of_common_lines(spark):
     assert got == want
 
 
+def test_equal_passages_inside_similar_ones(spark):
+    # the passage of the third document lies in one that is similar to the first's, but only the second has it word for word
+    draw = random.Random(17)
+    fresh = lambda: draw.choices(WORDS, k=60)
+    rows = []
+    for n in range(0, 100, 10):
+        base = draw.choices(WORDS, k=400)
+        changed = list(base)
+        changed[100] = "changed"
+        rows += [(n + 1, " ".join(fresh() + base + fresh())), (n + 2, " ".join(fresh() + changed[52:102] + fresh())), (n + 3, " ".join(fresh() + changed + fresh()))]
+    out = {(r["doc_id"], r["earlier_id"]) for r in passages.repeated_passages(table(spark, rows)).collect()}
+    assert {(n + 3, n + k) for n in range(0, 100, 10) for k in (1, 2)} <= out
+
+
 def test_recall_of_similar_passages(spark):
     for size, edits in ((50, 1), (100, 2)):  # similarity 0.80 and 0.81
         draw, rows = random.Random(size + edits), []
