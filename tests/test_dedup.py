@@ -93,6 +93,18 @@ def test_containment_equals_brute_force(spark):
     assert got2 == want2 and want2
 
 
+def test_chance_meetings_are_not_compared(spark, monkeypatch):
+    draw = random.Random(3)
+    sets = {k: draw.sample(range(20_000), 100) for k in range(200)}
+    sets |= {1000 + k: sets[k][:40] + draw.sample(range(20_000, 30_000), n) for k in range(20) for n in [k % 8]}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a != b and (len(x), a) < (len(y), b) and len(set(x) & set(y)) >= 0.9 * len(x)}
+    compared, met = [], D._met
+    monkeypatch.setattr(D, "_met", lambda *args: compared.append(met(*args)) or compared[-1])
+    got = D.containment_within(spark.createDataFrame(list(sets.items()), "key long, hashes array<long>"), "key").collect()
+    assert {(r["small_key"], r["large_key"]) for r in got} == want and len(want) == 14
+    assert compared[0].count() < 100
+
+
 @pytest.mark.parametrize("shape", ["random", "path", "star"])
 def test_components_equal_union_find(spark, shape):
     rng = random.Random(4)
