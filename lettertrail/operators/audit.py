@@ -152,16 +152,33 @@ def broken_nodes(log: DataFrame, nodes: DataFrame, width: int = WIDTH, levels: i
     return both.filter(~F.col("node_hash").eqNullSafe(F.col("wanted"))).select("case_id", "level", "node")
 
 
-def inclusion_proofs(log: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
-    """(case_id, position, level, slot, hashes): for each wanted (case_id, position) the hashes under each node above it.
+def proof_nodes(log: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
+    """(case_id, level, node, hashes): the hashes under each node above the wanted (case_id, position), every node once.
 
-    With the payload and the root alone they show that the event is in the log at its place; see `proven`.
+    The proofs of many events share their nodes; see `proven_by_nodes`.
     """
+    return _below(log, nodes, _steps(wanted, width, levels).select("case_id", "level", "node").distinct(), width)
+
+
+def _steps(wanted: DataFrame, width: int, levels: int) -> DataFrame:
+    """(case_id, position, level, node, slot): the nodes above each wanted event and the place in them."""
     step = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), _at(F.col("position"), width, k).alias("node"), F.pmod(_at(F.col("position"), width, k - 1), F.lit(width)).alias("slot")) for k in range(1, levels + 1)]))
-    steps = wanted.select("case_id", "position").distinct().select("case_id", "position", step.alias("s")).select("case_id", "position", "s.*")
-    sought = steps.select("case_id", "level", "node").distinct()
+    return wanted.select("case_id", "position").distinct().select("case_id", "position", step.alias("s")).select("case_id", "position", "s.*")
+
+
+def _below(log: DataFrame, nodes: DataFrame, sought: DataFrame, width: int) -> DataFrame:
     below = _children(log, latest_nodes(nodes)).withColumn("node", F.floor(F.col("place") / width).cast("long"))
-    lists = _grouped(below.join(sought, ["case_id", "level", "node"], "left_semi"), width, "case_id", "level")
+    return _grouped(below.join(sought, ["case_id", "level", "node"], "left_semi"), width, "case_id", "level").drop("events")
+
+
+def inclusion_proofs(log: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
+    """(case_id, position, level, slot, hashes): for each wanted (case_id, position) the hashes under each node above it.
+
+    With the payload and the root alone they show that the event is in the log at its place; see `proven`. Each event has
+    its own copy of the hashes, to be handed out; many events are proven at once by `proof_nodes`.
+    """
+    steps = _steps(wanted, width, levels)
+    lists = _below(log, nodes, steps.select("case_id", "level", "node").distinct(), width)
     return steps.join(lists, ["case_id", "level", "node"]).select("case_id", "position", "level", "slot", "hashes")
 
 
@@ -179,6 +196,25 @@ def proven(events: DataFrame, proofs: DataFrame, roots: DataFrame, levels: int =
     return joined.select("case_id", "position", F.coalesce(whole, F.lit(False)).alias("proven"))
 
 
+def proven_by_nodes(events: DataFrame, found: DataFrame, roots: DataFrame, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
+    """As `proven`, by the `proof_nodes` of all events: each node is hashed once and checked against the node above it,
+    each event against its node. Events carry no lists; a node meets at most `width` nodes below it.
+    """
+    lists = materialise(found.select("case_id", "level", "node", "hashes", node_hash(F.col("level"), F.col("hashes")).alias("own")))
+    above = F.floor(F.col("node") / width).cast("long")
+    top = lists.filter(F.col("level") == levels).join(roots.select("case_id", "root"), "case_id").filter("node = 0 AND own = root")
+    sound = top.select("case_id", "node")
+    for level in range(levels, 1, -1):
+        parents = lists.filter(F.col("level") == level).join(sound, ["case_id", "node"], "left_semi").select("case_id", F.col("node").alias("_above"), "hashes")
+        children = lists.filter(F.col("level") == level - 1).select("case_id", "node", "own", above.alias("_above"))
+        linked = F.get("hashes", F.pmod(F.col("node"), F.lit(width)).cast("int")) == F.col("own")
+        sound = children.join(parents, ["case_id", "_above"]).filter(linked).select("case_id", "node")
+    kept = lists.filter(F.col("level") == 1).join(sound, ["case_id", "node"], "left_semi").select("case_id", "node", "hashes")
+    asked = events.select("case_id", "position", _at(F.col("position"), width, 1).alias("node"), leaf_hash(F.col("case_id"), F.col("position"), F.col("payload")).alias("_leaf"))
+    same = F.get("hashes", F.pmod(F.col("position"), F.lit(width)).cast("int")) == F.col("_leaf")
+    return asked.join(kept, ["case_id", "node"], "left").select("case_id", "position", F.coalesce(same, F.lit(False)).alias("proven"))
+
+
 def verify_links(log: DataFrame) -> DataFrame:
     """Per event of a single chain: `link` is genesis, linked or missing, and how many successors it has."""
     holders = log.groupBy(F.col("event_hash").alias("prev_hash")).agg(F.min("id").alias("prev_id"))

@@ -322,5 +322,5 @@ def _(t):
     log, nodes = (materialise(part) for part in A.append_audit(None, _events(t), 1))
     asked = log.filter("id % 100 = 0").withColumn("payload", F.when(F.col("id") % 200 == 0, F.lit("{}")).otherwise(F.col("payload")))
     roots = A.latest_nodes(nodes).filter(F.col("level") == A.LEVELS).select("case_id", F.col("node_hash").alias("root"))
-    found = A.proven(asked, A.inclusion_proofs(log, nodes, asked), roots)
+    found = A.proven_by_nodes(asked, A.proof_nodes(log, nodes, asked), roots)
     return asked.join(found, ["case_id", "position"]).select("id", "proven")

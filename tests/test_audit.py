@@ -88,6 +88,22 @@ def test_proofs(spark):
     assert said(elsewhere, proofs, roots) == set()
 
 
+def test_proofs_of_many_events_hold_each_node_once(spark):
+    log, nodes = (materialise(x) for x in A.append_audit(None, events(spark, 60), 1, 3, 4))
+    roots = nodes.filter("level = 4").select("case_id", F.col("node_hash").alias("root"))
+    found = A.proof_nodes(log, nodes, log, 3, 4).cache()
+    assert found.count() == nodes.count() and max(len(r["hashes"]) for r in found.collect()) == 3
+    said = lambda e, p, r: {(x["case_id"], x["position"]) for x in A.proven_by_nodes(e, p, r, 3, 4).filter("proven").collect()}
+    every = {(r["case_id"], r["position"]) for r in log.collect()}
+    assert said(log, found, roots) == every and A.proven_by_nodes(log, found, roots, 3, 4).count() == 60
+    assert said(log.withColumn("payload", F.lit("x")), found, roots) == set()
+    assert said(log.withColumn("position", F.col("position") + 1), found, roots) == set()
+    assert said(log, found.filter("level < 4"), roots) == set() and said(log, found, roots.filter("case_id = 1")) == {k for k in every if k[0] == 1}
+    # a node that isn't the one its parent names proves none of the events below it
+    forged = found.withColumn("hashes", F.when(F.expr("case_id = 0 AND level = 2 AND node = 1"), F.reverse("hashes")).otherwise(F.col("hashes")))
+    assert said(log, forged, roots) == {k for k in every if k[0] != 0 or k[1] // 9 != 1}
+
+
 def test_nulls_repeats_and_limits(spark):
     rows = [(None, None, None, None, None), (None, None, None, None, None), (1, 4, "a", None, "x" * 100_000), (1, 4, "a", None, "x" * 100_000)]
     log, nodes = (materialise(x) for x in A.append_audit(None, spark.createDataFrame(rows, SCHEMA).withColumn("position", F.lit(9)), 1, 2, 3))
