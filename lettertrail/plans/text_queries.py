@@ -8,6 +8,7 @@ from ..functions import dates as D
 from ..functions import fingerprint as P
 from ..functions import text as T
 from ..operators import boilerplate
+from ..session import materialise
 from . import checksql as Q
 from .registry import query
 
@@ -223,7 +224,7 @@ def _(t):
         FROM sig a JOIN sig b ON b.id = a.id + 5""",
 )
 def _(t):
-    sig = _fingerprints(t).filter(F.col("signature").isNotNull())
+    sig = materialise(_fingerprints(t).filter(F.col("signature").isNotNull()).select("id", "signature"))
     a = sig.select(F.col("id").alias("a_id"), F.col("signature").alias("sa"))
     b = sig.select(F.col("id").alias("b_id"), F.col("signature").alias("sb"))
     return a.join(b, F.col("b_id") == F.col("a_id") + 5).select("a_id", "b_id", P.minhash_jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
@@ -238,6 +239,7 @@ def _(t):
 )
 def _(t):
     norm = t.fx_emails.select("id", P.shingle_hashes(T.canonical_body(F.col("body_text"))).alias("h")).filter(F.size("h") > 0)
+    norm = materialise(norm)
     a = norm.select(F.col("id").alias("a_id"), F.col("h").alias("ha"))
     b = norm.select(F.col("id").alias("b_id"), F.col("h").alias("hb"))
     return a.join(b, F.col("b_id") == F.col("a_id") + 5).select(
