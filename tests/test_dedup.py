@@ -2,14 +2,22 @@
 
 import itertools
 import random
+import unicodedata
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
+from lettertrail.functions import fingerprint as P
+from lettertrail.functions import text as T
 from lettertrail.operators import dedup as D
 from lettertrail.operators import reconcile as R
 from lettertrail.operators.components import connected_components
+from lettertrail.session import materialise
 
 SCHEMA = """id long, case_id long, source_kind string, source_sha string, message_id string, subject string, from_addr string,
 date_utc timestamp, body_text string, deleted_at timestamp, superseded_at timestamp"""
@@ -155,3 +163,58 @@ def test_reconcile(spark):
     emails = spark.createDataFrame(rows, SCHEMA)
     # a two-word body goes only where it is equal
     assert {r["id"] for r in R.reconcile_quoted(emails).select("id").collect()} == {1, 4, 5, 6, 7}
+
+
+# ---- sets are worked out once
+
+
+def _counted_sets(spark, rows, key):
+    """A table of hash sets, and how many of its rows were worked out so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(values):
+        seen.add(len(values))
+        return values
+
+    column = pandas_udf(made, ArrayType(LongType())).asNondeterministic()
+    return spark.createDataFrame(rows, f"{key} long, h array<bigint>").select(key, column("h").alias("hashes")), seen
+
+
+def test_containment_reads_each_set_once(spark):
+    small, seen_small = _counted_sets(spark, [(i, list(range(10 * i, 10 * i + 10))) for i in range(20)], "item")
+    large, seen_large = _counted_sets(spark, [(i, list(range(20 * i, 20 * i + 20))) for i in range(15)], "doc")
+    got = D.containment_between(small, large, "item", "doc").collect()
+    assert sorted((r["left_key"], r["right_key"], r["contained"]) for r in got) == [(i, i // 2, 1.0) for i in range(20)]
+    assert (seen_small.value, seen_large.value) == (20, 15)
+
+
+def test_only_changed_rows_are_signed_again(spark):
+    emails = spark.createDataFrame([(i, 1, f"body of number {i} with several words more") for i in range(9)], "id long, case_id long, body_text string")
+    old = materialise(D.fingerprint_table(emails))
+    edited = emails.withColumn("body_text", F.when(F.col("id") == 4, F.lit("another text")).when(F.col("id") == 5, F.lit("")).otherwise(F.col("body_text")))
+    now = D.refresh_fingerprints(edited, old.filter("id <> 6"))
+    # bodies are normalised once and signed in one place
+    plan = now._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [_fold_compatibility(") == 1 and plan.count("ArrowEvalPython [_signature(") == 1
+    rows = {r["id"]: r for r in now.collect()}
+    assert {i for i, r in rows.items() if r["recomputed"]} == {4, 5, 6} and len(rows) == 9
+    fresh = {r["id"]: r for r in D.fingerprint_table(edited).collect()}
+    assert all((rows[i]["hashes"], rows[i]["signature"]) == (fresh[i]["hashes"], fresh[i]["signature"]) for i in rows)
+
+
+def test_hashes_are_those_of_the_shingles(spark):
+    texts = ["", " ", "one", "a b c d e", "a b c d e f a b c d e f", "double  space and   more ", "ä ß 漢 字 é ü x y", " ".join(map(str, range(900))), None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    plain = F.array_distinct(F.transform(P.shingles(F.col("t")), P.hash28))
+    want = {r[0]: r[1] for r in rows.select("id", F.coalesce(plain, F.array().cast("array<bigint>"))).collect()}
+    assert {r[0]: r[1] for r in rows.select("id", P.shingle_hashes(F.col("t"))).collect()} == want
+    hashes = np.array([0, 1, 2**28 - 1, *range(10**6, 10**6 + 1500)])
+    exact = [min((a * int(h) + b) % P.PRIME for h in hashes) for a, b in P.coefficients()]
+    assert P._signature(pd.Series([hashes])).iloc[0].tolist() == exact
+
+
+def test_only_texts_that_nfkc_may_change_are_folded(spark):
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in points], "c int, t string")
+    folded = {r["c"]: r["n"] for r in rows.select("c", T.nfkc(F.col("t")).alias("n")).collect()}
+    assert all(folded[c] == unicodedata.normalize("NFKC", f"a{chr(c)}b") for c in points)
