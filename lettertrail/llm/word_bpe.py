@@ -81,36 +81,38 @@ class _Block:
     """Texts of one task until they fill a block."""
 
     def __init__(self):
-        self.ids, self.counts, self.hashes, self.words, self.size = [], [], [], [], 0
+        self.ids, self.counts, self.places, self.words, self.size = [], [], [], [], 0
 
     def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         found = Words(data, offsets)
-        h, first = np.unique(found.hashes, return_index=True)
+        h, first, places, times = np.unique(found.hashes, return_index=True, return_inverse=True, return_counts=True)
         raw = data.tobytes()
         spelled = [raw[a:b] for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
-        self.ids.append(ids)
+        self.ids.append(ids.take(pa.array(np.arange(len(ids)))))  # a slice would hold its batch's texts too
         self.counts.append(found.counts)
-        self.hashes.append(found.hashes)
+        self.places.append(places.astype(np.uint32))
         words = np.empty(len(spelled), object)
         words[:] = spelled
-        self.words.append((h, words, _beginnings(data, found.starts[first], found.ends[first])))
+        self.words.append((h, times, words, _beginnings(data, found.starts[first], found.ends[first])))
         self.size += len(data)
 
     def rows(self, block: int, slots: int) -> Iterator[tuple]:
-        hashes = np.concatenate(self.hashes)
-        distinct, times = np.unique(hashes, return_counts=True)
-        first = np.unique(np.concatenate([h for h, _, _ in self.words]), return_index=True)[1]
-        spelled = np.concatenate([w for _, w, _ in self.words])[first]
-        begins = np.concatenate([b for _, _, b in self.words])[first]
+        hashes, times, spelled, begins = (np.concatenate(x) for x in zip(*self.words, strict=True))
+        cuts = np.cumsum([len(h) for h, *_ in self.words])[:-1]
+        self.words = []
+        distinct, first, places = np.unique(hashes, return_index=True, return_inverse=True)
+        times = np.bincount(places, times, len(distinct)).astype(np.int64)
+        spelled, begins = spelled[first], begins[first]
         slot = (distinct % np.uint64(slots)).astype(np.int64)
         rarity = _CLASSES - 1 - np.minimum(np.log2(np.maximum(times, 1)).astype(np.int64), _CLASSES - 1)
         sent = np.lexsort((begins, rarity, slot))  # as slots get them: frequent words first, then like beginnings together
         rank = np.empty(len(sent), np.uint32)
         rank[np.lexsort((begins, slot, rarity))] = np.arange(len(sent), dtype=np.uint32)
+        numbers = np.concatenate([known[own] for known, own in zip(np.split(rank[places], cuts), self.places, strict=True)])
+        self.places = []
         cuts = np.searchsorted(slot[sent], np.arange(slots + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             yield s, block, s, zstandard.compress(b"\n".join(spelled[sent[cuts[s] : cuts[s + 1]]].tolist()), 3)
-        numbers = rank[np.searchsorted(distinct, hashes)]
         sink = pa.BufferOutputStream()
         ids = pa.concat_arrays(self.ids)
         with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as out:
@@ -120,10 +122,11 @@ class _Block:
         yield block, block, slots, _pack(docs, np.concatenate(self.counts).astype(np.int64), sizes, _planes(numbers))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = False) -> DataFrame:
     """(doc_id, ids): for every input row the token ids of its whole text as little-endian 32-bit integers.
 
-    `path` names a tokenizers file whose tokens don't cross ASCII white space. A null or empty text has no ids; null
+    With `decoded` the rows are those of `decode`, made where the ids are put back: a step of its own behind this one
+    has every task hold two Python workers, which then stay with the executor. `path` names a tokenizers file whose tokens don't cross ASCII white space. A null or empty text has no ids; null
     and repeated ids keep one result for each row; other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -166,6 +169,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ids = [], []
+        spelling = _spelling(path) if decoded else None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["slot"] < slots:
@@ -194,35 +198,46 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                     at = np.arange(till[-1] if len(till) else 0) + np.repeat(starts[part] - (till - take), take)
                     cuts = np.concatenate([[0], till])[np.concatenate([[0], ends[low:high] - begin])] * 4
                     raw = pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat[at].tobytes())])
-                    yield pa.RecordBatch.from_arrays([names.slice(low, high - low), raw], ["doc_id", "ids"])
+                    one = pa.RecordBatch.from_arrays([names.slice(low, high - low), raw], ["doc_id", "ids"])
+                    yield from _decoded(one, spelling) if decoded else [one]
                     low = high
                 lengths, ids = [], []
 
     packed = texts.mapInArrow(split, _PACKED)
     encoded = packed.repartition(slots, "target").mapInArrow(look_up, _PACKED)
     sorted_back = encoded.repartition(slots, "target").sortWithinPartitions("block", "slot")
-    return sorted_back.mapInArrow(put_back, f"doc_id {id_kind}, ids binary")
+    return sorted_back.mapInArrow(put_back, f"doc_id {id_kind}, ids binary" + ", decoded string" * decoded)
+
+
+def _spelling(path: str) -> pa.Array:
+    """The piece of each id."""
+    tokenizer = _tokenizer(path)
+    return pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))])
+
+
+def _decoded(batch: pa.RecordBatch, spelling: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of (doc_id, ids) with their text, some at a time."""
+    values = batch.column(1).cast(pa.large_binary())
+    size = pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64) // 4
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(size):
+        begin = ends[low] - size[low]
+        high = max(low + 1, int(np.searchsorted(ends, begin + 300_000, "right")))
+        ids = np.frombuffer(b"".join(v for v in values.slice(low, high - low).to_pylist() if v), np.uint32)
+        cuts = np.concatenate([[0], ends[low:high] - begin])
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spelling.take(pa.array(ids)))
+        yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), pc.binary_join(lists, " ")], ["doc_id", "ids", "decoded"])
+        low = high
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): ids joined with the vocabulary's pieces, special tokens included, a blank between pieces."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        pieces_by_id = pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))])
+        spelling = _spelling(path)
         for batch in rows:
-            values = batch.column(1).cast(pa.large_binary())
-            size = pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64) // 4
-            ends = np.cumsum(size)
-            low = 0
-            while low < len(size):
-                begin = ends[low] - size[low]
-                high = max(low + 1, int(np.searchsorted(ends, begin + 300_000, "right")))
-                ids = np.frombuffer(b"".join(v for v in values.slice(low, high - low).to_pylist() if v), np.uint32)
-                cuts = np.concatenate([[0], ends[low:high] - begin])
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pieces_by_id.take(pa.array(ids)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), pc.binary_join(lists, " ")], ["doc_id", "ids", "decoded"])
-                low = high
+            yield from _decoded(batch, spelling)
 
     id_kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(batches, f"doc_id {id_kind}, ids binary, decoded string")
@@ -230,7 +245,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    return decode(encode(docs, path), path).select(
+    return encode(docs, path, decoded=True).select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
