@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, limit_batches, mix, pieces
+from .words import Words, limit_batches, mix, pieces, tidy
 
 ITEMS = 20_000  # items of one pass
 LEAST_WORDS = 5
@@ -203,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "
                         ids = batch.column(0).take(pa.array([low + r for r in row]))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(name, item_kind), *(pa.array(c, pa.int64()) for c in numbers)], names)
 
-        return rows.mapInArrow(batches, schema)
+        return rows.mapInArrow(tidy(batches), schema)
 
     return reduce(DataFrame.union, [one_pass(*found) for found in _indexes(items, edits)])
 
@@ -232,7 +232,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> DataFra
                         clean[low + hit[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        return rows.mapInArrow(batches, schema)
+        return rows.mapInArrow(tidy(batches), schema)
 
     for index, _ in _indexes(items, edits):
         rows = one_pass(rows, index)

@@ -34,7 +34,7 @@ from ..operators.components import connected_components
 from .buckets import Forest, dealt, pieces_of, spanning
 from .pairs import compare_pairs, packed_nodes, text_tag
 from .store import store
-from .words import Words, keyed, limit_batches, mix, pieces
+from .words import Words, keyed, limit_batches, mix, pieces, tidy
 
 REGISTERS = 256
 BASE = 1.001
@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
     """(doc_id, tag, n, set_a, set_b, regs): a hash of the text, set size, a 128-bit digest of the set and the registers of each row."""
     limit_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), text_tag(docs[text]).alias("tag"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(_sketch(width), "doc_id bigint, tag bigint, n bigint, set_a bigint, set_b bigint, regs binary")
+    return rows.mapInArrow(tidy(_sketch(width)), "doc_id bigint, tag bigint, n bigint, set_a bigint, set_b bigint, regs binary")
 
 
 def _offers(least: float, percent: int, everything: bool):
@@ -216,7 +216,7 @@ def _decided(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
     def able(rows: DataFrame) -> DataFrame:
         """(rep, held): the queries among `rows` of whose elements enough are held by another class in `rows`, and how many."""
         asked = rows.groupBy(F.col("rep").alias("id")).agg(F.max("query").alias("query"))
-        elements = lambda ids: texts.join(ids, "id").select("id", "packed").mapInArrow(_elements(width), "id bigint, h bigint")
+        elements = lambda ids: texts.join(ids, "id").select("id", "packed").mapInArrow(tidy(_elements(width)), "id bigint, h bigint")
         several = elements(asked).groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
         own = elements(asked.filter("query")).join(several, "h", "left").groupBy(F.col("id").alias("rep"))
         counted = own.agg(F.count("*").alias("all"), F.count("low").alias("held"))
@@ -233,7 +233,7 @@ def _decided(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
             rows = placed.join(store(able(placed)), "rep", "left").filter("held IS NOT NULL OR NOT query")
         spread = dealt(rows, "bucket", "rep", "query").join(classes.select("rep", "n", "regs"), "rep")
         spread = spread.select("piece", "band", "rep", "n", F.coalesce("held", "n").alias("held"), "comp", "asks", "regs").repartition("piece").sortWithinPartitions("piece")
-        return store(spread.mapInArrow(_offers(least, percent, everything), "left bigint, right bigint").distinct())
+        return store(spread.mapInArrow(tidy(_offers(least, percent, everything)), "left bigint, right bigint").distinct())
 
     links = verified(buckets.filter("low < rep").groupBy("rep").agg(F.min("low").alias("left")).select("left", F.col("rep").alias("right")))
     roots = connected_components(links, "left", "right")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, keyed, limit_batches, pieces
+from .words import Words, keyed, limit_batches, pieces, tidy
 
 # Bit of each rule, and what a document fails by.
 RULES = {
@@ -122,7 +122,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept_row"), docs[text].cast("string").alias("text"))
     measures = ", ".join(f"{name} bigint" for name in MEASURES)
     kind = rows.schema["kept_row"].dataType.simpleString()
-    measured = rows.mapInArrow(_batches, f"kept_row {kind}, {measures}")
+    measured = rows.mapInArrow(tidy(_batches), f"kept_row {kind}, {measures}")
     bits = sum((F.when(failed, F.lit(1 << RULES[name])).otherwise(F.lit(0)) for name, failed in _failures().items()), F.lit(0))
     return measured.withColumn("failed_bits", bits.cast("long")).withColumnRenamed("kept_row", "row")
 

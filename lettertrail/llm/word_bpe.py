@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, limit_batches, pieces
+from .words import Words, give_back, limit_batches, pieces, tidy
 
 BLOCK_BYTES = 12 << 20
 _CLASSES = 16  # words of a block are numbered by how often they occur, in classes of powers of two
@@ -43,7 +43,9 @@ def _tokenizer(path: str):
 
 def _pack(*arrays: np.ndarray) -> bytes:
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], [str(i) for i in range(len(arrays))])
+    # one value a column, over the array's own bytes: a block's numbers aren't copied to be packed
+    columns = [pa.BinaryArray.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, a.nbytes], np.int32)), pa.py_buffer(np.ascontiguousarray(a))]) for a in arrays]
+    batch = pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(arrays))])
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     return zstandard.compress(sink.getvalue(), 3)
@@ -51,7 +53,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
     batch = pa.ipc.open_stream(zstandard.decompress(payload)).read_next_batch()
-    return [np.frombuffer(column[0].as_py(), kind) for column, kind in zip(batch.columns, kinds, strict=True)]
+    return [np.frombuffer(column[0].as_buffer(), kind) for column, kind in zip(batch.columns, kinds, strict=True)]
 
 
 def _planes(numbers: np.ndarray) -> np.ndarray:
@@ -78,37 +80,42 @@ def _beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 class _Block:
-    """Texts of one task until they fill a block."""
+    """Texts of one task until they fill a block. A word is kept once a block, however many pieces it stands in."""
 
     def __init__(self):
         self.ids, self.counts, self.places, self.words, self.size = [], [], [], [], 0
+        self.seen = np.empty(0, np.uint64)  # hashes of the words so far, sorted
 
     def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         found = Words(data, offsets)
         h, first, places, times = np.unique(found.hashes, return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.seen, h)
+        new = np.flatnonzero(np.append(self.seen, np.uint64(0))[at] != h) if len(self.seen) else np.arange(len(h))
+        starts, ends = found.starts[first[new]], found.ends[first[new]]
+        words = np.empty(len(new), object)
         raw = data.tobytes()
-        spelled = [raw[a:b] for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
+        words[:] = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         self.ids.append(ids.take(pa.array(np.arange(len(ids)))))  # a slice would hold its batch's texts too
         self.counts.append(found.counts)
-        self.places.append(places.astype(np.uint32))
-        words = np.empty(len(spelled), object)
-        words[:] = spelled
-        self.words.append((h, times, words, _beginnings(data, found.starts[first], found.ends[first])))
+        self.places.append((h, times.astype(np.uint32), places.astype(np.min_scalar_type(len(h)))))
+        self.words.append((h[new], words, _beginnings(data, starts, ends)))
+        self.seen = np.sort(np.concatenate([self.seen, h[new]]))
         self.size += len(data)
 
     def rows(self, block: int, slots: int) -> Iterator[tuple]:
-        hashes, times, spelled, begins = (np.concatenate(x) for x in zip(*self.words, strict=True))
-        cuts = np.cumsum([len(h) for h, *_ in self.words])[:-1]
+        distinct, spelled, begins = (np.concatenate(x) for x in zip(*self.words, strict=True))
         self.words = []
-        distinct, first, places = np.unique(hashes, return_index=True, return_inverse=True)
-        times = np.bincount(places, times, len(distinct)).astype(np.int64)
-        spelled, begins = spelled[first], begins[first]
+        order = np.argsort(distinct)
+        distinct, spelled, begins = distinct[order], spelled[order], begins[order]
+        times = np.zeros(len(distinct), np.int64)
+        for h, n, _ in self.places:
+            times[np.searchsorted(distinct, h)] += n
         slot = (distinct % np.uint64(slots)).astype(np.int64)
         rarity = _CLASSES - 1 - np.minimum(np.log2(np.maximum(times, 1)).astype(np.int64), _CLASSES - 1)
         sent = np.lexsort((begins, rarity, slot))  # as slots get them: frequent words first, then like beginnings together
         rank = np.empty(len(sent), np.uint32)
         rank[np.lexsort((begins, slot, rarity))] = np.arange(len(sent), dtype=np.uint32)
-        numbers = np.concatenate([known[own] for known, own in zip(np.split(rank[places], cuts), self.places, strict=True)])
+        numbers = np.concatenate([rank[np.searchsorted(distinct, h)][own] for h, _, own in self.places])
         self.places = []
         cuts = np.searchsorted(slot[sent], np.arange(slots + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
@@ -119,7 +126,9 @@ class _Block:
             out.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
         docs = np.frombuffer(sink.getvalue(), np.uint8)
         sizes = np.bincount(slot * _CLASSES + rarity, minlength=slots * _CLASSES).astype(np.int64)
-        yield block, block, slots, _pack(docs, np.concatenate(self.counts).astype(np.int64), sizes, _planes(numbers))
+        planes = _planes(numbers)
+        del numbers
+        yield block, block, slots, _pack(docs, np.concatenate(self.counts).astype(np.int64), sizes, planes)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = False) -> DataFrame:
@@ -145,6 +154,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                     for row in block.rows(name, slots):
                         yield _rows([row])
                     name, block = name + 1, _Block()
+                    give_back()
         if block.ids:
             for row in block.rows(name, slots):
                 yield _rows([row])
@@ -203,10 +213,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                     low = high
                 lengths, ids = [], []
 
-    packed = texts.mapInArrow(split, _PACKED)
-    encoded = packed.repartition(slots, "target").mapInArrow(look_up, _PACKED)
+    packed = texts.mapInArrow(tidy(split), _PACKED)
+    encoded = packed.repartition(slots, "target").mapInArrow(tidy(look_up), _PACKED)
     sorted_back = encoded.repartition(slots, "target").sortWithinPartitions("block", "slot")
-    return sorted_back.mapInArrow(put_back, f"doc_id {id_kind}, ids binary" + ", decoded string" * decoded)
+    return sorted_back.mapInArrow(tidy(put_back), f"doc_id {id_kind}, ids binary" + ", decoded string" * decoded)
 
 
 def _spelling(path: str) -> pa.Array:
@@ -240,7 +250,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield from _decoded(batch, spelling)
 
     id_kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(batches, f"doc_id {id_kind}, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(batches), f"doc_id {id_kind}, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

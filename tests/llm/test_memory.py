@@ -41,6 +41,29 @@ def test_block_does_not_hold_words_twice():
     assert peak < 24 * 1_000_000  # bytes for each of a million words
 
 
+def test_block_holds_a_word_once_and_packs_without_copies():
+    size = 8 << 20
+    text = " ".join(random.Random(2).choices([f"{w}{i}" for w in WORDS for i in range(40_000 // len(WORDS))], k=size // 7)).encode()[:size]
+    data, offsets = np.frombuffer(text, np.uint8), np.arange(0, len(text) + 1, len(text) // 512)
+    column = pa.array([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    block = word_bpe._Block()
+    tracemalloc.start()
+    for low, high, piece, cuts in words.pieces(column):
+        block.add(pa.array(range(low, high)), piece, cuts)
+    held = tracemalloc.get_traced_memory()[0]
+    for _ in block.rows(0, 16):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 2.5 * size and peak < 4 * size, (held / size, peak / size)
+
+
+def test_memory_is_given_back_after_the_last_batch(monkeypatch):
+    seen = []
+    monkeypatch.setattr(words, "give_back", lambda: seen.append("back"))
+    assert list(words.tidy(lambda stream: (x + 1 for x in stream))(iter([1, 2]))) == [2, 3] and seen == ["back"]
+
+
 def test_block_lets_go_of_its_batch():
     ids = pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array(["a b", "c"])], ["doc_id", "text"])
     sink = pa.BufferOutputStream()
