@@ -218,3 +218,26 @@ def test_only_texts_that_nfkc_may_change_are_folded(spark):
     rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in points], "c int, t string")
     folded = {r["c"]: r["n"] for r in rows.select("c", T.nfkc(F.col("t")).alias("n")).collect()}
     assert all(folded[c] == unicodedata.normalize("NFKC", f"a{chr(c)}b") for c in points)
+
+
+def _shuffled(spark):
+    """Bytes shuffled so far."""
+    sc = spark.sparkContext
+    new = sc._gateway.new_array
+    empty = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(empty, False, False, new(sc._jvm.double, 0), empty)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_containment_shuffles_each_hash_once(spark):
+    # 400 bodies of 500 hashes, and copies of them; every tenth lies inside the one before it
+    rng = random.Random(8)
+    sets = [rng.sample(range(1 << 28), 500) for _ in range(400)]
+    for i in range(10, 400, 10):
+        sets[i] = sets[i - 1][:470] + sets[i][:10]
+    rows = [(i, i % 2 if i % 10 else (i - 1) % 2, f"{i % 400:064x}", values) for i, values in enumerate(sets * 2)]
+    prints = materialise(spark.createDataFrame(rows, "id long, case_id long, body_hash string, hashes array<long>").repartition(8))
+    before = _shuffled(spark)
+    got = {(r["left_id"], r["right_id"]) for r in D.contained_bodies(prints).collect()}
+    assert _shuffled(spark) - before < 14 * 500 * 400
+    assert got == {pair for i in range(10, 400, 10) for pair in ((i, i - 1), (i - 1, i))}
