@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import shingle_hashes
-from ..functions.text import pin
-from .dedup import held_in, with_body_norm
+from ..session import materialise
+from .dedup import distinct_bodies, held_in, sets_of, with_body_norm
 
 # Fixed value: the share of a quoted body's five-word windows that a standalone body must hold.
 HELD = 0.70
@@ -22,13 +22,6 @@ def repeated_exactly(quoted: DataFrame, standalone: DataFrame) -> DataFrame:
     return quoted.join(standalone.select("case_id", "body_hash").distinct(), ["case_id", "body_hash"], "left_semi").select("id")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """(key, hashes) of the distinct bodies of each case; hashes of different cases never meet."""
-    bodies = rows.groupBy("case_id", "body_hash").agg(F.first("body_norm").alias("body_norm"))
-    hashed = bodies.withColumn("hashes", pin(shingle_hashes(F.col("body_norm"))))
-    return hashed.select(F.struct("case_id", "body_hash").alias("key"), F.transform("hashes", lambda h: F.xxhash64("case_id", h)).alias("hashes"))
-
-
 def reconcile_quoted(emails: DataFrame) -> DataFrame:
     """The emails without quoted rows that equal a standalone body of their case or lie to 0.70 inside one of like size.
 
@@ -37,10 +30,16 @@ def reconcile_quoted(emails: DataFrame) -> DataFrame:
     Trashed rows take part. A body of fewer than five words is one window, so it goes only where it is equal. Equal
     bodies go by an equi-join, the rest by exact containment of five-word windows between distinct bodies.
     """
-    quoted = _bodies(emails.filter("source_kind = 'quoted'"))
-    standalone = _bodies(emails.filter("source_kind = 'standalone'"))
+    kinds = emails.filter(F.col("source_kind").isin("quoted", "standalone"))
+    hashed = with_body_norm(kinds).filter("norm_len > 0").withColumn("hashes", shingle_hashes(F.col("body_norm")).cast("array<int>"))
+    rows = materialise(hashed.select("id", "case_id", "source_kind", "body_hash", "hashes"))
+    names = rows.select("id", "case_id", "source_kind", "body_hash")
+    quoted, standalone = (names.filter(F.col("source_kind") == kind) for kind in ("quoted", "standalone"))
     same = repeated_exactly(quoted, standalone)
-    left = quoted.join(same, "id", "left_anti")
-    held = held_in(_sets(left), _sets(standalone), "key", HELD).select("small_key.case_id", "small_key.body_hash").distinct()
-    near = left.join(held, ["case_id", "body_hash"], "left_semi").select("id")
+    left = materialise(quoted.join(same, "id", "left_anti"))
+    # the distinct bodies of each case by their first row
+    asked, holders = (distinct_bodies(x) for x in (left, standalone))
+    held = held_in(sets_of(rows.filter("source_kind = 'quoted'"), asked), sets_of(rows.filter("source_kind = 'standalone'"), holders), "id", HELD, ("case_id",))
+    found = asked.join(held.select(F.col("small_key").alias("id")).distinct(), "id", "left_semi")
+    near = left.join(found, ["case_id", "body_hash"], "left_semi").select("id")
     return emails.join(same.union(near), "id", "left_anti")

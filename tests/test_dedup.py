@@ -241,3 +241,12 @@ def test_containment_shuffles_each_hash_once(spark):
     got = {(r["left_id"], r["right_id"]) for r in D.contained_bodies(prints).collect()}
     assert _shuffled(spark) - before < 14 * 500 * 400
     assert got == {pair for i in range(10, 400, 10) for pair in ((i, i - 1), (i - 1, i))}
+
+
+def test_reconciling_shuffles_no_texts(spark):
+    rows = [mail(i, " ".join(words(1000, i - i % 2)) + (" more" if i % 2 else ""), source_kind="quoted" if i % 2 else "standalone") for i in range(200)]
+    emails = materialise(spark.createDataFrame(rows, SCHEMA).repartition(8))
+    size = sum(len(r[8]) for r in rows)
+    before = _shuffled(spark)
+    assert {r["id"] for r in R.reconcile_quoted(emails).select("id").collect()} == set(range(0, 200, 2))
+    assert _shuffled(spark) - before < 5 * size
