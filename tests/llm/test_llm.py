@@ -211,6 +211,18 @@ def test_equal_passages_inside_similar_ones(spark):
     assert {(n + 3, n + k) for n in range(0, 100, 10) for k in (1, 2)} <= out
 
 
+def test_equal_passages_at_another_place(spark):
+    # the later document's long passage is similar to one of the earlier's, but sixty words of it stand elsewhere there
+    draw = random.Random(23)
+    rows = []
+    for n in range(0, 40, 10):
+        base, moved = draw.choices(WORDS, k=1000), draw.choices(WORDS, k=60)
+        rows += [(n + 1, " ".join(base + draw.choices(WORDS, k=300) + moved + draw.choices(WORDS, k=60))), (n + 2, " ".join(base[:400] + moved + base[460:]))]
+    out = {(r["doc_id"], r["earlier_id"], r["first_word"], r["end_word"], r["earlier_first"], r["earlier_end"]) for r in passages.repeated_passages(table(spark, rows)).collect()}
+    assert {(n + 2, n + 1, 400, 460, 1300, 1360) for n in range(0, 40, 10)} <= out
+    assert {(n + 2, n + 1, 0, 1000, 0, 1000) for n in range(0, 40, 10)} <= out
+
+
 def test_recall_of_similar_passages(spark):
     for size, edits in ((50, 1), (100, 2)):  # similarity 0.80 and 0.81
         draw, rows = random.Random(size + edits), []
